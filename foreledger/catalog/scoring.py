@@ -9,10 +9,21 @@ from foreledger.catalog.base import (
 from foreledger.functions import arg_max
 from foreledger.operators import metrics as M
 
+from foreledger.sources.tables import checkpoint_frame
+
 K = len(EVENT_CLASSES)
 R = 9
 
 
+def _lines(spark, sf, *cols):
+    """Scored lines, written once: calibration reads them several times."""
+    return checkpoint_frame(scored_lines(spark, sf).select(*cols, "p", "y"))
+
+
+def _events(spark, sf):
+    return checkpoint_frame(scored_events(spark, sf).select("p", "y"))
+
+
 def _r(df, *keep):
     """Round every double so engines agree past summation order."""
     return df.select(*[F.round(c, R).alias(c) if t == "double" and c not in keep else F.col(c)
@@ -20,7 +31,7 @@ def _r(df, *keep):
 
 
 def w6_equal_mass_bins(spark, sf):
-    t = M.reliability(scored_lines(spark, sf), "p", "y")
+    t = M.reliability(_lines(spark, sf), "p", "y")
     return t.select(F.col("bin").cast("long").alias("bin"), "n", F.round("p_mean", R).alias("p_mean"))
 
 
@@ -46,22 +57,22 @@ def m4_brier_binary(spark, sf):
 
 
 def m5_reliability(spark, sf):
-    t = M.reliability(scored_lines(spark, sf), "p", "y", ["temporal_split"])
+    t = M.reliability(_lines(spark, sf, "temporal_split"), "p", "y", ["temporal_split"])
     return _r(t.withColumn("bin", F.col("bin").cast("long")))
 
 
 def m6_ece(spark, sf):
-    t = M.reliability(scored_lines(spark, sf), "p", "y", ["temporal_split"])
+    t = M.reliability(_lines(spark, sf, "temporal_split"), "p", "y", ["temporal_split"])
     return _r(M.calibration_error(t, ["temporal_split"]))
 
 
 def m7_class_ece(spark, sf):
-    c = M.class_calibration(scored_events(spark, sf), "p", "y")
+    c = M.class_calibration(_events(spark, sf), "p", "y")
     return _r(c.withColumn("cls", F.col("cls").cast("long")))
 
 
 def m8_murphy(spark, sf):
-    m = M.murphy(scored_lines(spark, sf), "p", "y")
+    m = M.murphy(_lines(spark, sf), "p", "y")
     return _r(m.withColumn("n_bins", F.col("n_bins").cast("long")))
 
 
@@ -73,12 +84,12 @@ def m9_skill(spark, sf):
 
 
 def m10_top_label(spark, sf):
-    t = M.reliability(M.top_label(scored_events(spark, sf), "p", "y"), "conf", "correct")
+    t = M.reliability(M.top_label(_events(spark, sf), "p", "y"), "conf", "correct")
     return _r(t.withColumn("bin", F.col("bin").cast("long")))
 
 
 def m11_ece_adaptive(spark, sf):
-    s = scored_lines(spark, sf)
+    s = _lines(spark, sf, "l_linestatus")
     t = M.reliability(s, "p", "y", ["l_linestatus"], M.adaptive_bins(per_bin=1500))
     return _r(M.calibration_error(t, ["l_linestatus"]))
 
@@ -97,7 +108,8 @@ def _buckets():
 
 
 def a17_bucket_calibration(spark, sf):
-    return _r(M.bucket_calibration(scored_lines(spark, sf), _buckets(), "p", "y"))
+    return _r(M.bucket_calibration(
+        _lines(spark, sf, "l_linestatus", "l_quantity", "l_discount"), _buckets(), "p", "y"))
 
 
 def a18_by_year(spark, sf):

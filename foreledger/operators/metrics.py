@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import EPS, arg_max, band_right, clip, one_hot
-from foreledger.operators.scan import with_bins
+from foreledger.operators.scan import attach_bins, equal_mass_edges
 
 
 # ---- row losses -----------------------------------------------------------
@@ -64,11 +64,11 @@ def reliability(df: DataFrame, p: str, y: Column | str, by: Sequence[str] = (),
     src = df.select(*by, F.col(p).alias("p"), y.cast("double").alias("y"))
     if not by:
         src = src.withColumn("__all", F.lit(0))
-    t = with_bins(src, group, "p", n_bins).groupBy(*group, "bin").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("p").alias("p_mean"), F.avg("y").alias("y_mean"))
-    # The bin table has at most n_bins rows per group, so these totals are small.
-    tot = t.groupBy(*group).agg(F.sum("n").alias("__t"))
-    w = t.join(F.broadcast(tot), group).withColumn("weight", F.col("n") / F.col("__t"))
+    edges = equal_mass_edges(src, group, "p", n_bins).withColumnRenamed("n", "__t")
+    t = attach_bins(src, edges, group, "p").groupBy(*group, "bin").agg(
+        F.max("__t").alias("__t"), F.count(F.lit(1)).alias("n"), F.avg("p").alias("p_mean"),
+        F.avg("y").alias("y_mean"))
+    w = t.withColumn("weight", F.col("n") / F.col("__t"))
     return w.select(*by, "bin", "n", "p_mean", "y_mean", "weight")
 
 

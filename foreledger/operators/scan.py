@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import bands_of, key_text
+from foreledger.sources.tables import checkpoint_frame
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -110,6 +111,21 @@ def dense_index(
 
 
 _BASE = 4096
+_MAX_DIGITS = 4
+# A histogram cell of at most this many rows is resolved by value at once.
+CELL_ROWS = 1_000_000
+
+
+def pin(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Fix a small intermediate so later steps neither recompute nor reshuffle it.
+
+    Counted as it is fetched: up to ``max_rows`` rows become a local relation,
+    a larger frame goes to the reliable checkpoint folder instead.
+    """
+    head = df.limit(max_rows + 1).toArrow()
+    if head.num_rows <= max_rows:
+        return df.sparkSession.createDataFrame(head, df.schema)
+    return checkpoint_frame(df)
 
 
 def _digit(x: Column) -> Column:
@@ -125,92 +141,92 @@ def _pick(ranks: DataFrame, hist: DataFrame, keys: Sequence[str], digit: str) ->
     )
     hit = (F.col("rank") >= F.col("__lo")) & (F.col("rank") < F.col("__lo") + F.col("__n"))
     return (
-        ranks.join(cum, list(keys)).filter(hit)
-        .withColumn("rank", F.col("rank") - F.col("__lo")).drop("__lo", "__n")
+        ranks.drop("__n").join(cum, list(keys)).filter(hit)
+        .withColumn("rank", F.col("rank") - F.col("__lo")).drop("__lo")
     )
 
 
-def order_statistics(
-    df: DataFrame, group: Sequence[str], value: str, ranks: DataFrame, levels: int = 2
-) -> DataFrame:
-    """Exact values at zero-based ranks, per group, for values in [0, 1].
+def _digits(df: DataFrame, value: str, n: int) -> DataFrame:
+    """Base-4096 digits __d0.. of a value in [0, 1]; every step is exact."""
+    x = F.col(value)
+    for i in range(n):
+        df = df.withColumn(f"__d{i}", _digit(x)).withColumn("__x", x * _BASE - F.col(f"__d{i}"))
+        x = F.col("__x")
+    return df.drop("__x")
 
-    ``ranks`` holds the group columns, ``rank`` and any tags.  Each level counts
-    rows by the next base-4096 digit of the value and keeps the cells that hold
-    a wanted rank, so rows are never sorted or shuffled; the last step sees only
-    the values inside those cells.  One more level divides a cell by 4096.
-    """
-    cells = ranks.withColumn("__rank0", F.col("rank"))
-    keys = list(group)
-    src = df.select(*group, F.col(value).alias("__v"), F.col(value).alias("__x"))
-    for lvl in range(levels):
-        d = f"__d{lvl}"
-        src = src.withColumn(d, _digit(F.col("__x"))).withColumn(
-            "__x", F.col("__x") * _BASE - F.col(d)
-        )
-        if lvl:
-            src = src.join(F.broadcast(cells.select(*keys).distinct()), keys, "left_semi")
-        hist = src.groupBy(*keys, d).agg(F.count(F.lit(1)).alias("n"))
-        cells = _pick(cells, hist, keys, d)
-        keys.append(d)
-    inside = (
-        src.join(F.broadcast(cells.select(*keys).distinct()), keys, "left_semi")
-        .groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("n"))
-    )
-    picked = _pick(cells, inside, keys, "__v")
-    tags = [c for c in ranks.columns if c not in (*group, "rank")]
-    return picked.select(*group, *tags, F.col("__rank0").alias("rank"), F.col("__v").alias("value"))
+
+def _edge_ranks(sizes: DataFrame, group: Sequence[str], bins: Column) -> DataFrame:
+    """The two ranks around every interior edge h = (n-1)(k/B), with their weight."""
+    ks = sizes.withColumn("bins", bins.cast("int")).filter("bins > 1").select(
+        *group, F.explode(F.sequence(F.lit(1), F.col("bins") - 1)).alias("k"),
+        (F.col("n") - 1).alias("m"), (F.lit(1.0) / F.col("bins")).alias("step"),
+    ).withColumn("h", F.col("m") * (F.col("k") * F.col("step")))
+    side = lambda r, i: F.struct(r.cast("long").alias("rank"), F.lit(i).alias("side"))
+    return ks.select(
+        *group, "k", (F.col("h") - F.floor("h")).alias("frac"),
+        F.explode(F.array(side(F.floor("h"), 0), side(F.ceil("h"), 1))).alias("r"),
+    ).select(*group, "k", "frac", "r.rank", "r.side")
 
 
 def equal_mass_edges(
     df: DataFrame, group: Sequence[str], value: str, n_bins: int | Column = 20
 ) -> DataFrame:
-    """Interior equal-mass edges per group, as one sorted array column ``edges``.
-
-    Linear interpolation between the order statistics around h = (n-1)(k/B),
-    taken from the nearer end.  ``n_bins`` may be a Column over the group size
-    ``n``.  A group of one bin has no edges.
+    """Interior equal-mass edges per group as a sorted array column ``edges``.
+
+    Exact for values in [0, 1]: linear interpolation between order statistics,
+    taken from the nearer end.  Rows are counted by base-4096 digits of the
+    value; cells holding a wanted rank are split by the next digit until they
+    are small, then resolved by value.  Rows are never sorted and only counts
+    are shuffled, so neither a hot group nor a pile of near-equal values
+    matters.  ``n_bins`` may be a Column over the group size ``n``.  Groups are
+    meant to be few (classes, buckets, slices): 2(B-1) ranks are kept for each.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    src = df.select(*group, F.col(value).alias("__v"))
+    count = F.count(F.lit(1)).alias("n")
+    hist = pin(_digits(src, "__v", 1).groupBy(*group, "__d0").agg(count))
+    sizes = hist.groupBy(*group).agg(F.sum("n").alias("n"))
     bins = F.lit(n_bins) if isinstance(n_bins, int) else n_bins
-    sized = sizes.withColumn("bins", bins.cast("int"))
-    ks = sized.filter("bins > 1").select(
-        *group, F.explode(F.sequence(F.lit(1), F.col("bins") - 1)).alias("k"),
-        (F.col("n") - 1).alias("m"), (F.lit(1.0) / F.col("bins")).alias("step"),
-    ).withColumn("h", F.col("m") * (F.col("k") * F.col("step")))
-    ranks = ks.select(
-        *group, "k", (F.col("h") - F.floor("h")).alias("frac"),
-        F.explode(F.array(
-            F.struct(F.floor("h").alias("rank"), F.lit(0).alias("side")),
-            F.struct(F.ceil("h").alias("rank"), F.lit(1).alias("side")),
-        )).alias("r"),
-    ).select(*group, "k", "frac", "r.rank", "r.side")
-    vals = order_statistics(df, group, value, ranks)
-    lo = F.max(F.when(F.col("side") == 0, F.col("value")))
-    hi = F.max(F.when(F.col("side") == 1, F.col("value")))
+    keys, cells = list(group), _edge_ranks(sizes, group, bins)
+    for depth in range(1, _MAX_DIGITS + 1):
+        cells = pin(_pick(cells, hist, keys, f"__d{depth - 1}"))
+        keys.append(f"__d{depth - 1}")
+        largest = cells.agg(F.max("__n")).first()[0]
+        inside = _digits(src, "__v", depth).join(
+            F.broadcast(cells.select(*keys).distinct()), keys, "left_semi")
+        if largest is None or largest <= CELL_ROWS or depth == _MAX_DIGITS:
+            break
+        hist = _digits(inside, "__v", depth + 1).groupBy(*keys, f"__d{depth}").agg(count)
+    vals = _pick(cells, inside.groupBy(*keys, "__v").agg(count), keys, "__v")
+    at = lambda i: F.max(F.when(F.col("side") == i, F.col("__v")))
+    gap = F.col("hi") - F.col("lo")
+    edge = F.when(F.col("frac") < 0.5, F.col("lo") + gap * F.col("frac")).otherwise(
+        F.col("hi") - gap * (1 - F.col("frac")))
     edges = (
-        vals.groupBy(*group, "k").agg(lo.alias("lo"), hi.alias("hi"), F.max("frac").alias("frac"))
-        .withColumn("edge", F.when(
-            F.col("frac") < 0.5, F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")
-        ).otherwise(F.col("hi") - (F.col("hi") - F.col("lo")) * (1 - F.col("frac"))))
+        vals.groupBy(*group, "k").agg(at(0).alias("lo"), at(1).alias("hi"),
+                                      F.max("frac").alias("frac"))
+        .withColumn("edge", edge)
         .groupBy(*group).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     )
     none = F.array().cast("array<double>")
+    return pin(sizes.join(edges, list(group), "left").select(
+        *group, "n", F.coalesce("edges", none).alias("edges")))
+
+
+def attach_bins(
+    df: DataFrame, edges: DataFrame, group: Sequence[str], value: str, out: str = "bin"
+) -> DataFrame:
+    """Join each group's edges and number the bin of every row.  Ties share a bin."""
     return (
-        sized.join(edges, list(group), "left")
-        .select(*group, "n", "bins", F.coalesce("edges", none).alias("edges"))
+        df.join(F.broadcast(edges), list(group))
+        .withColumn(out, bands_of(F.col(value), F.col("edges"))).drop("edges")
     )
 
 
 def with_bins(
     df: DataFrame, group: Sequence[str], value: str, n_bins: int | Column = 20, out: str = "bin"
 ) -> DataFrame:
-    """Attach the equal-mass bin of every row.  Tied values share a bin."""
-    edges = F.broadcast(equal_mass_edges(df, group, value, n_bins).drop("n", "bins"))
-    return (
-        df.join(edges, list(group))
-        .withColumn(out, bands_of(F.col(value), F.col("edges"))).drop("edges")
-    )
+    """Attach the equal-mass bin of every row."""
+    return attach_bins(df, equal_mass_edges(df, group, value, n_bins).drop("n"), group, value, out)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import EPS_BOARD, log_floor
 from foreledger.operators.increments import causal_sums
-from foreledger.operators.tables import entity_counts, laplace_marginal
+from foreledger.operators.tables import entity_counts, laplace_marginal, offset_of
 
 
 def curve(df: DataFrame, losses: Sequence[tuple[float, Column]], param: str = "param",
@@ -64,8 +64,7 @@ def lambda_shifted(lam: Column | float, n_entities: int) -> Column:
     lam = F.lit(float(lam)) if not isinstance(lam, Column) else lam
     z = F.col("z")
     for i in range(n_entities):
-        off = F.zip_with(f"__c{i}", "__q", lambda c, q, i=i: F.log(
-            (c + lam * q) / (F.col(f"__n{i}") + lam)) - F.log(q))
+        off = offset_of(F.col(f"__c{i}"), F.col(f"__n{i}"), F.col("__q"), lam)
         z = F.zip_with(z, off, lambda a, b: a + b)
     return z
 
