@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("flagship", "windows", "splits", "scoring", "tables", "resample")
+_MODULES = ("flagship", "windows", "splits", "scoring", "tables", "resample", "documents")
 
 
 def _merged(attr: str) -> dict:

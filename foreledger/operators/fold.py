@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreledger.operators.scan import running
+from foreledger.operators.validate import BOWLER_CREDITED, NON_DISMISSALS, position_error
 
 
 def running_state(
@@ -155,3 +156,127 @@ def in_ranges(point: Column, ranges: Column) -> Column:
     """Is a struct inside any inclusive [from, to] range of an array column?"""
     return F.coalesce(F.exists(ranges, lambda r: (r["from"] <= point) & (point <= r["to"])),
                       F.lit(False))
+
+
+# ---- the whole innings fold ---------------------------------------------------
+
+INNINGS = ["match_id", "innings_idx"]
+BALL = ["over_pos", "ball_in_over"]
+
+
+def _names(*cols: str) -> Column:
+    return F.array_distinct(F.array_compact(F.array(*[F.col(c) for c in cols])))
+
+
+def batter_ledgers(df: DataFrame) -> DataFrame:
+    """Runs and legal balls of both named batters before each event.
+
+    Every event is an appearance of two batters.  A batter's ledger is the sum
+    over earlier appearances they survived, restarted when they walk in fresh.
+    They walk in fresh unless an earlier ledger exists and the slot they take
+    is the one predicted to be vacant.  All windows share the innings
+    partitioning of the input, so nothing is shuffled again.
+    """
+    sides = F.array(
+        F.struct(F.lit(0).alias("role"), F.col("batter_id").alias("who"),
+                 F.col("slot_a").isNull().alias("vacant")),
+        F.struct(F.lit(1).alias("role"), F.col("event_non_striker_id").alias("who"),
+                 F.col("slot_b").isNull().alias("vacant")))
+    app = df.withColumn("__row", F.struct(*df.columns)).select(
+        *INNINGS, *BALL, "__row", F.explode(sides).alias("__s")).select("*", "__s.*").drop("__s")
+    alive = ~F.exists("__row.outs", lambda w: w["player_out"] == F.col("who"))
+    striking = (F.col("role") == 0) & alive
+    app = app.withColumns({
+        "r": F.when(striking, F.col("__row.outcome_runs_batter")).otherwise(0),
+        "b": F.when(striking & F.col("__row.legal"), 1).otherwise(0),
+        "stays": alive.cast("int"),
+        "entered": ~F.coalesce(F.array_contains("__row.at_crease", F.col("who")), F.lit(False)),
+    })
+    own = Window.partitionBy(*INNINGS, "who").orderBy(*BALL, "role")
+    past = own.rowsBetween(Window.unboundedPreceding, -1)
+    app = app.withColumn("known", F.coalesce(F.max("stays").over(past), F.lit(0)) == 1)
+    app = app.withColumn("restored", F.col("entered") & F.col("known") & F.col("vacant"))
+    fresh = (F.col("entered") & ~F.col("restored")).cast("int")
+    app = app.withColumn("spell", F.sum(fresh).over(
+        own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    spell = Window.partitionBy(*INNINGS, "who", "spell").orderBy(*BALL, "role").rowsBetween(
+        Window.unboundedPreceding, -1)
+    app = app.withColumn("ledger", F.struct(
+        F.coalesce(F.sum("r").over(spell), F.lit(0)).cast("int").alias("runs"),
+        F.coalesce(F.sum("b").over(spell), F.lit(0)).cast("int").alias("balls"), "restored"))
+    per = app.groupBy(*INNINGS, *BALL).agg(
+        F.first("__row").alias("__row"),
+        F.max(F.when(F.col("role") == 0, F.col("ledger"))).alias("led_a"),
+        F.max(F.when(F.col("role") == 1, F.col("ledger"))).alias("led_b"))
+    return per.select("__row.*", "led_a", "led_b")
+
+
+def innings_fold(events: DataFrame) -> DataFrame:
+    """Pre-event state of every delivery, and the first broken rule on it.
+
+    Input: rows of :func:`foreledger.operators.events.flatten` with the match
+    columns ``dls_applied`` attached.  One exchange by (match, innings): an
+    innings comes out of a single document row, so its size is bounded by it.
+    Appends the stored state columns and ``event_error`` (null when sound).
+    """
+    c = F.col
+    src = events.repartition(*INNINGS).withColumns({
+        "legal": (c("outcome_wides") == 0) & (c("outcome_noballs") == 0),
+        "n_out": F.size(F.filter("outs", lambda w: ~w["kind"].isin(*NON_DISMISSALS))),
+        "out_ids": F.transform("outs", lambda w: w["player_out"]),
+    })
+    st = running_state(
+        src, INNINGS, BALL, value=c("outcome_runs_total"), legal=c("legal"), falls=c("n_out"),
+        flag=c("outcome_noballs") > 0, start=c("penalty_pre"))
+    st = st.withColumnRenamed("last_flag", "last_ball_was_noball")
+    post_legal = c("legal_balls") + c("legal").cast("int")
+    st = predicted_slots(
+        st, INNINGS, BALL, first=c("batter_id"), second=c("event_non_striker_id"), out=c("out_ids"),
+        crossings=c("outcome_runs_batter") + c("outcome_byes") + c("outcome_legbyes")
+        + F.greatest(c("outcome_wides") - 1, F.lit(0)),
+        turn_end=c("legal") & (post_legal % c("balls_per_over") == 0))
+    st = st.withColumn("at_crease", _names("slot_a", "slot_b"))
+    credited = F.size(F.filter("outs", lambda w: w["kind"].isin(*BOWLER_CREDITED)))
+    st = actor_ledger(
+        st, INNINGS, BALL, "event_bowler_id",
+        counters={"bowler_legal_balls": c("legal").cast("int"),
+                  "bowler_runs_conceded": c("outcome_runs_batter") + c("outcome_wides") + c("outcome_noballs"),
+                  "bowler_wickets": credited}).withColumnRenamed("state_event_bowler_id", "bowler_id")
+    st = batter_ledgers(st)
+    st = st.withColumn("event_error", _event_error())
+
+    def slot(slot_col: str, who: str, led: str) -> dict[str, Column]:
+        held = F.when(c(slot_col).isNotNull(), c(slot_col)).when(c(f"{led}.restored"), c(who))
+        of = lambda f: F.when(held == c("batter_id"), c(f"led_a.{f}")).when(
+            held == c("event_non_striker_id"), c(f"led_b.{f}"))
+        return {"id": held, "runs": of("runs"), "balls": of("balls")}
+
+    a, b = slot("slot_a", "batter_id", "led_a"), slot("slot_b", "event_non_striker_id", "led_b")
+    here = F.struct(c("over_number").alias("over"), c("ball_in_over").alias("ball"))
+    return st.withColumns(
+        {f"striker_{k}": e for k, e in a.items()} | {f"non_striker_{k}": e for k, e in b.items()}
+        | {"in_powerplay": in_ranges(here, c("powerplays"))}
+    ).drop("slot_a", "slot_b", "led_a", "led_b", "at_crease", "out_ids", "n_out", "powerplays")
+
+
+def _event_error() -> Column:
+    """Dead innings, then crowded crease, then a departure from off the crease."""
+    c = F.col
+    pair = F.array(c("batter_id"), c("event_non_striker_id"))
+    seen = lambda n: F.array_contains("at_crease", c(n))
+    new = (~seen("batter_id")).cast("int") + (~seen("event_non_striker_id")).cast("int")
+    dead = (
+        (c("wickets") >= 10) | (c("legal_balls") >= c("max_balls"))
+        | F.coalesce((c("runs") >= c("target")) & ~c("dls_applied"), F.lit(False)))
+    crowded = (new > 0) & (new > 2 - F.size("at_crease"))
+    twin = (new > 0) & (c("batter_id") == c("event_non_striker_id"))
+    outs = c("out_ids")
+    absent = (F.size(F.array_except(outs, pair)) > 0) | (F.size(outs) > F.size(F.array_distinct(outs)))
+    where = lambda t: F.concat(F.lit(t), F.concat_ws(
+        "/", c("innings_idx").cast("string"), c("over_number").cast("string"), c("ball_in_over").cast("string")))
+    at = [c("innings_idx"), c("over_pos"), c("ball_in_over")]
+    return (
+        F.when(dead, position_error(*at, F.lit(0), "E_DEAD_STATE", where("delivery after the innings ended at ")))
+        .when(crowded, position_error(*at, F.lit(1), "E_BALL_ACCOUNTING", where("more batters than vacant slots at ")))
+        .when(twin, position_error(*at, F.lit(1), "E_SCHEMA", where("batter is own partner at ")))
+        .when(absent, position_error(*at, F.lit(2), "E_BALL_ACCOUNTING", where("wicket of a player off the crease at "))))
