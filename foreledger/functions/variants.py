@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body`` as a bound variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse(raw: Column) -> Column:
     """Variant of a JSON text, null when it does not parse."""
     return F.try_parse_json(raw)

@@ -53,10 +53,21 @@ def checked_documents(docs: DataFrame) -> DataFrame:
     ``doc`` is parsed only where the structure is sound; ``error`` is the first
     structural or content failure.
     """
-    s = docs.withColumn("__s", VA.structure_errors(F.col("raw")))
-    s = s.withColumn("doc", F.when(F.col("__s").isNull(), F.from_json("raw", DOC_SCHEMA)))
+    s = computed_once(docs, "__s", VA.structure_errors(F.col("raw")))
+    s = computed_once(s, "doc", F.when(F.col("__s").isNull(), F.from_json("raw", DOC_SCHEMA)))
     content = F.when(F.col("doc").isNotNull(), VA.content_errors(F.col("doc")))
-    return s.withColumn("error", F.coalesce("__s", content)).drop("__s")
+    return computed_once(s, "error", F.coalesce("__s", content)).drop("__s")
+
+
+def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Append a costly column behind a generator.
+
+    The optimizer copies a plain projection into every filter and expression
+    that reads it; it does not copy a generator, so the value is worked out
+    once per row.
+    """
+    return df.select("*", F.explode(F.array(F.struct(value.alias("v")))).alias("__g")).select(
+        *df.columns, F.col("__g.v").alias(name))
 
 
 def revised_target(info: Column) -> Column:
