@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-_MODULES = ("flagship", "windows", "splits", "scoring", "tables", "resample", "documents")
+_MODULES = (
+    "flagship", "windows", "splits", "scoring", "tables", "resample", "documents", "census",
+    "streams", "modeling")
 
 
 def _merged(attr: str) -> dict:

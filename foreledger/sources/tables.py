@@ -33,17 +33,21 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def checkpoint_frame(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage.
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use the folder the session names in ``spark.checkpoint.dir``.
 
-    Uses the folder the session names in ``spark.checkpoint.dir``; one is made
-    up only when the setting is absent (local tests).
+    One is made up only where that setting is absent, as in local tests.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and (
-        spark.sparkContext.getCheckpointDir() is None
-    ):
-        import tempfile
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        if named is None:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.sparkContext.setCheckpointDir(named)
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+
+def checkpoint_frame(df: DataFrame) -> DataFrame:
+    """Cut lineage through reliable storage, so a lost executor costs nothing upstream."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
