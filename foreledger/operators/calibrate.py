@@ -11,8 +11,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foreledger.functions.scalar import EPS, clip, log_floor, logit, sigmoid, softmax
-from foreledger.operators.tuning import curve, nll_of_logits
+from foreledger.functions.scalar import EPS, clip, dot, log_floor, logit, sigmoid, softmax
+from foreledger.sources.tables import checkpoint_frame
 
 # Temperature bounds and the thin-cell threshold in labelled groups.
 T_BOUNDS = (0.05, 20.0)
@@ -24,24 +24,30 @@ def temperature_probs(probs: Column, t: float | Column) -> Column:
     return softmax(F.transform(log_floor(probs), lambda x: x / t))
 
 
-def fit_temperature(val: DataFrame, probs: str, y: str, points: int = 17, passes: int = 4) -> float:
+def fit_temperature(val: DataFrame, probs: str, y: str, max_passes: int = 25) -> float:
     """T with the lowest val NLL in T_BOUNDS.
 
-    Every pass evaluates a log-spaced grid in one aggregate over the rows and
-    zooms between the neighbours of its best point; NLL is convex in 1/T, so
-    the minimum stays inside.  Only a curve of ``points`` rows is fetched.
+    NLL is convex in b = 1/T, with slope E[z] - z_y and curvature Var[z] under
+    softmax(b z).  Safeguarded Newton steps: one small aggregate per pass over
+    rows that are written once, two numbers fetched.
     """
-    rows = val.select(log_floor(F.col(probs)).alias("z"), F.col(y).alias("y"))
-    lo, hi = T_BOUNDS
-    best = 1.0
-    for _ in range(passes):
-        ratio = (hi / lo) ** (1.0 / (points - 1))
-        grid = [lo * ratio**i for i in range(points)]
-        losses = [(t, nll_of_logits(F.col("z"), F.col("y"), t)) for t in grid]
-        scores = {r["param"]: r["nll"] for r in curve(rows, losses).collect()}
-        at = min(range(points), key=lambda i: (scores[grid[i]], i))
-        best, lo, hi = grid[at], grid[max(at - 1, 0)], grid[min(at + 1, points - 1)]
-    return best
+    rows = checkpoint_frame(val.select(log_floor(F.col(probs)).alias("z"), F.col(y).cast("int").alias("y")))
+    lo, hi = 1.0 / T_BOUNDS[1], 1.0 / T_BOUNDS[0]
+    b = 1.0
+    for _ in range(max_passes):
+        w = softmax(F.transform("z", lambda x: x * b))
+        step = rows.select("z", "y", w.alias("w")).select(
+            dot(F.col("w"), F.col("z")).alias("m"), dot(F.col("w"), F.transform("z", lambda x: x * x)).alias("m2"),
+            F.element_at("z", F.col("y") + 1).alias("zy"),
+        ).agg(F.avg(F.col("m") - F.col("zy")).alias("g"), F.avg(F.col("m2") - F.col("m") * F.col("m")).alias("h")).first()
+        lo, hi = (b, hi) if step["g"] < 0 else (lo, b)
+        nxt = b - step["g"] / step["h"] if step["h"] > 0 else 0.5 * (lo + hi)
+        if not lo < nxt < hi:
+            nxt = 0.5 * (lo + hi)
+        done, b = abs(nxt - b) < 1e-7 * b, nxt
+        if done:
+            break
+    return 1.0 / b
 
 
 def _vector(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:

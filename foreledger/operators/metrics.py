@@ -93,6 +93,21 @@ def class_calibration(df: DataFrame, probs: str, y: str, n_bins: int = 20,
                              keys)
 
 
+def forecast_calibration(df: DataFrame, columns: Sequence[str], y: str, k: int,
+                         n_bins: int = 20) -> DataFrame:
+    """(forecast, ece, max_ce) of several forecast columns in one set of passes.
+
+    Two-class columns hold doubles; multi-class ones hold arrays, whose ECE is
+    the mean over one-vs-rest classes and whose max is the worst class.
+    """
+    long = df.select(y, F.explode(F.array(*[F.struct(
+        F.lit(c).alias("forecast"), F.col(c).alias("__f")) for c in columns])).alias("r")).select(y, "r.*")
+    if k == 2:
+        return calibration_error(reliability(long, "__f", y, ["forecast"], n_bins), ["forecast"])
+    per = class_calibration(long, "__f", y, n_bins, ["forecast"])
+    return per.groupBy("forecast").agg(F.avg("ece").alias("ece"), F.max("ece").alias("max_ce"))
+
+
 def top_label(df: DataFrame, probs: str, y: str) -> DataFrame:
     """Confidence and correctness of the predicted class (first wins a tie)."""
     return df.withColumns({

@@ -74,15 +74,6 @@ def _losses(i: int, y: str, k: int, prefix: str = "c") -> dict:
     return {f"nll_{i}": M.nll_multi(p, yy, EPS_BOARD), f"brier_{i}": M.brier_multi(p, yy, k)}
 
 
-def _ece(df: DataFrame, i: int, y: str, k: int) -> DataFrame:
-    if k == 2:
-        e = M.calibration_error(M.reliability(df, f"c_{i}", y))
-        return e.select(F.lit(i).alias("i"), "ece", "max_ce")
-    e = M.class_calibration(df, f"c_{i}", y)
-    return e.agg(F.avg("ece").alias("ece"), F.max("ece").alias("max_ce")).select(
-        F.lit(i).alias("i"), "ece", "max_ce")
-
-
 def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, features: Sequence[str], fmt: str,
              y: str = "y", group: str = "match_id", order: Sequence[str] = (),
              n_boot: int = resample.B_RESAMPLES, c_grid: Sequence[float] = models.C_GRID,
@@ -98,18 +89,15 @@ def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, featu
     sv, st, info = calibrated(sv, st, n, y, k, group)
     sv, st = checkpoint_frame(sv), checkpoint_frame(st)
     losses = {key: e for i in range(n) for key, e in _losses(i, y, k).items()}
-    board, eces, gl = None, {}, {}
+    board, gl = None, {}
     for split, df in (("val", sv), ("test", st)):
         gl[split] = checkpoint_frame(M.group_losses(df, [group], losses))
         ci = resample.intervals(gl[split], [group], list(losses), n_boot)
         tagged = ci.select(F.split("metric", "_")[1].cast("int").alias("i"), F.lit(split).alias("split"),
                            F.split("metric", "_")[0].alias("metric"), F.col("point").alias("value"), "lo", "hi")
-        e = None
-        for i in range(n):
-            part = _ece(df, i, y, k)
-            e = part if e is None else e.unionByName(part)
-        eces[split] = pin(e)
-        long = eces[split].select("i", F.explode(F.array(*[F.struct(
+        e = M.forecast_calibration(df, [f"c_{i}" for i in range(n)], y, k)
+        e = pin(e.withColumn("i", F.split("forecast", "_")[1].cast("int")))
+        long = e.select("i", F.explode(F.array(*[F.struct(
             F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("ece", "max_ce")])).alias("r"))
         none = F.lit(None).cast("double")
         rows = tagged.unionByName(long.select(
