@@ -15,11 +15,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = (
-    "flagship_causal_score", "w1_causal_mean", "w2_causal_mean_reset", "w3_local_level_filter", "k1_running_state",
-    "k6_actor_ledger", "k8_slot_prediction", "k15_group_hash", "a14_rollup", "a15_shrunk_table", "a16_entity_offsets",
-    "j5_effect_lookup", "j7_prefix_fallback", "p9_features", "p16_labels", "v17_split_violations", "m1_nll_multi",
-    "m2_nll_binary", "m6_ece", "m7_class_ece", "m8_murphy", "a17_bucket_calibration", "r2_ci", "r3_paired_delta",
-    "l14_tilt", "l15_kappa_curve", "c1_temperature", "l11_lambda_curve", "k14_fact_table",
+    "flagship_causal_score", "w1_causal_mean", "w3_local_level_filter", "k1_running_state", "k6_actor_ledger",
+    "k14_fact_table", "p9_features", "p16_labels", "v17_split_violations", "a15_shrunk_table", "a16_entity_offsets",
+    "j7_prefix_fallback", "m1_nll_multi", "m6_ece", "m7_class_ece", "r3_paired_delta", "l14_tilt", "l15_kappa_curve",
+    "l11_lambda_curve",
 )
 
 

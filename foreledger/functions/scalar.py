@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Probability floors of the metric library and of the leaderboard.
@@ -148,19 +148,25 @@ def hex_word(digest: Column, i: int) -> Column:
     return F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long")
 
 
-def mix32(x: Column) -> Column:
-    """Avalanche a non-negative long to 32 bits.
+def mix32(df: DataFrame, source: str, out: str) -> DataFrame:
+    """Append an avalanche of a non-negative long column to 32 bits.
 
     Two multiply/xor-shift rounds.  Products stay below 2**59, so nothing
-    overflows under ANSI, and plain SQL can repeat the arithmetic.
+    overflows under ANSI, and plain SQL can repeat the arithmetic.  Each round
+    is its own projection, so a round is worked out once per row.
     """
-    for _ in range(2):
-        x = F.shiftright(x, 16).bitwiseXOR(x) * F.lit(73244475)
-        x = x.bitwiseAND(F.lit(4294967295))
-    return F.shiftright(x, 16).bitwiseXOR(x)
-
-
-def seeded_index(seed: int, stream: Column, step: Column, size: Column) -> Column:
-    """Uniform index in [0, size) for (seed, stream, step); size must be < 2**31."""
-    h = mix32(mix32(stream + F.lit(seed)) + step)
-    return F.shiftright(h * size.cast("long"), 32)
+    fold = lambda c: F.shiftright(c, 16).bitwiseXOR(F.col(c))
+    at = source
+    for i in range(2):
+        nxt = f"__{out}{i}"
+        df = df.withColumn(nxt, (fold(at) * F.lit(73244475)).bitwiseAND(F.lit(4294967295)))
+        at = nxt
+    return df.withColumn(out, fold(at)).drop(*[f"__{out}{i}" for i in range(2)])
+
+
+def seeded_index(df: DataFrame, seed: int, stream: str, step: str, size: int, out: str) -> DataFrame:
+    """Append a uniform index in [0, size) for (seed, stream, step); size < 2**31."""
+    df = mix32(df.withColumn("__s", F.col(stream) + F.lit(seed)), "__s", "__h")
+    df = mix32(df.withColumn("__t", F.col("__h") + F.col(step)), "__t", "__g")
+    return df.withColumn(out, F.shiftright(F.col("__g") * F.lit(size).cast("long"), 32)).drop(
+        "__s", "__h", "__t", "__g")

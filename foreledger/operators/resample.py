@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,33 +26,56 @@ BROADCAST_GROUPS = 1_000_000
 
 def draws(spark, n_groups: int, n_boot: int = B_RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """(replicate, idx): n_groups uniform draws with replacement per replicate."""
-    r = spark.range(n_boot * n_groups)
-    rep = F.expr(f"id div {n_groups}")
-    return r.select(rep.alias("replicate"), seeded_index(
-        seed, rep, F.col("id") % n_groups, F.lit(n_groups)).alias("idx"))
+    r = spark.range(n_boot * n_groups).select(
+        F.expr(f"id div {n_groups}").alias("replicate"), (F.col("id") % n_groups).alias("j"))
+    return seeded_index(r, seed, "replicate", "j", n_groups, "idx").select("replicate", "idx")
 
 
 def replicate_sums(losses: DataFrame, key: Sequence[str], sums: Sequence[str], count: str = "n",
                    n_boot: int = B_RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Totals of every sum and of the count per replicate: (replicate, n, sums...).
 
-    The group count is taken first.  A group table within the broadcast limit
-    joins map-side, so only replicate partials are shuffled; beyond it the
-    draws and the table meet in a hash join on the uniform index.
+    The groups are counted first.  Up to BROADCAST_GROUPS of them are broadcast
+    as one array and every task draws whole replicates against it, so nothing
+    is shuffled.  Beyond that, draws and groups meet in a hash join on the
+    uniform index.  Both draw the same indices.
     """
     n_groups = losses.count()
     if not 0 < n_groups < 2**31:
         raise ValueError(f"bootstrap needs 1..2**31-1 groups, got {n_groups}")
-    table = dense_index(losses, key, "idx").select("idx", count, *sums)
-    if n_groups <= BROADCAST_GROUPS:
-        table = F.broadcast(table)
-    d = draws(losses.sparkSession, n_groups, n_boot, seed)
-    return d.join(table, "idx").groupBy("replicate").agg(
-        F.sum(count).alias("n"), *[F.sum(s).alias(s) for s in sums])
-
-
-def _percentiles(samples: DataFrame, col: str) -> Column:
-    return F.percentile(col, F.array(*[F.lit(q) for q in INTERVAL]))
+    spark, cols = losses.sparkSession, [count, *sums]
+    table = dense_index(losses, key, "idx").select("idx", *[F.col(c).cast("double") for c in cols])
+    if n_groups > BROADCAST_GROUPS:
+        return draws(spark, n_groups, n_boot, seed).join(table, "idx").groupBy("replicate").agg(
+            F.sum(count).alias("n"), *[F.sum(s).alias(s) for s in sums])
+    local = table.toArrow().sort_by("idx")
+    values = spark.sparkContext.broadcast(np.column_stack([local.column(c).to_numpy() for c in cols]))
+    schema = ", ".join(["replicate long", "n double", *[f"{s} double" for s in sums]])
+
+    def draw(batches):
+        mat = values.value
+        step = np.arange(len(mat), dtype=np.uint64)
+        for b in batches:
+            reps = b.column(0).to_numpy()
+            out = np.empty((len(reps), mat.shape[1]))
+            for i, r in enumerate(reps):
+                out[i] = mat[draw_indices(seed, int(r), step)].sum(axis=0)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(reps), *[pa.array(out[:, j]) for j in range(out.shape[1])]],
+                ["replicate", "n", *sums])
+
+    return spark.range(n_boot).mapInArrow(draw, schema)
+
+
+def draw_indices(seed: int, replicate: int, step: np.ndarray) -> np.ndarray:
+    """The indices of one replicate, by the arithmetic of ``seeded_index``."""
+    def mix(x):
+        for _ in range(2):
+            x = (((x >> np.uint64(16)) ^ x) * np.uint64(73244475)) & np.uint64(0xFFFFFFFF)
+        return (x >> np.uint64(16)) ^ x
+
+    h = mix(np.asarray([replicate + seed], dtype=np.uint64))
+    return ((mix(h + step) * np.uint64(len(step))) >> np.uint64(32)).astype(np.int64)
 
 
 def intervals(losses: DataFrame, key: Sequence[str], metrics: Sequence[str],

@@ -1,10 +1,11 @@
 """Ordered scans and order statistics that survive a hot group.
 
-A plain window puts a whole group in one task.  Here a group can be cut into
-chunks by any expressions that rise with the row order: each chunk is scanned
-on its own, a one-row summary per chunk carries the earlier totals forward,
-and the two meet in a join on (group, chunk), the partitioning the rows have
-already.  Rows are shuffled once.
+A plain window puts a whole group in one task.  Here the groups are counted
+first; those above HOT_ROWS are cut into chunks by expressions that rise with
+the row order.  Each chunk is scanned on its own, a one-row summary per chunk
+carries the earlier totals forward, and the two meet in a join on (group,
+chunk), the partitioning the rows have already.  Rows are shuffled once, and
+where no group is hot the plan is the plain window.
 """
 
 from __future__ import annotations
@@ -25,28 +26,51 @@ def time_chunk(ts: str, seconds: int = 86_400) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
+# A group above this many rows is scanned in chunks.
+HOT_ROWS = 1_000_000
+
+
+def split_hot(df: DataFrame, group: Sequence[str], chunk: Sequence[Column],
+              hot_rows: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Append chunk columns that are set in hot groups and null elsewhere.
+
+    Returns the frame and the chunk names; no names when no group is hot.
+    There are at most rows / HOT_ROWS hot groups, so their list is small.
+    """
+    if not chunk:
+        return df, []
+    limit = HOT_ROWS if hot_rows is None else hot_rows
+    hot = pin(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(
+        F.col("__n") > limit).drop("__n").withColumn("__hot", F.lit(True)))
+    if hot.isEmpty():
+        return df, []
+    names = [f"__chunk{i}" for i in range(len(chunk))]
+    marked = df.join(F.broadcast(hot), list(group), "left")
+    return marked.select(*df.columns, *[
+        F.when(F.col("__hot"), c).alias(n) for n, c in zip(names, chunk)]), names
+
+
 def running(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[str],
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
-    chunk: Sequence[Column] = (),
+    chunk: Sequence[Column] = (), hot_rows: int | None = None,
 ) -> DataFrame:
     """Append running values over the rows strictly before each row.
 
     ``sums``  name -> expression: sum of the expression over earlier rows, 0 if none.
     ``lasts`` name -> expression: latest earlier non-null value, null if none.
-    ``chunk`` monotone expressions of ``order``; empty when a group is bounded
-    by construction (for example by the document it came from).
+    ``chunk`` monotone expressions of ``order`` to cut hot groups by; empty when
+    a group is bounded by construction (for example by its document).
     Group and chunk columns must not be null.
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    names = [f"__chunk{i}" for i in range(len(chunk))]
+    src, names = split_hot(df, group, chunk, hot_rows)
     keys = [*group, *names]
-    src = df.withColumns(
-        dict(zip(names, chunk))
-        | {f"__s_{n}": e for n, e in sums.items()}
+    src = src.withColumns(
+        {f"__s_{n}": e for n, e in sums.items()}
         | {f"__l_{n}": e for n, e in lasts.items()}
     )
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_BEFORE)
@@ -61,7 +85,7 @@ def running(
             *[F.col(f"__pl_{n}").alias(n) for n in lasts],
         )
     at = F.struct(*order)
-    summary = src.groupBy(*keys).agg(
+    summary = src.filter(F.col(names[0]).isNotNull()).groupBy(*keys).agg(
         *[F.sum(f"__s_{n}").alias(f"__ts_{n}") for n in sums],
         *[
             F.max_by(f"__l_{n}", F.when(F.col(f"__l_{n}").isNotNull(), at)).alias(f"__tl_{n}")
@@ -122,10 +146,15 @@ def pin(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     Counted as it is fetched: up to ``max_rows`` rows become a local relation,
     a larger frame goes to the reliable checkpoint folder instead.
     """
+    return _pin(df, max_rows)[0]
+
+
+def _pin(df: DataFrame, max_rows: int = 100_000):
+    """The pinned frame and, when it is small, its Arrow table."""
     head = df.limit(max_rows + 1).toArrow()
     if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, df.schema)
-    return checkpoint_frame(df)
+        return df.sparkSession.createDataFrame(head, df.schema), head
+    return checkpoint_frame(df), None
 
 
 def _digit(x: Column) -> Column:
@@ -188,9 +217,10 @@ def equal_mass_edges(
     bins = F.lit(n_bins) if isinstance(n_bins, int) else n_bins
     keys, cells = list(group), _edge_ranks(sizes, group, bins)
     for depth in range(1, _MAX_DIGITS + 1):
-        cells = pin(_pick(cells, hist, keys, f"__d{depth - 1}"))
+        cells, local = _pin(_pick(cells, hist, keys, f"__d{depth - 1}"))
         keys.append(f"__d{depth - 1}")
-        largest = cells.agg(F.max("__n")).first()[0]
+        largest = (max(local.column("__n").to_pylist(), default=None) if local is not None
+                   else cells.agg(F.max("__n")).first()[0])
         inside = _digits(src, "__v", depth).join(
             F.broadcast(cells.select(*keys).distinct()), keys, "left_semi")
         if largest is None or largest <= CELL_ROWS or depth == _MAX_DIGITS:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Split labels in time order and their cumulative shares.
@@ -15,17 +15,20 @@ def temporal_bounds(
 ) -> DataFrame:
     """One row (b1, b2): the dates at sorted positions floor(share*n), zero-based.
 
-    Dates are counted first; the running count then sees one row per calendar
+    Dates are counted first; the running count then sees one entry per calendar
     day, however many groups there are.
     """
-    days = groups.groupBy(F.col(date_col).alias("d")).count().filter("d is not null")
-    w = Window.orderBy("d")
-    cum = days.select("d", F.sum("count").over(w).alias("hi"), F.sum("count").over(
-        w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"))
-    return cum.agg(*[
-        F.min(F.when(F.col("hi") > F.floor(F.col("n") * s), F.col("d"))).alias(f"b{i + 1}")
-        for i, s in enumerate(shares)
-    ])
+    days = groups.groupBy(F.col(date_col).alias("d")).agg(F.count(F.lit(1)).alias("c")).filter("d is not null")
+    ordered = days.agg(F.sort_array(F.collect_list(F.struct("d", "c"))).alias("ds"), F.sum("c").alias("n"))
+
+    def at(share: float) -> Column:
+        rank = F.floor(F.col("n") * share)
+        start = F.named_struct(F.lit("seen"), F.lit(0).cast("long"), F.lit("d"), F.lit(None).cast("date"))
+        return F.aggregate("ds", start, lambda a, x: F.named_struct(
+            F.lit("seen"), a["seen"] + x["c"],
+            F.lit("d"), F.when(a["d"].isNull() & (a["seen"] + x["c"] > rank), x["d"]).otherwise(a["d"])))["d"]
+
+    return ordered.select(*[at(s).alias(f"b{i + 1}") for i, s in enumerate(shares)])
 
 
 def split_label(date: Column, b1: Column, b2: Column) -> Column:
@@ -35,9 +38,13 @@ def split_label(date: Column, b1: Column, b2: Column) -> Column:
 def assign_split(
     df: DataFrame, date_col: str, bounds: DataFrame, out: str = "temporal_split"
 ) -> DataFrame:
-    """Label rows against a one-row bounds frame, read as two scalar subqueries."""
-    b1, b2 = bounds.select("b1").scalar(), bounds.select("b2").scalar()
-    return df.withColumn(out, split_label(F.col(date_col), b1, b2))
+    """Label rows against a one-row bounds frame.
+
+    The two dates are fetched and become literals, so a filter on the label
+    turns into a date range the scan can use.
+    """
+    b = bounds.select("b1", "b2").first()
+    return df.withColumn(out, split_label(F.col(date_col), F.lit(b["b1"]), F.lit(b["b2"])))
 
 
 def date_ranges(groups: DataFrame, date_col: str, split_col: str = "temporal_split") -> DataFrame:
