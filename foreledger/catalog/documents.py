@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foreledger.catalog.base import table
-from foreledger.operators import census, digest, events as E, validate as VA
+from foreledger.operators import census, events as E, validate as VA
 from foreledger.plans import corpus as C
 
 BALLS = 120
@@ -298,7 +298,7 @@ SQL = {
       WHERE reason IS NOT NULL AND reason <> 'E_FORMAT_OOS' GROUP BY 1 ORDER BY total DESC, competition LIMIT 10""",
     "o3_first_examples": _Q + """SELECT reason, match_id FROM (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY match_id) AS r
       FROM q WHERE reason IS NOT NULL) WHERE r <= 3""",
-    "a21_versions": _Q + """SELECT CASE m % 16 WHEN 5 THEN '0.9.0' ELSE '1.2.0' END AS version, count(*) AS n FROM q GROUP BY 1""",
+    "a21_versions": _Q + """SELECT CASE m % 16 WHEN 12 THEN 'None' WHEN 5 THEN '0.9.0' ELSE '1.2.0' END AS version, count(*) AS n FROM q GROUP BY 1""",
     "v16_warnings": _Q + """SELECT match_id, 1::BIGINT AS innings_idx, 3::BIGINT AS over_number, 7::BIGINT AS allowed FROM q
       WHERE m % 16 = 2 AND e1 IS NULL""",
     "v12_over_reconciliation": _Q + """SELECT match_id, min(i) + 1 AS innings, 0::BIGINT AS over_pos, 'E_BALL_ACCOUNTING' AS reason FROM
@@ -337,4 +337,3 @@ SQL = {
       FROM ids JOIN doc USING (m) WHERE p IS NOT NULL GROUP BY p""",
     "k16_corpus_fingerprint": "SELECT 64::BIGINT AS hash_length, 1::BIGINT AS identical",
 }
-_ = digest

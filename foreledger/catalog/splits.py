@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foreledger.catalog.base import (
-    LI_KEY, LI_ORDER, SQL_BOUNDS, SQL_LINES, VALUE_EDGES, bounds, lines_split, orders_split, table)
+    LI_KEY, LI_ORDER, SQL_BOUNDS, SQL_LINES, bounds, lines_split, orders_split, table)
 from foreledger.functions import band_left, band_right
 from foreledger.operators import census, features, labels, splits
 
@@ -343,4 +343,3 @@ SQL = {
       FROM lineitem GROUP BY ALL""",
     "g4_poison_column": "SELECT * FROM (VALUES ('clean', 0::BIGINT), ('dirty', 0::BIGINT)) v(side, n)",
 }
-_ = VALUE_EDGES

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foreledger.catalog.base import (
     EV_ORDER, EVENT_CLASSES, EVENT_VALENCE, LI_KEY, LI_ORDER, SQL_EVENT_SCORED, SQL_EVENTS, SQL_LINES,
-    day_chunk, event_marginal, event_split, lines_split, scored_events, table)
+    day_chunk, event_marginal, event_split, lines_split, scored_events)
 from foreledger.functions import band_right
 from foreledger.operators import increments as I
 from foreledger.operators import tables as T
@@ -292,4 +291,3 @@ SQL = {
       SELECT kappa, round(avg(ln(list_sum(z)) - ln(z[y + 1])), 8) AS nll FROM z GROUP BY kappa""",
 }
 SQL["o4_arg_min"] = f"""SELECT lam AS best FROM ({SQL['l11_lambda_curve']}) ORDER BY nll, lam LIMIT 1"""
-_ = (Window, table)
