@@ -40,9 +40,9 @@ def split_hot(df: DataFrame, group: Sequence[str], chunk: Sequence[Column],
     if not chunk:
         return df, []
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot = pin(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(
+    hot, local = _pin(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(
         F.col("__n") > limit).drop("__n").withColumn("__hot", F.lit(True)))
-    if hot.isEmpty():
+    if local is not None and local.num_rows == 0:
         return df, []
     names = [f"__chunk{i}" for i in range(len(chunk))]
     marked = df.join(F.broadcast(hot), list(group), "left")
