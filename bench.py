@@ -1,8 +1,8 @@
 """Headline timings: one JSON line on stdout.
 
 Reads $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS].
-Each query runs once to warm up the JVM and once for the record; the result is
-written to the no-op sink, so every row is produced.
+The flagship runs once to warm up the JVM; each query then runs once for the
+record.  Results go to the no-op sink, so every row is produced.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ def main() -> None:
     names = [n for n in (os.environ.get("BENCH_QUERIES", "").split(",")) if n] or HEADLINE
     run = lambda q: q(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
+    run(todo["flagship_causal_score"])
     for name in names:
-        run(todo[name])
         t0 = time.perf_counter()
         run(todo[name])
         times[name] = round(time.perf_counter() - t0, 3)
