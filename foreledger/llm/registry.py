@@ -25,6 +25,14 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    from foreledger.llm import simhash
+
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a record per page to a content-addressed archive and read the archive back."""
     from foreledger.llm import warc
