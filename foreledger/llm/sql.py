@@ -40,4 +40,22 @@ SELECT page_id, payload_bytes,
 FROM words
 """
 
-SQL = {"op5_chat_format": CHAT, "op9_warc_archive": WARC}
+DECONTAMINATE = """
+WITH told AS (
+  SELECT 'd' AS kind, doc_id AS id, md5(coalesce(text, '')) AS version,
+    regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM documents
+  UNION ALL
+  SELECT 'i', item_id, md5(coalesce(text, '')), regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')
+  FROM benchmark),
+shingles AS (
+  SELECT DISTINCT kind, id, version, array_to_string(w[k:k + 4], ' ') AS shingle
+  FROM (SELECT kind, id, version, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM told WHERE len(w) > 0)),
+items AS (SELECT id, version, shingle, count(*) OVER (PARTITION BY id, version) AS n FROM shingles WHERE kind = 'i')
+SELECT DISTINCT doc_id, item_id, n_item, n_shared, n_shared / n_item AS containment
+FROM (SELECT d.id AS doc_id, d.version AS dv, i.id AS item_id, i.version AS iv, any_value(n) AS n_item,
+    count(*) AS n_shared
+  FROM shingles d JOIN items i USING (shingle) WHERE d.kind = 'd' GROUP BY 1, 2, 3, 4)
+WHERE n_shared / n_item >= 0.8
+"""
+
+SQL = {"op7_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT, "op9_warc_archive": WARC}

@@ -29,3 +29,20 @@ def byte_words(text: str | None, lower: bool = False) -> Iterator[list[bytes]]:
         if words := data[at:end].split():
             yield words
         at = end
+
+
+BLOCK_CHARS = 1 << 20
+WORD = re.compile(r"[^\W_]+")
+_BREAK = re.compile(r"[\W_]")
+
+
+def plain_words(text: str | None) -> Iterator[list[str]]:
+    """Lists of the lower-case runs of letters and digits of a text, in order."""
+    text = (text or "").lower()
+    at = 0
+    while at < len(text):
+        gap = _BREAK.search(text, at + BLOCK_CHARS)
+        end = gap.start() if gap else len(text)
+        if words := WORD.findall(text, at, end):
+            yield words
+        at = end
