@@ -41,6 +41,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared", "containment").distinct()
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret spans of every document."""
+    from foreledger.llm import secrets
+
+    return secrets.span_digests(secrets.scan(_table(spark, sf_dir, "documents")))
+
+
 def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write a record per page to a content-addressed archive and read the archive back."""
     from foreledger.llm import warc
