@@ -33,6 +33,7 @@ SEED = 42
 RADIUS = 2
 TILE_ROWS = 1024
 BAND_BITS = 8
+CROSS_ROWS = 1 << 21
 
 
 def _bit_sums(words: list[bytes], shingle: int) -> tuple[np.ndarray, int]:
@@ -84,16 +85,33 @@ def _masks(radius: int) -> list[int]:
     return [m - (1 << 64) if m >= 1 << 63 else m for m in (a | b for a, b in combinations(block, 2))]
 
 
-def _links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (value, root) that join the two tiles' rows as their links do."""
-    rows = 1 + (1 << 20) // max(len(b), 1)
-    found = [np.argwhere(np.bitwise_count(a[k:k + rows, None] ^ b[None, :]) <= radius) + (k, 0)
-             for k in range(0, len(a), rows)]
-    i, j = np.concatenate(found).T
-    values, place = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = place[i], place[len(a) + j]
+def _crossed(left: pa.ListArray, right: pa.ListArray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values (a, b) within the radius, over every row's left tile against its right tile."""
+    a, b = left.values.to_numpy(), right.values.to_numpy()
+    from_a, from_b = left.offsets.to_numpy().astype(np.int64), right.offsets.to_numpy().astype(np.int64)
+    n_a, n_b = np.diff(from_a), np.diff(from_b)
+    total = np.cumsum(n_a * n_b)
+    us, vs, row = [], [], 0
+    while row < len(total):
+        done = total[row - 1] if row else 0
+        stop = max(row + 1, int(np.searchsorted(total, done + CROSS_ROWS, "right")))
+        sizes = (n_a * n_b)[row:stop]
+        of = np.repeat(np.arange(row, stop), sizes)
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        x, y = a[from_a[of] + nth // n_b[of]], b[from_b[of] + nth % n_b[of]]
+        near = np.flatnonzero(np.bitwise_count(x ^ y) <= radius)
+        us.append(x[near])
+        vs.append(y[near])
+        row = stop
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (value, root) that join values as the links (u, v) do."""
+    values, place = np.unique(np.concatenate([u, v]), return_inverse=True)
+    i, j = place[:len(u)], place[len(u):]
     root = np.arange(len(values))
-    while len(i):
+    while True:
         before = root.copy()
         least = np.minimum(root[i], root[j])
         np.minimum.at(root, i, least)
@@ -108,22 +126,17 @@ def _links(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.nd
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
-            for left, right in zip(batch.column(0), batch.column(1)):
-                u, v = _links(left.values.to_numpy(), right.values.to_numpy(), radius)
-                us.append(u)
-                vs.append(v)
-            if us:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+            if batch.num_rows:
+                u, v = _forest(*_crossed(batch.column(0), batch.column(1), radius))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
     return run
 
 
 def linked_pairs(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Edges (u, v) over a column ``fp`` of distinct fingerprints.
 
-    They connect exactly the fingerprints that chains of links connect; inside a tile
-    pair links are reduced to a forest, so a dense group gives no square of edges.
+    They connect exactly the fingerprints that chains of links connect; the links of a
+    batch of tile pairs are reduced to a forest, so a dense group gives no square of edges.
     """
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius)])
     keyed = distinct.select("fp", F.posexplode(keys).alias("t", "key"))
