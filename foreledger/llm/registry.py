@@ -88,6 +88,13 @@ def op9_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with keyed surrogates for the personal data in it."""
+    from foreledger.llm import pii
+
+    return pii.pseudonymised(_table(spark, sf_dir, "documents"), secret="corpus-surrogates-v1")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
