@@ -99,7 +99,7 @@ def _crossed(left: pa.ListArray, right: pa.ListArray, radius: int) -> tuple[np.n
         of = np.repeat(np.arange(row, stop), sizes)
         nth = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         x, y = a[from_a[of] + nth // n_b[of]], b[from_b[of] + nth % n_b[of]]
-        near = np.flatnonzero(np.bitwise_count(x ^ y) <= radius)
+        near = np.flatnonzero(np.bitwise_count((x ^ y).view(np.uint64)) <= radius)
         us.append(x[near])
         vs.append(y[near])
         row = stop
