@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from foreledger import functions as fn
@@ -12,12 +10,12 @@ from foreledger.catalog.base import (
     scored_events, table)
 from foreledger.operators import census as C, metrics as M, tables as T
 from foreledger.sources import integrity, sinks, tables as S
+from foreledger.sources.stored import scratch_path
 
 
 def scratch(spark) -> str:
-    """A fresh folder in the session's shared checkpoint area."""
-    S.ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
+    """A fresh folder on the shared folder of the session."""
+    return scratch_path(spark, "scratch")
 
 
 def a4_distinct_count(spark, sf):

@@ -112,9 +112,9 @@ def documents(spark, sf):
 
 
 def _built(spark, sf):
-    from foreledger.sources.tables import checkpoint_frame
+    from foreledger.sources.stored import stored
 
-    return C.build(checkpoint_frame(documents(spark, sf)))
+    return C.build(stored(documents(spark, sf)))
 
 
 def v11_quarantine(spark, sf):
@@ -138,9 +138,9 @@ def a8_coverage(spark, sf):
 
 
 def a9_reason_crosstab(spark, sf):
-    from foreledger.sources.tables import checkpoint_frame
+    from foreledger.sources.stored import stored
 
-    docs = checkpoint_frame(documents(spark, sf))
+    docs = stored(documents(spark, sf))
     comp = docs.select("match_id", F.coalesce(F.get_json_object("raw", "$.info.event.name"), F.lit("?")).alias("competition"))
     q = C.build(docs).quarantine.filter("reason != 'E_FORMAT_OOS'").join(comp, "match_id", "left")
     return census.crosstab(q, "competition", "reason", VA.REASONS, top=10)

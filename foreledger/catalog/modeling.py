@@ -8,7 +8,7 @@ from foreledger.catalog.base import EV_ORDER, EVENT_CLASSES, EVENT_VALENCE, LI_K
 from foreledger.catalog.splits import fact_view
 from foreledger.operators import calibrate as C, features as FE, metrics as M, models as MO, tables as T
 from foreledger.plans import increment, leaderboard
-from foreledger.sources.tables import checkpoint_frame
+from foreledger.sources.stored import stored
 
 K = len(EVENT_CLASSES)
 NUMERIC = [c for c in FE.FEATURE_COLUMNS if c not in ("gender_female", "is_chase", "target_runs")]
@@ -18,7 +18,7 @@ def _assembled(spark, sf):
     """Binary rows over every line: the feature matrix, y = returned, split and key columns."""
     f = fact_view(spark, sf).withColumn("y", F.when(F.col("l_returnflag") == "R", 1).otherwise(0))
     keep = ["match_id", "y", "temporal_split", *LI_KEY]
-    return checkpoint_frame(FE.build_features(f, keep))
+    return stored(FE.build_features(f, keep))
 
 
 def _parts(df):
@@ -28,7 +28,7 @@ def _parts(df):
 def _scored(spark, sf):
     from foreledger.catalog.base import scored_lines
 
-    return _parts(checkpoint_frame(scored_lines(spark, sf).select("p", "y", "temporal_split")))
+    return _parts(stored(scored_lines(spark, sf).select("p", "y", "temporal_split")))
 
 
 def c2_platt(spark, sf):
@@ -119,7 +119,7 @@ def l16_run_cell(spark, sf):
 def r6_identity_gate(spark, sf):
     ev = scored_events(spark, sf).withColumnRenamed("p", "base").select(
         "event_id", "user_id", F.hour("ts").alias("hour"), "y", "base", "temporal_split")
-    train, val, test = _parts(checkpoint_frame(ev))
+    train, val, test = _parts(stored(ev))
     g = increment.identity_gate(train, val, test, k=K, entities=["user_id", "hour"], key=["event_id"], group="user_id",
                                 grid=(100.0, 1600.0), n_boot=500)
     return g["verdict"].select("metric", "point", "lo", "hi", "rel_pct", "bits", "verdict")

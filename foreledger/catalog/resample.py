@@ -9,7 +9,7 @@ from foreledger.catalog.base import (
 from foreledger.operators import guards, metrics as M
 from foreledger.operators import resample as R
 from foreledger.operators import tables as T
-from foreledger.sources.tables import checkpoint_frame
+from foreledger.sources.stored import stored
 
 K = len(EVENT_CLASSES)
 
@@ -18,7 +18,7 @@ def user_losses(spark, sf):
     """Per-user loss sums of three forecasts of the next event class, written once."""
     s = scored_events(spark, sf)
     uni = F.array(*[F.lit(0.2)] * K)
-    return checkpoint_frame(M.group_losses(s, ["user_id"], {
+    return stored(M.group_losses(s, ["user_id"], {
         "nll": M.nll_multi(F.col("p"), F.col("y")), "nll0": M.nll_multi(F.col("p0"), F.col("y")),
         "nllu": M.nll_multi(uni, F.col("y")),
         "brier": M.brier_multi(F.col("p"), F.col("y"), K)}))

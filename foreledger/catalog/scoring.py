@@ -9,7 +9,7 @@ from foreledger.catalog.base import (
 from foreledger.functions import arg_max
 from foreledger.operators import metrics as M
 
-from foreledger.sources.tables import checkpoint_frame
+from foreledger.sources.stored import stored
 
 K = len(EVENT_CLASSES)
 R = 9
@@ -17,11 +17,11 @@ R = 9
 
 def _lines(spark, sf, *cols):
     """Scored lines, written once: calibration reads them several times."""
-    return checkpoint_frame(scored_lines(spark, sf).select(*cols, "p", "y"))
+    return stored(scored_lines(spark, sf).select(*cols, "p", "y"))
 
 
 def _events(spark, sf):
-    return checkpoint_frame(scored_events(spark, sf).select("p", "y"))
+    return stored(scored_events(spark, sf).select("p", "y"))
 
 
 def _r(df, *keep):

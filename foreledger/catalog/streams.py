@@ -4,15 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foreledger.catalog.base import table
 from foreledger.catalog.census import scratch
 from foreledger.streaming import fold as SF
 
+# Events that the stream brings again at its end.
+RESENT = "event_id % 97 = 0"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _stream(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(f"{sf}/events.parque[t]")
+SLICES = 4
+
+
+def _stream(spark, sf, base):
+    """All events as files of rising time, one micro-batch each.
+
+    A last file brings some of the events a second time, late.
+    """
+    e = table(spark, sf, "events")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    lo, hi = e.agg(F.min(micros), F.max(micros)).first()
+    part = F.least(F.floor((micros - lo) * SLICES / F.lit(hi - lo + 1)), F.lit(SLICES - 1))
+    for k in range(SLICES):
+        e.filter(part == k).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    e.filter(RESENT).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
 
 
 def _folded(spark, sf):
@@ -23,7 +39,7 @@ def _folded(spark, sf):
     try:
         order = F.concat(F.date_format("ts", "yyyyMMddHHmmssSSSSSS"), F.lpad(F.col("event_id").cast("string"), 20, "0"))
         f = SF.stream_fold(
-            _stream(spark, sf), "user_id", order, value=F.col("value"), legal=F.col("event_type") != "signup",
+            _stream(spark, sf, base), "user_id", order, value=F.col("value"), legal=F.col("event_type") != "signup",
             fall=F.col("event_type") == "error", signal=F.round(F.col("value") * 100), keep=["event_id"])
         SF.drain_to(f, f"{base}/out", f"{base}/ckpt")
         return spark.read.parquet(f"{base}/out")
@@ -50,9 +66,8 @@ def st3_stream_quarantine(spark, sf):
     base = scratch(spark)
     reason = F.when(F.col("event_type") == "error", "E_OTHER").when(F.col("value") > 200, "E_SCHEMA")
     q = SF.route_stream(
-        _stream(spark, sf), reason,
-        lambda d: d.write.mode("append").parquet(f"{base}/good"),
-        lambda d: d.write.mode("append").parquet(f"{base}/bad"), f"{base}/ckpt")
+        _stream(spark, sf, base), reason, SF.replace_epoch(f"{base}/good"), SF.replace_epoch(f"{base}/bad"),
+        f"{base}/ckpt")
     q.awaitTermination()
     good = spark.read.parquet(f"{base}/good").select(F.lit("OK").alias("reason"), "value")
     bad = spark.read.parquet(f"{base}/bad").select("reason", "value")
@@ -62,14 +77,23 @@ def st3_stream_quarantine(spark, sf):
 QUERIES = {f.__name__: f for f in (st1_stream_fold, st2_stream_mean, st3_stream_quarantine)}
 SQL = {
     "st1_stream_fold": """WITH a AS (SELECT *, (event_type <> 'signup')::INT AS l, (event_type = 'error')::INT AS e,
-        sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) - (event_type = 'error')::INT AS isl FROM events)
+        sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) - (event_type = 'error')::INT AS isl FROM events),
+      done AS (SELECT user_id, sum(value) AS v, sum(l) AS l, sum(e) AS e,
+        sum(value) FILTER (e = 0 AND isl = tops) AS since FROM (SELECT *, sum(e) OVER (PARTITION BY user_id) AS tops FROM a) GROUP BY user_id)
+      SELECT event_id, round(v, 4) AS runs, d.l::BIGINT AS legal_balls, d.e::BIGINT AS wickets,
+        round(coalesce(since, 0), 4) AS partnership_runs, 1::BIGINT AS late FROM events JOIN done d USING (user_id) WHERE event_id % 97 = 0
+      UNION ALL
       SELECT event_id, round(coalesce(sum(value) OVER w, 0), 4) AS runs, coalesce(sum(l) OVER w, 0)::BIGINT AS legal_balls,
         coalesce(sum(e) OVER w, 0)::BIGINT AS wickets, round(coalesce(sum(value) OVER p, 0), 4) AS partnership_runs, 0::BIGINT AS late FROM a
       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
         p AS (PARTITION BY user_id, isl ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
-    "st2_stream_mean": """SELECT event_id, count(*) OVER w AS n_before,
+    "st2_stream_mean": """SELECT event_id, count(*) OVER u AS n_before,
+      sum(round(value * 100)) OVER u / (count(*) OVER u + 25.0) / 100 AS theta FROM events
+      WINDOW u AS (PARTITION BY user_id) QUALIFY event_id % 97 = 0
+      UNION ALL SELECT event_id, count(*) OVER w AS n_before,
       coalesce(sum(round(value * 100)) OVER w, 0) / (count(*) OVER w + 25.0) / 100 AS theta FROM events
       WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
     "st3_stream_quarantine": """SELECT CASE WHEN event_type = 'error' THEN 'E_OTHER' WHEN value > 200 THEN 'E_SCHEMA' ELSE 'OK' END AS reason,
-      count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1""",
+      count(*) AS n, round(sum(value), 2) AS total
+      FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 97 = 0) GROUP BY 1""",
 }

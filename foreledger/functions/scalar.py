@@ -12,12 +12,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foreledger.functions.variants import let
+
 # Probability floors of the metric library and of the leaderboard.
 EPS = 1e-15
 EPS_BOARD = 1e-12
 
 __all__ = [
-    "EPS", "EPS_BOARD", "clip", "logit", "sigmoid", "softmax", "log_floor", "one_hot",
+    "EPS", "EPS_BOARD", "clip", "logit", "sigmoid", "softmax", "total", "shared_out", "log_floor", "one_hot",
     "dot", "outer_scale", "arg_max", "band_right", "band_left", "bands_of", "safe_div",
     "nats_to_bits", "flag", "fill_zero", "text_or", "iso_date", "is_digits",
     "null_if_empty", "sha256_text", "mix32", "seeded_index", "hex_word", "key_text",
@@ -45,11 +47,20 @@ def sigmoid(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-z))
 
 
+def total(a: Column) -> Column:
+    """Sum of an array's elements, from the first to the last."""
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+
+
+def shared_out(a: Column) -> Column:
+    """Every element over the total; the array and its total are evaluated once a row."""
+    return let(a, lambda v: let(total(v), lambda t: F.transform(v, lambda x: x / t)))
+
+
 def softmax(z: Column) -> Column:
     """Softmax of an array column, shifted by its maximum."""
-    shifted = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(shifted, lambda x: x / total)
+    shifted = let(z, lambda v: let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m))))
+    return shared_out(shifted)
 
 
 def log_floor(p: Column, eps: float = EPS_BOARD) -> Column:
@@ -64,7 +75,7 @@ def one_hot(y: Column, k: int) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return total(F.zip_with(a, b, lambda x, y: x * y))
 
 
 def outer_scale(scalar: Column, direction: Column) -> Column:

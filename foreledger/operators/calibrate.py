@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import EPS, clip, dot, log_floor, logit, sigmoid, softmax
-from foreledger.sources.tables import checkpoint_frame
+from foreledger.sources.stored import stored
 
 # Temperature bounds and the thin-cell threshold in labelled groups.
 T_BOUNDS = (0.05, 20.0)
 THIN_CELL = 300
+# Every pass that is not a Newton step halves the bracket, so this many always do.
+MAX_PASSES = 100
 
 
 def temperature_probs(probs: Column, t: float | Column) -> Column:
@@ -24,17 +26,17 @@ def temperature_probs(probs: Column, t: float | Column) -> Column:
     return softmax(F.transform(log_floor(probs), lambda x: x / t))
 
 
-def fit_temperature(val: DataFrame, probs: str, y: str, max_passes: int = 25) -> float:
+def fit_temperature(val: DataFrame, probs: str, y: str) -> float:
     """T with the lowest val NLL in T_BOUNDS.
 
     NLL is convex in b = 1/T, with slope E[z] - z_y and curvature Var[z] under
     softmax(b z).  Safeguarded Newton steps: one small aggregate per pass over
     rows that are written once, two numbers fetched.
     """
-    rows = checkpoint_frame(val.select(log_floor(F.col(probs)).alias("z"), F.col(y).cast("int").alias("y")))
+    rows = stored(val.select(log_floor(F.col(probs)).alias("z"), F.col(y).cast("int").alias("y")))
     lo, hi = 1.0 / T_BOUNDS[1], 1.0 / T_BOUNDS[0]
     b = 1.0
-    for _ in range(max_passes):
+    for _ in range(MAX_PASSES):
         w = softmax(F.transform("z", lambda x: x * b))
         step = rows.select("z", "y", w.alias("w")).select(
             dot(F.col("w"), F.col("z")).alias("m"), dot(F.col("w"), F.transform("z", lambda x: x * x)).alias("m2"),
@@ -45,9 +47,9 @@ def fit_temperature(val: DataFrame, probs: str, y: str, max_passes: int = 25) ->
         if not lo < nxt < hi:
             nxt = 0.5 * (lo + hi)
         done, b = abs(nxt - b) < 1e-7 * b, nxt
-        if done:
-            break
-    return 1.0 / b
+        if done or hi - lo < 1e-7 * lo:
+            return 1.0 / b
+    raise RuntimeError(f"no temperature found in {MAX_PASSES} passes")
 
 
 def _vector(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
@@ -73,27 +75,6 @@ def fit_platt(val: DataFrame, p: str, y: str) -> Platt:
     return Platt(float(m.coefficients[0]), float(m.intercept))
 
 
-@dataclass(frozen=True)
-class Isotonic:
-    xs: tuple[float, ...]
-    ys: tuple[float, ...]
-
-    def apply(self, p: Column, eps: float = EPS) -> Column:
-        """Linear interpolation between the fitted knots, flat outside them."""
-        n = len(self.xs)
-        xs, ys = (F.array(*[F.lit(v) for v in vs]) for vs in (self.xs, self.ys))
-        i = F.greatest(F.least(F.size(F.filter(xs, lambda x: x <= p)), F.lit(n - 1)), F.lit(1))
-        x0, x1 = F.element_at(xs, i), F.element_at(xs, i + 1)
-        y0, y1 = F.element_at(ys, i), F.element_at(ys, i + 1)
-        mid = y0 + (y1 - y0) * (p - x0) / (x1 - x0)
-        out = F.when(p <= self.xs[0], self.ys[0]).when(p >= self.xs[-1], self.ys[-1]).otherwise(mid)
-        return clip(out if n > 1 else F.lit(self.ys[0]), eps, 1 - eps)
-
-
-# Knots kept as column literals; a finer fit is applied by the MLlib model itself.
-MAX_KNOTS = 512
-
-
 def fit_isotonic(val: DataFrame, p: str, y: str):
     """Monotone map from distinct scores with their weights: (apply_fn, model).
 
@@ -102,10 +83,6 @@ def fit_isotonic(val: DataFrame, p: str, y: str):
     agg = val.groupBy(F.col(p).alias("features")).agg(
         F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
     m = IsotonicRegression(weightCol="w").fit(agg)
-    xs, ys = m.boundaries.toArray(), m.predictions.toArray()
-    if len(xs) <= MAX_KNOTS:
-        knots = Isotonic(tuple(map(float, xs)), tuple(map(float, ys)))
-        return (lambda df, src, out: df.withColumn(out, knots.apply(F.col(src)))), m
 
     def by_model(df: DataFrame, src: str, out: str) -> DataFrame:
         fitted = m.copy({m.featuresCol: src, m.predictionCol: "__iso"}).transform(df)

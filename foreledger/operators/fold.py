@@ -13,14 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foreledger.operators.scan import running, split_hot
+from foreledger.operators.scan import cut, join_on, running
 from foreledger.operators.validate import BOWLER_CREDITED, NON_DISMISSALS, position_error
 
 
 def running_state(
     df: DataFrame, group: Sequence[str], order: Sequence[str], *,
     value: Column, legal: Column, falls: Column, flag: Column | None = None,
-    chunk: Sequence[Column] = (), hot_rows: int | None = None,
+    chunk: Sequence[Column] = (),
     start: Column | None = None, post: bool = False,
 ) -> DataFrame:
     """Running score, legal count, falls, last fall, partnership, previous-event flag.
@@ -39,7 +39,7 @@ def running_state(
         "__flag": F.lit(False) if flag is None else F.coalesce(flag, F.lit(False)),
         "__start": start,
     })
-    src, names = split_hot(base, group, chunk, hot_rows)
+    src, names = cut(base, chunk)
     keys = [*group, *names]
     w = Window.partitionBy(*keys).orderBy(*order)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +55,7 @@ def running_state(
     })
     if names:
         at = F.struct(*order)
-        total = local.filter(F.col(names[0]).isNotNull()).groupBy(*keys).agg(
+        total = local.groupBy(*keys).agg(
             F.sum("__v").alias("tr"), F.sum("__b").alias("tl"), F.sum("__f").alias("tw"),
             F.max_by("__mark", F.when(F.col("__mark").isNotNull(), at)).alias("tm"),
             F.max_by("__flag", at).alias("tf"),
@@ -71,7 +71,7 @@ def running_state(
             *keys, "cr", "cl", "cw", F.lag("tf").over(cw).alias("cf"),
             F.last("__abs", ignorenulls=True).over(before).alias("cm"),
         )
-        local = local.join(carry, keys, "left")
+        local = join_on(local, carry, keys, "left")
         fall = F.when(F.col("__fall").isNotNull(), F.struct(
             (F.col("__fall.r") + F.coalesce("cr", zero)).alias("r"),
             (F.col("__fall.l") + F.coalesce("cl", zero)).alias("l"))).otherwise(F.col("cm"))
@@ -103,7 +103,7 @@ def running_state(
 
 def actor_ledger(
     df: DataFrame, group: Sequence[str], order: Sequence[str], actor: str, *,
-    counters: dict[str, Column], chunk: Sequence[Column] = (), hot_rows: int | None = None,
+    counters: dict[str, Column], chunk: Sequence[Column] = (),
 ) -> DataFrame:
     """Cumulative per-actor counters before each event, attributed as stored.
 
@@ -114,13 +114,13 @@ def actor_ledger(
     group it holds the event's own actor with zeros.
     """
     own = running(df, [*group, actor], order,
-                  sums=counters | {"__seen": F.lit(1)}, chunk=chunk, hot_rows=hot_rows)
+                  sums=counters | {"__seen": F.lit(1)}, chunk=chunk)
     names = list(counters)
     held = F.struct(F.col(actor).alias("who"), *[
         (F.col(n) + e).alias(n) for n, e in counters.items()
     ])
     prev = running(own.withColumn("__held", held), group, order,
-                   lasts={"__prev": F.col("__held")}, chunk=chunk, hot_rows=hot_rows)
+                   lasts={"__prev": F.col("__held")}, chunk=chunk)
     swap = (F.col("__seen") == 0) & F.col("__prev").isNotNull()
     pick = lambda old, new: F.when(swap, old).otherwise(new)
     return prev.select(

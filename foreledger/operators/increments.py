@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import EPS_BOARD, arg_max, dot, log_floor, outer_scale, softmax
-from foreledger.operators.scan import running
+from foreledger.operators.scan import join_on, running
 
 # Grids of the two tuned strengths and the near-unshrunk setting.
 KAPPA_GRID = (2.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 600.0)
@@ -28,7 +28,7 @@ def causal_mean(df: DataFrame, signal: Column, group: Sequence[str], order: Sequ
                 kappa: float, chunk: Sequence[Column] = (), out: str = "theta") -> DataFrame:
     """Shrunken running mean over strictly earlier rows; the prior mean 0 at the start."""
     if kappa <= 0:
-        raise ValueError("kappa must be positive (prior strength in pseudo-events)")
+        raise ValueError(f"shrinkage needs a strength above zero, not {kappa}")
     s = causal_sums(df, signal, group, order, chunk)
     theta = F.col("sum_before") / (F.col("n_before") + F.lit(float(kappa)))
     return s.select(*df.columns, "n_before", theta.alias(out))
@@ -44,8 +44,8 @@ def local_level(df: DataFrame, signal: str, group: Sequence[str], order: Sequenc
     process noise it is the shrunken running mean with kappa = obs/prior.  With
     noise the weights fade geometrically: rows are cut by ordinal into blocks
     long enough that a block shrinks what came before it by exp(-40), below
-    double precision, so the two blocks before a row's own carry everything
-    that can still reach it.  They arrive by equi-join; no group is gathered.
+    double precision in size.  One row per block is carried on by a window over
+    the blocks, with every earlier block in it.
     """
     a, q, p0 = float(obs_var), float(process_var), float(prior_var)
     if q == 0.0:
@@ -71,13 +71,12 @@ def local_level(df: DataFrame, signal: str, group: Sequence[str], order: Sequenc
     local = src.withColumn("__s", F.coalesce(F.sum("__t").over(w), zero))
     blocks = src.groupBy(*keys).agg(F.exp(F.sum("__lk")).alias("__keep"),
                                     F.sum("__t").alias("__tot"))
-    for lag in (1, 2):
-        local = local.join(blocks.select(
-            *group, (F.col("__blk") + lag).alias("__blk"),
-            (F.col("__keep") * F.col("__tot")).alias(f"__m{lag}"),
-            F.col("__keep").alias(f"__k{lag}")), keys, "left")
-    carry = F.coalesce("__m1", zero) + F.coalesce("__k1", zero) * F.coalesce("__m2", zero)
-    return local.select(*df.columns, (F.exp("__before") * (F.col("__s") + carry)).alias(out))
+    # A block turns the mean m it starts with into keep * (m + tot).
+    earlier = Window.partitionBy(*group).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
+    steps = F.collect_list(F.struct("__keep", "__tot")).over(earlier)
+    carried = F.aggregate(steps, zero, lambda m, s: s["__keep"] * (m + s["__tot"]))
+    local = join_on(local, blocks.select(*keys, carried.alias("__m")), keys, "left")
+    return local.select(*df.columns, (F.exp("__before") * (F.col("__s") + F.coalesce("__m", zero))).alias(out))
 
 
 def valence_moments(probs: Column, valence: Sequence[float]) -> tuple[Column, Column]:

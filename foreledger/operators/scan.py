@@ -1,11 +1,10 @@
 """Ordered scans and order statistics that survive a hot group.
 
-A plain window puts a whole group in one task.  Here the groups are counted
-first; those above HOT_ROWS are cut into chunks by expressions that rise with
-the row order.  Each chunk is scanned on its own, a one-row summary per chunk
-carries the earlier totals forward, and the two meet in a join on (group,
-chunk), the partitioning the rows have already.  Rows are shuffled once, and
-where no group is hot the plan is the plain window.
+A plain window puts a whole group in one task.  Here groups are cut into chunks
+by expressions that rise with the row order.  Each chunk is scanned on its own,
+a one-row summary per chunk carries the earlier totals forward, and the two meet
+in a join on (group, chunk), the partitioning the rows have already.  Rows are
+shuffled once.  A null group is a group like any other.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import bands_of, key_text
-from foreledger.sources.tables import checkpoint_frame
+from foreledger.sources.stored import stored
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -26,28 +25,18 @@ def time_chunk(ts: str, seconds: int = 86_400) -> Column:
     return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(seconds * 1_000_000))
 
 
-# A group above this many rows is scanned in chunks.
-HOT_ROWS = 1_000_000
+def cut(df: DataFrame, chunk: Sequence[Column]) -> tuple[DataFrame, list[str]]:
+    """Append one column per chunk expression; the frame and the names."""
+    names = [f"__chunk{i}" for i in range(len(chunk))]
+    return df.select(*df.columns, *[c.alias(n) for n, c in zip(names, chunk)]), names
 
 
-def split_hot(df: DataFrame, group: Sequence[str], chunk: Sequence[Column],
-              hot_rows: int | None = None) -> tuple[DataFrame, list[str]]:
-    """Append chunk columns that are set in hot groups and null elsewhere.
-
-    Returns the frame and the chunk names; no names when no group is hot.
-    There are at most rows / HOT_ROWS hot groups, so their list is small.
-    """
-    if not chunk:
-        return df, []
-    limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot, local = _pin(df.groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).filter(
-        F.col("__n") > limit).drop("__n").withColumn("__hot", F.lit(True)))
-    if local is not None and local.num_rows == 0:
-        return df, []
-    names = [f"__chunk{i}" for i in range(len(chunk))]
-    marked = df.join(F.broadcast(hot), list(group), "left")
-    return marked.select(*df.columns, *[
-        F.when(F.col("__hot"), c).alias(n) for n, c in zip(names, chunk)]), names
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on keys of which a null equals a null; the keys stay once."""
+    other = right.select(*[F.col(c).alias(f"__on_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = [F.col(k).eqNullSafe(F.col(f"__on_{k}")) for k in keys]
+    out = left.crossJoin(other) if not keys else left.join(other, same, how)
+    return out.drop(*[f"__on_{k}" for k in keys])
 
 
 def running(
@@ -56,18 +45,17 @@ def running(
     order: Sequence[str],
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
-    chunk: Sequence[Column] = (), hot_rows: int | None = None,
+    chunk: Sequence[Column] = (),
 ) -> DataFrame:
     """Append running values over the rows strictly before each row.
 
     ``sums``  name -> expression: sum of the expression over earlier rows, 0 if none.
     ``lasts`` name -> expression: latest earlier non-null value, null if none.
-    ``chunk`` monotone expressions of ``order`` to cut hot groups by; empty when
-    a group is bounded by construction (for example by its document).
-    Group and chunk columns must not be null.
+    ``chunk`` monotone expressions of ``order`` to cut groups by; empty when a
+    group is bounded by construction (for example by its document).
     """
     sums, lasts = dict(sums or {}), dict(lasts or {})
-    src, names = split_hot(df, group, chunk, hot_rows)
+    src, names = cut(df, chunk)
     keys = [*group, *names]
     src = src.withColumns(
         {f"__s_{n}": e for n, e in sums.items()}
@@ -85,7 +73,7 @@ def running(
             *[F.col(f"__pl_{n}").alias(n) for n in lasts],
         )
     at = F.struct(*order)
-    summary = src.filter(F.col(names[0]).isNotNull()).groupBy(*keys).agg(
+    summary = src.groupBy(*keys).agg(
         *[F.sum(f"__s_{n}").alias(f"__ts_{n}") for n in sums],
         *[
             F.max_by(f"__l_{n}", F.when(F.col(f"__l_{n}").isNotNull(), at)).alias(f"__tl_{n}")
@@ -99,7 +87,7 @@ def running(
         *[F.last(f"__tl_{n}", ignorenulls=True).over(cw).alias(f"__cl_{n}") for n in lasts],
     )
     zero = F.lit(0)
-    return local.join(carry, keys, "left").select(
+    return join_on(local, carry, keys, "left").select(
         *df.columns,
         *[
             (F.coalesce(f"__ps_{n}", zero) + F.coalesce(f"__cs_{n}", zero)).alias(n)
@@ -135,26 +123,12 @@ def dense_index(
 
 
 _BASE = 4096
-_MAX_DIGITS = 4
-# A histogram cell of at most this many rows is resolved by value at once.
-CELL_ROWS = 1_000_000
+_DIGITS = 2
 
 
-def pin(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Fix a small intermediate so later steps neither recompute nor reshuffle it.
-
-    Counted as it is fetched: up to ``max_rows`` rows become a local relation,
-    a larger frame goes to the reliable checkpoint folder instead.
-    """
-    return _pin(df, max_rows)[0]
-
-
-def _pin(df: DataFrame, max_rows: int = 100_000):
-    """The pinned frame and, when it is small, its Arrow table."""
-    head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
-        return df.sparkSession.createDataFrame(head, df.schema), head
-    return checkpoint_frame(df), None
+def pin(df: DataFrame) -> DataFrame:
+    """Fix an intermediate on the shared folder so later steps do not recompute it."""
+    return stored(df, "pinned")
 
 
 def _digit(x: Column) -> Column:
@@ -170,7 +144,7 @@ def _pick(ranks: DataFrame, hist: DataFrame, keys: Sequence[str], digit: str) ->
     )
     hit = (F.col("rank") >= F.col("__lo")) & (F.col("rank") < F.col("__lo") + F.col("__n"))
     return (
-        ranks.drop("__n").join(cum, list(keys)).filter(hit)
+        join_on(ranks.drop("__n"), cum, keys).filter(hit)
         .withColumn("rank", F.col("rank") - F.col("__lo")).drop("__lo")
     )
 
@@ -203,12 +177,11 @@ def equal_mass_edges(
     """Interior equal-mass edges per group as a sorted array column ``edges``.
 
     Exact for values in [0, 1]: linear interpolation between order statistics,
-    taken from the nearer end.  Rows are counted by base-4096 digits of the
-    value; cells holding a wanted rank are split by the next digit until they
-    are small, then resolved by value.  Rows are never sorted and only counts
-    are shuffled, so neither a hot group nor a pile of near-equal values
-    matters.  ``n_bins`` may be a Column over the group size ``n``.  Groups are
-    meant to be few (classes, buckets, slices): 2(B-1) ranks are kept for each.
+    taken from the nearer end.  Rows are counted by the first base-4096 digit of
+    the value, those in a cell with a wanted rank by the second, and those in a
+    wanted cell of that by value.  Rows are never sorted and only counts are
+    shuffled, so neither a hot group nor a pile of equal values matters.
+    ``n_bins`` may be a Column over the group size ``n``.
     """
     src = df.select(*group, F.col(value).alias("__v"))
     count = F.count(F.lit(1)).alias("n")
@@ -216,16 +189,12 @@ def equal_mass_edges(
     sizes = hist.groupBy(*group).agg(F.sum("n").alias("n"))
     bins = F.lit(n_bins) if isinstance(n_bins, int) else n_bins
     keys, cells = list(group), _edge_ranks(sizes, group, bins)
-    for depth in range(1, _MAX_DIGITS + 1):
-        cells, local = _pin(_pick(cells, hist, keys, f"__d{depth - 1}"))
+    for depth in range(1, _DIGITS + 1):
+        cells = pin(_pick(cells, hist, keys, f"__d{depth - 1}"))
         keys.append(f"__d{depth - 1}")
-        largest = (max(local.column("__n").to_pylist(), default=None) if local is not None
-                   else cells.agg(F.max("__n")).first()[0])
-        inside = _digits(src, "__v", depth).join(
-            F.broadcast(cells.select(*keys).distinct()), keys, "left_semi")
-        if largest is None or largest <= CELL_ROWS or depth == _MAX_DIGITS:
-            break
-        hist = _digits(inside, "__v", depth + 1).groupBy(*keys, f"__d{depth}").agg(count)
+        inside = join_on(_digits(src, "__v", depth), cells.select(*keys).distinct(), keys)
+        if depth < _DIGITS:
+            hist = pin(_digits(inside, "__v", depth + 1).groupBy(*keys, f"__d{depth}").agg(count))
     vals = _pick(cells, inside.groupBy(*keys, "__v").agg(count), keys, "__v")
     at = lambda i: F.max(F.when(F.col("side") == i, F.col("__v")))
     gap = F.col("hi") - F.col("lo")
@@ -238,7 +207,7 @@ def equal_mass_edges(
         .groupBy(*group).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     )
     none = F.array().cast("array<double>")
-    return pin(sizes.join(edges, list(group), "left").select(
+    return pin(join_on(sizes, edges, group, "left").select(
         *group, "n", F.coalesce("edges", none).alias("edges")))
 
 
@@ -247,7 +216,7 @@ def attach_bins(
 ) -> DataFrame:
     """Join each group's edges and number the bin of every row.  Ties share a bin."""
     return (
-        df.join(F.broadcast(edges), list(group))
+        join_on(df, edges, group)
         .withColumn(out, bands_of(F.col(value), F.col("edges"))).drop("edges")
     )
 
@@ -258,7 +227,3 @@ def with_bins(
     """Attach the equal-mass bin of every row."""
     return attach_bins(df, equal_mass_edges(df, group, value, n_bins).drop("n"), group, value, out)
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 200_000) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side keeps its shuffle join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

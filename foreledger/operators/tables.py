@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foreledger.functions.scalar import EPS_BOARD, band_left, band_right, clip, softmax
-from foreledger.operators.scan import broadcast_if_small
+from foreledger.functions.scalar import EPS_BOARD, band_left, band_right, clip, shared_out, softmax
 
 
 def _class_sums(y: str, k: int) -> list[Column]:
@@ -191,7 +190,7 @@ def entity_offsets(train: DataFrame, entity: str, y: str, k: int, lam: float,
     The marginal counts every train row, null entities too.
     """
     if lam <= 0:
-        raise ValueError("lam must be positive (prior strength in pseudo-events)")
+        raise ValueError(f"a prior needs a strength above zero, not {lam}")
     m = laplace_marginal(train, y, k) if marginal is None else marginal
     pbar = m.select("probs").scalar()
     return entity_counts(train, entity, y, k).withColumn("__q", pbar).select(
@@ -199,16 +198,12 @@ def entity_offsets(train: DataFrame, entity: str, y: str, k: int, lam: float,
     )
 
 
-def attach_offsets(df: DataFrame, offsets: DataFrame, entity: str, k: int, out: str,
-                   max_broadcast_rows: int | None = None) -> DataFrame:
+def attach_offsets(df: DataFrame, offsets: DataFrame, entity: str, k: int, out: str) -> DataFrame:
     """Look up an entity's vector; zeros when unseen or null.
 
-    The effects grow with the data, so no broadcast is forced: give
-    ``max_broadcast_rows`` to count the side and hint it below that size.
+    The effects grow with the data, so no broadcast is forced.
     """
     side = offsets.select(F.col(entity).alias("__e"), F.col("offset").alias("__o"))
-    if max_broadcast_rows is not None:
-        side = broadcast_if_small(side, max_broadcast_rows)
     zeros = F.array(*[F.lit(0.0)] * k)
     return (
         df.join(side, F.col(entity) == F.col("__e"), "left")
@@ -235,20 +230,15 @@ def augment(base: Column, *offsets: Column, eps: float = EPS_BOARD) -> Column:
 
 def normalized(p: Column, floor: float = 1e-9) -> Column:
     """Floor every element, then divide by the total."""
-    q = F.transform(p, lambda x: F.greatest(x, F.lit(floor)))
-    return F.transform(q, lambda x: x / F.aggregate(q, F.lit(0.0), lambda s, v: s + v))
+    return shared_out(F.transform(p, lambda x: F.greatest(x, F.lit(floor))))
 
 
 def expand_classes(probs: Column, seen: Sequence[int], k: int, floor: float = 1e-12) -> Column:
     """Place seen-class probabilities in the full alphabet, floor the rest, renormalise."""
     where = {c: i for i, c in enumerate(seen)}
-    full = F.array(*[probs[where[c]] if c in where else F.lit(floor) for c in range(k)])
-    total = F.aggregate(full, F.lit(0.0), lambda s, v: s + v)
-    return F.transform(full, lambda v: v / total)
+    return shared_out(F.array(*[probs[where[c]] if c in where else F.lit(floor) for c in range(k)]))
 
 
 def bounded(p: Column, eps: float = 1e-6) -> Column:
     return clip(p, eps, 1 - eps)
 
-
-PROB_ARRAY = T.ArrayType(T.DoubleType())

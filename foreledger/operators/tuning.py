@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foreledger.functions.scalar import EPS_BOARD, log_floor
+from foreledger.functions.scalar import EPS_BOARD, log_floor, total
+from foreledger.functions.variants import let
 from foreledger.operators.increments import causal_sums
 from foreledger.operators.tables import entity_counts, laplace_marginal, offset_of
 
@@ -28,8 +29,8 @@ def curve(df: DataFrame, losses: Sequence[tuple[float, Column]], param: str = "p
 def nll_of_logits(z: Column, y: Column, temperature: Column | float = 1.0) -> Column:
     """-log softmax(z / T)[y], as a log-sum of differences."""
     t = F.lit(float(temperature)) if not isinstance(temperature, Column) else temperature
-    zy = F.element_at(z, y.cast("int") + 1)
-    return F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp((x - zy) / t)))
+    of = y.cast("int") + 1
+    return let(z, lambda v: let(F.element_at(v, of), lambda zy: F.log(total(F.transform(v, lambda x: F.exp((x - zy) / t))))))
 
 
 def temperature_curve(df: DataFrame, probs: str, y: str, grid: Sequence[float]) -> DataFrame:

@@ -13,7 +13,7 @@ from foreledger.operators import census, digest, events, fold, splits, validate
 from foreledger.operators.features import outcome_class
 from foreledger.sources import sinks
 from foreledger.sources.schemas import FACT_SCHEMA, MATCH_SCHEMA, PLAYER_SCHEMA
-from foreledger.sources.tables import checkpoint_frame
+from foreledger.sources.stored import stored
 
 # Order keys and content that identify one event in a stream fingerprint.
 HASHED = [c for c in FACT_SCHEMA.names if c not in ("temporal_split",)]
@@ -46,7 +46,7 @@ def build(docs: DataFrame, materialize: bool = True) -> Corpus:
     """
     checked = events.checked_documents(docs)
     if materialize:
-        checked = checkpoint_frame(checked.drop("raw"))
+        checked = stored(checked.drop("raw"))
     bounds = splits.temporal_bounds(scope_dates(docs), "start_date")
     sound = checked.filter("error is null")
     head = splits.assign_split(events.headers(sound), "start_date", bounds)
@@ -54,7 +54,7 @@ def build(docs: DataFrame, materialize: bool = True) -> Corpus:
     flat = events.flatten(sound)
     folded = fold.innings_fold(flat)
     if materialize:
-        folded = checkpoint_frame(folded)
+        folded = stored(folded)
     over = sound.select("match_id", validate.over_errors(F.col("doc")).alias("e")).filter("e is not null")
     ball = folded.filter("event_error is not null").select("match_id", F.col("event_error").alias("e"))
     replay = ball.unionByName(over).groupBy("match_id").agg(F.min("e").alias("e")).select(

@@ -19,7 +19,7 @@ from foreledger.operators import metrics as M
 from foreledger.operators import tables as T
 from foreledger.operators import tuning
 from foreledger.operators.scan import pin
-from foreledger.sources.tables import checkpoint_frame
+from foreledger.sources.stored import stored
 
 
 def augmented(df: DataFrame, train: DataFrame, lam: float, k: int, entities: Sequence[str], base: str = "base",
@@ -36,7 +36,7 @@ def augmented(df: DataFrame, train: DataFrame, lam: float, k: int, entities: Seq
 def tune_lambda(train: DataFrame, val: DataFrame, k: int, entities: Sequence[str], base: str = "base", y: str = "y",
                 grid: Sequence[float] = I.LAMBDA_GRID) -> DataFrame:
     """(param, temperature, nll): post-temperature val NLL per strength."""
-    rows = checkpoint_frame(tuning.lambda_logits(val, train, base, y, k, entities))
+    rows = stored(tuning.lambda_logits(val, train, base, y, k, entities))
     n = len(entities)
     return _post_temperature(rows, [(lam, tuning.lambda_shifted(lam, n)) for lam in grid], y)
 
@@ -58,7 +58,7 @@ def tune_kappa(val: DataFrame, k: int, valence: Sequence[float], vbar: float, ta
     """(param, temperature, nll) of the causal latent per shrinkage strength."""
     sig = I.residual_signal(F.col(base), F.col(y), valence)
     s = I.causal_sums(val, sig, group, order, chunk).withColumn("z", log_floor(F.col(base)))
-    rows = checkpoint_frame(s.select(y, "z", "sum_before", "n_before"))
+    rows = stored(s.select(y, "z", "sum_before", "n_before"))
     return _post_temperature(
         rows, [(kp, tuning.tilted_logits(kp, valence, F.lit(vbar), F.lit(tau))) for kp in grid], y)
 
@@ -71,7 +71,7 @@ def identity_gate(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int,
     lam = curve.orderBy("nll", "param").first()["param"]
     fits = {
         "state": (None, train), "flat": (I.LAMBDA_FLAT, train), "shrunk": (lam, train),
-        "shuffled": (lam, checkpoint_frame(guards.shuffle_columns(
+        "shuffled": (lam, stored(guards.shuffle_columns(
             train.select(*key, y, *[e for e in entities if e not in key]), entities, key)))}
     scored = test
     for name, (strength, fit) in fits.items():
@@ -79,10 +79,10 @@ def identity_gate(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int,
             lambda d, s=strength, f=fit: augmented(d, f, s, k, entities, base, "__q", y))
         t = C.fit_temperature(arm(val), "__q", y)
         scored = arm(scored).withColumn(name, C.temperature_probs(F.col("__q"), t)).drop("__q")
-    scored = checkpoint_frame(scored.select(group, y, *entities, *fits))
+    scored = stored(scored.select(group, y, *entities, *fits))
     losses = {f"nll_{n}": M.nll_multi(F.col(n), F.col(y)) for n in fits} | {
         f"brier_{n}": M.brier_multi(F.col(n), F.col(y), k) for n in ("state", "shrunk")}
-    gl = checkpoint_frame(M.group_losses(scored, [group], losses))
+    gl = stored(M.group_losses(scored, [group], losses))
     arms = pin(resample.intervals(gl, [group], list(losses), n_boot))
     deltas = pin(resample.paired_deltas(gl, [group], {
         "shrunk-state": ("nll_shrunk", "nll_state"), "flat-shrunk": ("nll_flat", "nll_shrunk"),

@@ -13,7 +13,7 @@ from foreledger.operators import calibrate as C
 from foreledger.operators import guards, models, resample
 from foreledger.operators import metrics as M
 from foreledger.operators.scan import pin
-from foreledger.sources.tables import checkpoint_frame
+from foreledger.sources.stored import stored
 
 # Names of the ladder, simplest first.
 LADDER = ("B0_marginal", "B1_table", "B2_logistic", "B3_gbm")
@@ -85,13 +85,13 @@ def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, featu
     """
     ladder = fit_ladder(train, val, y, k, features, fmt, group, order, c_grid, boosted)
     n, keep = len(ladder), [group, y]
-    sv, st = (checkpoint_frame(_predict(d, ladder, keep)) for d in (val, test))
+    sv, st = (stored(_predict(d, ladder, keep)) for d in (val, test))
     sv, st, info = calibrated(sv, st, n, y, k, group)
-    sv, st = checkpoint_frame(sv), checkpoint_frame(st)
+    sv, st = stored(sv), stored(st)
     losses = {key: e for i in range(n) for key, e in _losses(i, y, k).items()}
     board, gl = None, {}
     for split, df in (("val", sv), ("test", st)):
-        gl[split] = checkpoint_frame(M.group_losses(df, [group], losses))
+        gl[split] = stored(M.group_losses(df, [group], losses))
         ci = resample.intervals(gl[split], [group], list(losses), n_boot)
         tagged = ci.select(F.split("metric", "_")[1].cast("int").alias("i"), F.lit(split).alias("split"),
                            F.split("metric", "_")[0].alias("metric"), F.col("point").alias("value"), "lo", "hi")

@@ -32,22 +32,3 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         .select(F.url_decode(stem).alias("match_id"), F.col("value").alias("raw"))
     )
 
-
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names in ``spark.checkpoint.dir``.
-
-    One is made up only where that setting is absent, as in local tests.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if spark.sparkContext.getCheckpointDir() is None:
-        if named is None:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(named)
-
-
-def checkpoint_frame(df: DataFrame) -> DataFrame:
-    """Cut lineage through reliable storage, so a lost executor costs nothing upstream."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()

@@ -32,20 +32,27 @@ class EventFold(StatefulProcessor):
         got = self.state.get() if self.state.exists() else (0.0, 0, 0, 0.0, 0, 0.0, "")
         score, legal, falls, since, n, total, last = got
         # One key's rows of one micro-batch: bound it with maxFilesPerTrigger.
-        batch = pd.concat(list(rows)).sort_values("order", kind="stable")
-        out = []
-        for r in batch.itertuples(index=False):
-            late = r.order <= last
-            out.append((score, legal, falls, since, n, total, late))
-            if late:
-                continue
-            score, legal, falls = score + r.value, legal + int(r.legal), falls + int(r.fall)
-            since = 0.0 if r.fall else since + r.value
-            n, total, last = n + 1, total + r.signal, r.order
-        self.state.update((score, legal, falls, since, n, total, last))
+        batch = pd.concat(list(rows)).sort_values("order", kind="stable").reset_index(drop=True)
+        late = (batch["order"] <= last) | batch["order"].duplicated()
+        counts = ~late
+        # Running totals after each row; a late row adds nothing.
+        after = pd.DataFrame({
+            "score": score + (batch["value"] * counts).cumsum(),
+            "legal_count": legal + (batch["legal"] & counts).astype("int64").cumsum(),
+            "falls": falls + (batch["fall"] & counts).astype("int64").cumsum(),
+            "n_before": n + counts.astype("int64").cumsum(),
+            "sum_before": total + (batch["signal"] * counts).cumsum()})
+        at_fall = after["score"].where(batch["fall"] & counts).ffill().fillna(score - since)
+        start = pd.DataFrame([(score, legal, falls, n, total, score - since)], columns=[*after.columns, "at_fall"])
+        done = after.assign(at_fall=at_fall)
+        pre = pd.concat([start, done.iloc[:-1]], ignore_index=True)
+        end = done.iloc[-1]
+        self.state.update((
+            float(end["score"]), int(end["legal_count"]), int(end["falls"]), float(end["score"] - end["at_fall"]),
+            int(end["n_before"]), float(end["sum_before"]), max(last, batch["order"].iloc[-1])))
+        pre = pre.assign(since_fall=pre["score"] - pre["at_fall"], late=late)
         names = ["score", "legal_count", "falls", "since_fall", "n_before", "sum_before", "late"]
-        pre = pd.DataFrame(out, columns=names, index=batch.index)
-        yield pd.concat([batch[self.keep], pre], axis=1)
+        yield pd.concat([batch[self.keep], pre[names]], axis=1)
 
     def close(self) -> None:
         pass
@@ -74,14 +81,18 @@ def stream_causal_mean(folded: DataFrame, kappa: float, out: str = "theta") -> D
     return folded.withColumn(out, F.col("sum_before") / (F.col("n_before") + F.lit(float(kappa))))
 
 
-def route_stream(events: DataFrame, reason: Column, good: Callable[[DataFrame], None],
-                 bad: Callable[[DataFrame], None], checkpoint: str):
-    """Split every micro-batch into sound and reason-coded rows, one sink each."""
-    def both(batch: DataFrame, _epoch: int) -> None:
+def route_stream(events: DataFrame, reason: Column, good: Callable[[DataFrame, int], None],
+                 bad: Callable[[DataFrame, int], None], checkpoint: str):
+    """Split every micro-batch into sound and reason-coded rows, one sink each.
+
+    A sink gets the batch's number and must replace what that number wrote before:
+    a batch is run again when the query fails between the sink and its commit.
+    """
+    def both(batch: DataFrame, epoch: int) -> None:
         tagged = batch.withColumn("reason", reason).persist()
         try:
-            good(tagged.filter("reason is null").drop("reason"))
-            bad(tagged.filter("reason is not null"))
+            good(tagged.filter("reason is null").drop("reason"), epoch)
+            bad(tagged.filter("reason is not null"), epoch)
         finally:
             tagged.unpersist()
 
@@ -89,6 +100,11 @@ def route_stream(events: DataFrame, reason: Column, good: Callable[[DataFrame],
             .trigger(availableNow=True).start())
 
 
+def replace_epoch(path: str) -> Callable[[DataFrame, int], None]:
+    """A sink that writes each micro-batch to its own folder, over an earlier try."""
+    return lambda batch, epoch: batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+
 def drain_to(folded: DataFrame, path: str, checkpoint: str) -> None:
     """Run a streaming frame over everything available into Parquet."""
     q = (folded.writeStream.format("parquet").option("path", path)

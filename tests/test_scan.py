@@ -34,23 +34,21 @@ def _sequential(pdf):
     return out
 
 
-@pytest.mark.parametrize("hot", [10_000, 20])
-def test_running_state_matches_sequential_fold(events, hot):
+def test_running_state_matches_sequential_fold(events):
     pdf, df = events
     got = fold.running_state(
         df, ["g"], ["o"], value=F.col("v"), legal=F.col("legal"), falls=F.col("fall"), flag=F.col("flag"),
-        chunk=[F.floor(F.col("o") / 37)], hot_rows=hot).collect()
+        chunk=[F.floor(F.col("o") / 37)]).collect()
     want = _sequential(pdf)
     for r in got:
         assert (r.runs, r.legal_balls, r.wickets, r.fow_last_runs, r.fow_last_ball, r.partnership_runs,
                 r.partnership_balls, r.last_flag) == want[r.o]
 
 
-@pytest.mark.parametrize("hot", [10_000, 20])
-def test_running_sums_and_lasts(events, hot):
+def test_running_sums_and_lasts(events):
     pdf, df = events
     got = scan.running(df, ["g"], ["o"], sums={"s": F.col("v")}, lasts={"l": F.when(F.col("fall") == 1, F.col("v"))},
-                       chunk=[F.floor(F.col("o") / 50)], hot_rows=hot).toPandas().set_index("o")
+                       chunk=[F.floor(F.col("o") / 50)]).toPandas().set_index("o")
     for _, g in pdf.sort_values("o").groupby("g"):
         s, last = 0, None
         for r in g.itertuples():
@@ -88,9 +86,7 @@ def test_future_does_not_reach_the_past(events, spark):
     assert np.allclose(a.loc[early], b.loc[early])
 
 
-@pytest.mark.parametrize("cell_rows", [1_000_000, 5])
-def test_equal_mass_edges_equal_quantiles(spark, monkeypatch, cell_rows):
-    monkeypatch.setattr(scan, "CELL_ROWS", cell_rows)
+def test_equal_mass_edges_equal_quantiles(spark):
     rng = np.random.default_rng(1)
     p = np.concatenate([rng.random(400), np.full(300, 0.25), 0.5 + rng.random(300) * 1e-7, [0.0, 1.0]])
     df = spark.createDataFrame(pd.DataFrame({"g": 0, "p": p}))
