@@ -134,7 +134,8 @@ def text_or(x: Column, default: str) -> Column:
 
 def iso_date(x: Column) -> Column:
     """ISO date, or null when the text is not one."""
-    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x))
+    return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x)).when(
+        x.rlike(r"^\d{8}$"), F.try_to_date(x, "yyyyMMdd"))
 
 
 def is_digits(x: Column) -> Column:

@@ -42,6 +42,34 @@ def kind(v: Column) -> Column:
     return F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
 
 
+def truthy(v: Column) -> Column:
+    """Would a plain truth test accept the value?  Zero, nothing and what is empty are false."""
+    k = kind(v)
+    return F.coalesce(
+        F.when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean")).when(k == "STRING", text(v) != "")
+        .when(k.startswith("OBJECT"), F.size(as_object(v)) > 0).when(k.startswith("ARRAY"), F.size(as_array(v)) > 0)
+        .otherwise(F.try_variant_get(v, "$", "double") != 0), F.lit(False))
+
+
+def whole(v: Column) -> Column:
+    """Whole number a number, a truth value or a text of digits stands for; null for anything else."""
+    k, t = kind(v), F.trim(text(v))
+    return (
+        F.when(k == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+        .when(k == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("bigint"))
+        .when((k == "STRING") & t.rlike(r"^[+-]?[0-9]+$"), t.try_cast("bigint"))
+        .when(k.startswith("DECIMAL") | (k == "DOUBLE"), F.try_variant_get(v, "$", "double").cast("bigint")))
+
+
+def names(v: Column) -> Column:
+    """Texts that going through the value yields: items, keys or characters; null if it cannot be gone through."""
+    k = kind(v)
+    return (
+        F.when(k.startswith("ARRAY"), F.transform(as_array(v), lambda x: F.coalesce(text(x), F.lit("?"))))
+        .when(k.startswith("OBJECT"), F.map_keys(as_object(v)))
+        .when(k == "STRING", F.filter(F.split(text(v), ""), lambda c: c != "")))
+
+
 def not_int(v: Column) -> Column:
     """Anything but a whole number; booleans are not numbers."""
     return kind(v) != "BIGINT"

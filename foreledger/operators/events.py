@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foreledger.functions import is_digits, iso_date, null_if_empty
+from foreledger.functions import variants as V
 from foreledger.operators import validate as VA
 
-# Shape of the parsed part of a document.  Markers stay text.
+# Shape of the parsed part of a document.  Markers stay text, and what the
+# structure check leaves untyped stays a variant until its content is checked.
 DOC_SCHEMA = """
 meta struct<data_version: string>,
-info struct<balls_per_over: int, dates: array<string>, event: struct<name: string>, gender: string,
-  match_type: string, overs: int, teams: array<string>, venue: string,
+info struct<balls_per_over: bigint, dates: array<string>, event: variant, gender: string,
+  match_type: string, overs: bigint, teams: array<string>, venue: string,
   outcome: struct<winner: string, result: string, method: string, eliminator: string, bowl_out: string>,
-  registry: struct<people: map<string, string>>, toss: struct<uncontested: boolean>>,
-innings array<struct<team: string, super_over: boolean,
-  target: struct<runs: int, overs: string>, penalty_runs: struct<pre: int, post: int>,
+  registry: struct<people: map<string, string>>, toss: struct<uncontested: variant>>,
+innings array<struct<team: string, super_over: variant,
+  target: struct<runs: bigint, overs: string>, penalty_runs: variant,
   powerplays: array<struct<from: string, to: string, type: string>>,
-  miscounted_overs: map<string, struct<balls: string>>, absent_hurt: array<string>,
-  overs: array<struct<over: int, deliveries: array<struct<
+  miscounted_overs: map<string, struct<balls: string>>, absent_hurt: variant,
+  overs: array<struct<over: bigint, deliveries: array<struct<
     batter: string, bowler: string, non_striker: string,
-    runs: struct<batter: int, extras: int, total: int>,
-    extras: struct<wides: int, noballs: int, byes: int, legbyes: int, penalty: int>,
+    runs: struct<batter: bigint, extras: bigint, total: bigint>,
+    extras: struct<wides: bigint, noballs: bigint, byes: bigint, legbyes: bigint, penalty: bigint>,
     wickets: array<struct<player_out: string, kind: string, fielders: array<struct<name: string>>>>>>>>>>
 """
 
@@ -56,7 +58,31 @@ def checked_documents(docs: DataFrame) -> DataFrame:
     s = computed_once(docs, "__s", VA.structure_errors(F.col("raw")))
     s = computed_once(s, "doc", F.when(F.col("__s").isNull(), F.from_json("raw", DOC_SCHEMA)))
     content = F.when(F.col("doc").isNotNull(), VA.content_errors(F.col("doc")))
-    return computed_once(s, "error", F.coalesce("__s", content)).drop("__s")
+    s = computed_once(s, "error", F.coalesce("__s", content)).drop("__s")
+    return computed_once(s.withColumnRenamed("doc", "__d"), "doc", F.when(
+        F.col("error").isNull(), settled(F.col("__d")))).select("match_id", "raw", "error", "doc")
+
+
+def settled(doc: Column) -> Column:
+    """A document of sound content with its variants made plain columns."""
+    def innings(n: Column) -> Column:
+        pen = V.as_object(n["penalty_runs"])
+        part = lambda k: F.coalesce(V.whole(V.member(pen, k)), F.lit(0)).cast("int").alias(k)
+        return (n.withField("super_over", V.truthy(n["super_over"])).withField("penalty_runs", F.struct(part("pre"), part("post")))
+                .withField("absent_hurt", V.names(n["absent_hurt"])))
+
+    info = doc["info"]
+    named = F.struct(V.text(V.member(V.as_object(info["event"]), "name")).alias("name"))
+    info = info.withField("event", named).withField("toss", F.struct(
+        V.truthy(info["toss"]["uncontested"]).alias("uncontested")))
+    for k in ("balls_per_over", "overs"):
+        info = info.withField(k, info[k].cast("int"))
+    return doc.withField("info", info).withField("innings", F.transform(doc["innings"], innings))
+
+
+def balls_of(stated: Column) -> Column:
+    """Balls of a miscounted over; a truth value counts as 1 or 0."""
+    return F.when(stated == "true", 1).when(stated == "false", 0).otherwise(stated.try_cast("int"))
 
 
 def computed_once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -105,7 +131,7 @@ def flatten(parsed: DataFrame) -> DataFrame:
     inn = parsed.select(
         "match_id", F.col("doc.info").alias("info"), F.posexplode("doc.innings").alias("ii", "inn"))
     bpo = F.col("info.balls_per_over")
-    allowed = F.transform(F.map_values("inn.miscounted_overs"), lambda s: s["balls"].cast("int"))
+    allowed = F.transform(F.map_values("inn.miscounted_overs"), lambda s: balls_of(s["balls"]))
     extra = F.coalesce(F.aggregate(
         allowed, F.lit(0), lambda s, b: s + F.greatest(F.lit(0), b - bpo)), F.lit(0))
     teams = F.col("info.teams")
@@ -117,14 +143,14 @@ def flatten(parsed: DataFrame) -> DataFrame:
         revised_target(F.col("info")).alias("dls_applied"),
         F.col("inn.team").alias("batting_team"),
         F.when(F.col("inn.team") == teams[0], teams[1]).otherwise(teams[0]).alias("bowling_team"),
-        F.col("inn.target.runs").alias("target"),
+        F.col("inn.target.runs").cast("int").alias("target"),
         (F.coalesce(overs_to_balls(F.col("inn.target.overs"), bpo), F.col("info.overs") * bpo)
          + extra).alias("max_balls"),
         F.coalesce("inn.penalty_runs.pre", F.lit(0)).alias("penalty_pre"),
         ranges.alias("powerplays"),
         F.posexplode("inn.overs").alias("over_pos", "ov"))
     ball = side.select(
-        *[c for c in side.columns if c != "ov"], F.col("ov.over").alias("over_number"),
+        *[c for c in side.columns if c != "ov"], F.col("ov.over").cast("int").alias("over_number"),
         F.posexplode("ov.deliveries").alias("bi", "d"))
     rid = lambda c: F.try_element_at(F.col("people"), F.col(c))
     zero = lambda c: F.coalesce(c, F.lit(0))
@@ -137,10 +163,8 @@ def flatten(parsed: DataFrame) -> DataFrame:
         (F.col("bi") + 1).cast("int").alias("ball_in_over"),
         rid("d.batter").alias("batter_id"), rid("d.non_striker").alias("event_non_striker_id"),
         rid("d.bowler").alias("event_bowler_id"),
-        F.col("d.runs.batter").alias("outcome_runs_batter"),
-        F.col("d.runs.extras").alias("outcome_runs_extras"),
-        F.col("d.runs.total").alias("outcome_runs_total"),
-        *[zero(F.col(f"d.extras.{k}")).alias(f"outcome_{k}") for k in VA.EXTRAS_KEYS],
+        *[F.col(f"d.runs.{k}").cast("int").alias(f"outcome_runs_{k}") for k in VA.RUNS_REQUIRED],
+        *[zero(F.col(f"d.extras.{k}")).cast("int").alias(f"outcome_{k}") for k in VA.EXTRAS_KEYS],
         outs.alias("outs"))
 
 

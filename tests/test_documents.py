@@ -56,6 +56,18 @@ CASES = {
     "absent": (make_doc([[ball(wickets=[("P7", "bowled")])]]), "E_BALL_ACCOUNTING"),
     "twin": (make_doc([[ball(bat="P0", non="P0")]]), "E_SCHEMA"),
     "dead": (make_doc([[ball()] * 6, [ball()] * 6], info={"overs": 1}), "E_DEAD_STATE"),
+    "long_runs": (make_doc([[ball() | {"runs": {"batter": 3_000_000_000, "extras": 0, "total": 1}}]]), "E_BALL_ACCOUNTING"),
+    "long_sum": (make_doc([[ball() | {"runs": {"batter": 3_000_000_000, "extras": 0, "total": 3_000_000_000}}]]), "E_OTHER"),
+    "long_target": (make_doc([], innings=[{"team": "A", "overs": [], "target": {"runs": 10**10}}]), "E_OTHER"),
+    "penalty_list": (make_doc([], innings=[{"team": "A", "overs": [], "penalty_runs": [5]}]), "E_OTHER"),
+    "penalty_word": (make_doc([], innings=[{"team": "A", "overs": [], "penalty_runs": {"pre": "five"}}]), "E_OTHER"),
+    "event_text": (make_doc(one_over(), info={"event": "Cup"}), "E_OTHER"),
+    "event_empty": (make_doc(one_over(), info={"event": ""}), None),
+    "absent_object": (make_doc([], innings=[{"team": "A", "overs": [], "absent_hurt": {"X": 1}}]), "E_REGISTRY_MISS"),
+    "absent_known": (make_doc([], innings=[{"team": "A", "overs": [], "absent_hurt": ["P1"]}]), None),
+    "absent_number": (make_doc([], innings=[{"team": "A", "overs": [], "absent_hurt": 3}]), "E_OTHER"),
+    "balls_true": (make_doc([], innings=[{"team": "A", "overs": [], "miscounted_overs": {"3": {"balls": True}}}]), None),
+    "short_date": (make_doc(one_over(), info={"dates": ["20240301"]}), None),
 }
 
 
@@ -68,7 +80,18 @@ def test_first_failure_codes(spark):
     b = corpus.build(frame(spark, {k: d for k, (d, _) in CASES.items()}))
     got = {r.match_id: r.reason for r in b.quarantine.collect()}
     assert got == {k: r for k, (_, r) in CASES.items() if r}
-    assert {r.match_id for r in b.matches.collect()} == {"ok"}
+    assert {r.match_id for r in b.matches.collect()} == {k for k, (_, r) in CASES.items() if not r}
+
+
+def test_loosely_typed_values_are_read(spark):
+    inn = {"team": "A", "super_over": "false", "penalty_runs": {"pre": "5", "post": True},
+           "overs": [{"over": 0, "deliveries": [ball()] * 6}]}
+    doc = make_doc([], innings=[inn], info={"toss": {"uncontested": "no"}, "event": {"name": "Cup"}})
+    checked = events.checked_documents(frame(spark, {"m": doc}))
+    assert checked.first()["error"] is None
+    head = events.headers(checked).first()
+    assert (head.has_super_over, head.toss_uncontested, head.competition) == (True, True, "Cup")
+    assert {r.penalty_pre for r in events.flatten(checked).collect()} == {5}
 
 
 def random_innings(rng):
