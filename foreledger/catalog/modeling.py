@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foreledger.catalog.base import EV_ORDER, EVENT_CLASSES, EVENT_VALENCE, LI_KEY, LI_ORDER, day_chunk, scored_events
+from foreledger.catalog.base import (
+    EV_ORDER, EVENT_CLASSES, EVENT_VALENCE, LI_KEY, LI_ORDER, SQL_LINES, day_chunk, scored_events)
 from foreledger.catalog.splits import fact_view
+from foreledger.catalog.tables import SQL as SQL_TABLES
 from foreledger.operators import calibrate as C, features as FE, metrics as M, models as MO, tables as T
 from foreledger.plans import increment, leaderboard
 from foreledger.sources.stored import stored
@@ -95,15 +97,25 @@ def l5_monotonicity(spark, sf):
     return MO.monotonicity_violations(l4_pava(spark, sf)).agg(F.count(F.lit(1)).alias("n_violations"))
 
 
+def l5_violations(spark, sf):
+    """Steps the wrong way in a lattice of counts that nothing has smoothed."""
+    from foreledger.catalog.tables import a27_lattice_counts
+
+    cells = a27_lattice_counts(spark, sf).select(
+        F.col("st").cast("int").alias("innings"), F.lit(0).alias("phase"), F.col("qb").cast("int").alias("wkts"),
+        F.col("db").cast("int").alias("rate"), F.col("n").cast("double").alias("p"))
+    return MO.monotonicity_violations(cells).select("axis", "innings", "wkts", "rate", "step")
+
+
 def l6_logistic(spark, sf):
     train, val, test = _parts(_assembled(spark, sf))
-    m = MO.fit_logistic(train, val, "y", 2, NUMERIC, grid=(0.1, 1.0), max_iter=50)
+    m = MO.fit_logistic(train, val, "y", 2, NUMERIC)
     return M.mean_losses(m.predict(test, "p"), {"nll": M.nll_binary(F.col("p"), F.col("y"))}).withColumn("c", F.lit(m.tuned["c"]))
 
 
 def l7_gbt(spark, sf):
     train, val, test = _parts(_assembled(spark, sf))
-    m = MO.fit_boosted(train, val, "y", 2, NUMERIC, max_rounds=10, step=5, patience=1, max_depth=3)
+    m = MO.fit_boosted(train, val, "y", 2, NUMERIC)
     return M.mean_losses(m.predict(test, "p"), {"nll": M.nll_binary(F.col("p"), F.col("y"))}).withColumn("n_iter", F.lit(m.tuned["n_iter"]))
 
 
@@ -111,8 +123,7 @@ def l16_run_cell(spark, sf):
     """A whole two-class leaderboard cell: four models, calibration, intervals, skill."""
     train, val, test = _parts(_assembled(spark, sf))
     cell = leaderboard.run_cell(
-        train, val, test, k=2, features=NUMERIC, fmt="t20", order=LI_ORDER, n_boot=200, c_grid=(1.0,),
-        boosted={"max_rounds": 5, "step": 5, "patience": 1, "max_depth": 3})
+        train, val, test, k=2, features=NUMERIC, fmt="t20", order=LI_ORDER)
     return cell.board
 
 
@@ -120,15 +131,14 @@ def r6_identity_gate(spark, sf):
     ev = scored_events(spark, sf).withColumnRenamed("p", "base").select(
         "event_id", "user_id", F.hour("ts").alias("hour"), "y", "base", "temporal_split")
     train, val, test = _parts(stored(ev))
-    g = increment.identity_gate(train, val, test, k=K, entities=["user_id", "hour"], key=["event_id"], group="user_id",
-                                grid=(100.0, 1600.0), n_boot=500)
+    g = increment.identity_gate(train, val, test, k=K, entities=["user_id", "hour"], key=["event_id"], group="user_id")
     return g["verdict"].select("metric", "point", "lo", "hi", "rel_pct", "bits", "verdict")
 
 
 def l15_tuned_kappa(spark, sf):
     ev = scored_events(spark, sf).withColumnRenamed("p", "base").filter("temporal_split = 'val'").select(
         "event_id", "user_id", "ts", "y", "base")
-    return increment.tune_kappa(ev, K, EVENT_VALENCE, 2.4, 4.2, ["user_id"], EV_ORDER, chunk=day_chunk(), grid=(10.0, 250.0))
+    return increment.tune_kappa(ev, K, EVENT_VALENCE, 2.4, 4.2, ["user_id"], EV_ORDER, chunk=day_chunk())
 
 
 def g1_logistic_canary(spark, sf):
@@ -140,5 +150,17 @@ def g1_logistic_canary(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     c2_platt, c3_isotonic, c4_alternate_nll, c5_augment_then_calibrate, l1_marginal, l2_class_table, l3_monotone_table,
-    l4_pava, l5_monotonicity, l6_logistic, l7_gbt, l16_run_cell, r6_identity_gate, l15_tuned_kappa, g1_logistic_canary)}
-SQL = {"l5_monotonicity": "SELECT 0::BIGINT AS n_violations"}
+    l4_pava, l5_monotonicity, l5_violations, l6_logistic, l7_gbt, l16_run_cell, r6_identity_gate, l15_tuned_kappa, g1_logistic_canary)}
+SQL = {
+    "l5_monotonicity": "SELECT 0::BIGINT AS n_violations",
+    "l5_violations": f"""WITH cells AS (SELECT st::INT AS innings, qb::INT AS wkts, db::INT AS rate, n::DOUBLE AS p
+        FROM ({SQL_TABLES["a27_lattice_counts"]})),
+      s AS (SELECT *, p - lag(p) OVER (PARTITION BY innings, wkts ORDER BY rate) AS r,
+        p - lag(p) OVER (PARTITION BY innings, rate ORDER BY wkts) AS w FROM cells)
+      SELECT 'rate' AS axis, innings, wkts, rate, r AS step FROM s WHERE r < -1e-9
+      UNION ALL SELECT 'wickets', innings, wkts, rate, w FROM s WHERE CASE WHEN innings = 0 THEN w > 1e-9 ELSE w < -1e-9 END""",
+    "l1_marginal": f"""WITH {SQL_LINES}, a AS (SELECT *, (l_returnflag = 'R')::INT AS y FROM lines),
+      b AS (SELECT avg(y0) AS p FROM (SELECT arg_min(y, (l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS y0 FROM a
+        WHERE temporal_split = 'train' GROUP BY l_orderkey))
+      SELECT count(*) AS n, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS nll FROM a, b WHERE temporal_split = 'val'""",
+}

@@ -32,7 +32,7 @@ def a1_group_losses(spark, sf):
 
 def r1_draws(spark, sf):
     n = user_losses(spark, sf).count()
-    return R.draws(spark, n, 1000).groupBy("idx").agg(
+    return R.draws(spark, n).groupBy("idx").agg(
         F.count(F.lit(1)).alias("n_drawn"), F.sum("replicate").alias("replicates"))
 
 
@@ -51,7 +51,7 @@ def r3_paired_delta(spark, sf):
 
 
 def r4_many_cis(spark, sf):
-    return _ci(R.intervals(user_losses(spark, sf), ["user_id"], ["nll", "nll0", "brier"], n_boot=2000))
+    return _ci(R.intervals(user_losses(spark, sf), ["user_id"], ["nll", "nll0", "brier"]))
 
 
 def _rule_rows(spark, sf):
@@ -185,11 +185,11 @@ r5 AS (SELECT *, (v < 0 AND (v - 0.0004 > 0 OR v + 0.0004 < 0) AND t < 0 AND (t
 SQL = {
     "a1_group_losses": f"""WITH {SQL_SCORED} SELECT l_suppkey, count(*) AS n, round(sum({_NLL.format('p')}), 6) AS nll,
       round(sum(pow(p - y, 2)), 6) AS brier FROM scored GROUP BY 1""",
-    "r1_draws": f"""WITH {_UL}, {_draws(1000)} SELECT idx, count(*) AS n_drawn, sum(replicate)::BIGINT AS replicates
+    "r1_draws": f"""WITH {_UL}, {_draws(10000)} SELECT idx, count(*) AS n_drawn, sum(replicate)::BIGINT AS replicates
       FROM dr GROUP BY idx""",
     "r2_ci": _boot(10_000, {"nll": _mean("nll")}),
     "r3_paired_delta": _boot(10_000, {"p-p0": _delta("nll", "nll0"), "p0-uniform": _delta("nll0", "nllu")}),
-    "r4_many_cis": _boot(2000, {m: _mean(m) for m in ("nll", "nll0", "brier")}),
+    "r4_many_cis": _boot(10000, {m: _mean(m) for m in ("nll", "nll0", "brier")}),
     "r5_challenger_rule": f"""WITH {_RULE} SELECT l_linestatus, round(rel, 9) AS rel_improvement, round(ew, 9) AS ece_worsening,
       c1::BIGINT AS clause1, (rel >= 0.005)::BIGINT AS clause2, (ew <= 0.005)::BIGINT AS clause3,
       (c1 AND rel >= 0.005 AND ew <= 0.005)::BIGINT AS beats_bar FROM r5""",

@@ -57,9 +57,9 @@ def a15_shrunk_table(spark, sf):
 
 
 def j7_prefix_fallback(spark, sf):
-    """Table fitted on thin train data; test rows fall back to the deepest known prefix."""
+    """Table fitted on train; test rows fall back to the deepest known prefix."""
     b = _banded(spark, sf)
-    train = b.filter("temporal_split = 'train' and l_quantity < 25 and not (qb = 1 and l_linestatus = 'F')")
+    train = b.filter("temporal_split = 'train'")
     lv = T.shrunk_levels(T.rollup_totals(train, AXES, {"y": F.col("y")}), AXES, ["y"], 50.0)
     r = T.prefix_lookup(b.filter("temporal_split = 'test'").select(*LI_KEY, *AXES), lv, AXES, ["y"])
     return r.groupBy(F.col("found_depth").cast("long").alias("found_depth")).agg(
@@ -67,7 +67,7 @@ def j7_prefix_fallback(spark, sf):
 
 
 def a27_lattice_counts(spark, sf):
-    b = _banded(spark, sf).filter("l_quantity < 30").withColumn(
+    b = _banded(spark, sf).withColumn(
         "st", F.when(F.col("l_linestatus") == "F", 0).otherwise(1))
     c = T.lattice_counts(b, {"st": 2, "qb": 5, "db": 3})
     return c.select(*[F.col(c_).cast("long").alias(c_) for c_ in ("st", "qb", "db", "n")])
@@ -85,7 +85,7 @@ def _supp_train(spark, sf):
     li = lines_split(spark, sf).withColumns({
         "y": F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2),
         "who": F.when(F.col("l_discount") > 0.005, F.col("l_partkey"))})
-    return li, li.filter("temporal_split = 'train' and l_quantity < 4")
+    return li, li.filter("temporal_split = 'train'")
 
 
 def j5_effect_lookup(spark, sf):
@@ -214,7 +214,7 @@ def _offsets(src: str, who: str, k: int, lam: float, name: str) -> str:
 _SUPP = SQL_LINES + """,
 li AS (SELECT *, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y,
   CASE WHEN l_discount > 0.005 THEN l_partkey END AS who FROM lines),
-str AS (SELECT * FROM li WHERE temporal_split = 'train' AND l_quantity < 4),
+str AS (SELECT * FROM li WHERE temporal_split = 'train'),
 ste AS (SELECT * FROM li WHERE temporal_split = 'test')"""
 _V = "[1.0, 0.0, 6.0, 2.0, 3.0]"
 _SOFT = "list_transform(range(5), lambda i: z[i + 1] / list_sum(z))"
@@ -245,7 +245,7 @@ SQL = {
       UNION ALL SELECT l_linestatus, -1, -1, 1, n, round(e, 9) FROM e1
       UNION ALL SELECT l_linestatus, qb, -1, 2, n, round(e, 9) FROM e2
       UNION ALL SELECT l_linestatus, qb, db, 3, n, round(e, 9) FROM e3""",
-    "j7_prefix_fallback": f"""WITH {_BAND}{_roll("AND l_quantity < 25 AND NOT (qb = 1 AND l_linestatus = 'F')", 50.0)}
+    "j7_prefix_fallback": f"""WITH {_BAND}{_roll("", 50.0)}
       SELECT (CASE WHEN e3.e IS NOT NULL THEN 3 WHEN e2.e IS NOT NULL THEN 2 WHEN e1.e IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS found_depth,
         count(*) AS n, round(sum(coalesce(e3.e, e2.e, e1.e, e0.e)), 6) AS sum_e
       FROM b LEFT JOIN e3 ON (b.l_linestatus, b.qb, b.db) = (e3.l_linestatus, e3.qb, e3.db)
@@ -253,7 +253,7 @@ SQL = {
         LEFT JOIN e1 ON b.l_linestatus = e1.l_linestatus, e0
       WHERE temporal_split = 'test' GROUP BY 1""",
     "a27_lattice_counts": f"""WITH {_BAND} SELECT st, q.qb, d.db, count(b.y) AS n FROM range(2) s(st), range(5) q(qb), range(3) d(db)
-      LEFT JOIN b ON (b.l_linestatus <> 'F')::INT = st AND b.qb = q.qb AND b.db = d.db AND b.l_quantity < 30 GROUP BY ALL""",
+      LEFT JOIN b ON (b.l_linestatus <> 'F')::INT = st AND b.qb = q.qb AND b.db = d.db GROUP BY ALL""",
     "a16_entity_offsets": f"""WITH {SQL_EVENTS}, src AS (SELECT y, CASE WHEN value > 2 THEN user_id END AS who0 FROM ev
       WHERE temporal_split = 'train'){_offsets("src", "who0", 5, 25.0, "off")}
       SELECT who, n, k, round(o[k + 1], 9) AS v FROM off, (SELECT unnest(range(5)) AS k)""",
