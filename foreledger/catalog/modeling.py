@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foreledger.catalog.base import (
-    EV_ORDER, EVENT_CLASSES, EVENT_VALENCE, LI_KEY, LI_ORDER, SQL_LINES, day_chunk, scored_events)
+    EV_ORDER, EVENT_CLASSES, EVENT_VALENCE, LI_KEY, LI_ORDER, SQL_EVENT_SCORED, SQL_LINES, SQL_SCORED, day_chunk, scored_events)
 from foreledger.catalog.splits import fact_view
 from foreledger.catalog.tables import SQL as SQL_TABLES
-from foreledger.operators import calibrate as C, features as FE, metrics as M, models as MO, tables as T
+from foreledger import functions as fn
+from foreledger.operators import calibrate as C, features as FE, increments, metrics as M, models as MO, tables as T, tuning
 from foreledger.plans import increment, leaderboard
 from foreledger.sources.stored import stored
 
@@ -34,17 +35,28 @@ def _scored(spark, sf):
 
 
 def c2_platt(spark, sf):
+    """Raw NLL on test, and the slopes of the val NLL in both parameters: zero at the fit."""
     _, val, test = _scored(spark, sf)
     m = C.fit_platt(val, "p", "y")
-    s = test.withColumn("c", m.apply(F.col("p")))
-    return M.mean_losses(s, {"raw": M.nll_binary(F.col("p"), F.col("y")), "platt": M.nll_binary(F.col("c"), F.col("y"))})
+    off = m.apply(F.col("p")) - F.col("y")
+    at = val.agg(F.round(F.avg(off * fn.logit(F.col("p"))), 5).alias("slope_a"), F.round(F.avg(off), 5).alias("slope_b"))
+    raw = M.mean_losses(test, {"raw": M.nll_binary(F.col("p"), F.col("y"))})
+    return raw.withColumns({c: F.abs(at.select(c).scalar()) for c in ("slope_a", "slope_b")})
 
 
 def c3_isotonic(spark, sf):
+    """Raw Brier score on test, blocks of the val fit that are not at their mean, and whether the map rises to its end."""
     _, val, test = _scored(spark, sf)
     apply, _ = C.fit_isotonic(val, "p", "y")
-    s = apply(test, "p", "c")
-    return M.mean_losses(s, {"raw": M.brier_binary(F.col("p"), F.col("y")), "isotonic": M.brier_binary(F.col("c"), F.col("y"))})
+    s = apply(val, "p", "c").groupBy("p").agg(F.first("c").alias("c"), F.count(F.lit(1)).alias("n"), F.sum("y").alias("y"))
+    block = s.groupBy(F.round("c", 9).alias("level")).agg(
+        F.sum("n").alias("n"), F.min("p").alias("first_p"), F.max("p").alias("last_p"),
+        F.round(F.sum("y") / F.sum("n"), 9).alias("mean_y"))
+    bad = block.filter(F.abs(F.col("level") - F.col("mean_y")) > 1e-8)
+    falls = s.agg(F.max(F.struct("c", "p")).alias("top"), F.max(F.struct("p", "c")).alias("last"))
+    return M.mean_losses(test, {"raw": M.brier_binary(F.col("p"), F.col("y"))}).withColumns({
+        "blocks_off": bad.agg(F.count(F.lit(1))).scalar(),
+        "top_is_last": falls.select((F.col("top.c") == F.col("last.c")).cast("long")).scalar()})
 
 
 def c4_alternate_nll(spark, sf):
@@ -56,11 +68,15 @@ def c4_alternate_nll(spark, sf):
 
 
 def c5_augment_then_calibrate(spark, sf):
+    """Base NLL on test, and whether the augmented val NLL is least at the fitted temperature."""
     ev = scored_events(spark, sf).withColumnRenamed("p", "base")
     train, val, test = _parts(ev.select("event_id", "user_id", "y", "base", "temporal_split"))
     t = C.fit_temperature(increment.augmented(val, train, 400.0, K, ["user_id"]), "q", "y")
-    s = increment.augmented(test, train, 400.0, K, ["user_id"]).withColumn("c", C.temperature_probs(F.col("q"), t))
-    return M.mean_losses(s, {"base": M.nll_multi(F.col("base"), F.col("y")), "augmented": M.nll_multi(F.col("c"), F.col("y"))})
+    s = increment.augmented(val, train, 400.0, K, ["user_id"])
+    nll = lambda f: F.avg(tuning.nll_of_logits(fn.log_floor(F.col("q")), F.col("y"), t * f))
+    at = s.agg(nll(1.0).alias("at"), nll(max(0.99, C.T_BOUNDS[0] / t)).alias("below"), nll(min(1.01, C.T_BOUNDS[1] / t)).alias("above"))
+    best = at.select(((F.col("at") <= F.col("below")) & (F.col("at") <= F.col("above"))).cast("long")).scalar()
+    return M.mean_losses(test, {"base": M.nll_multi(F.col("base"), F.col("y"))}).withColumn("is_least", best)
 
 
 def l1_marginal(spark, sf):
@@ -136,9 +152,16 @@ def r6_identity_gate(spark, sf):
 
 
 def l15_tuned_kappa(spark, sf):
+    """Every strength, and whether its NLL at the fitted temperature is no higher than at one."""
     ev = scored_events(spark, sf).withColumnRenamed("p", "base").filter("temporal_split = 'val'").select(
         "event_id", "user_id", "ts", "y", "base")
-    return increment.tune_kappa(ev, K, EVENT_VALENCE, 2.4, 4.2, ["user_id"], EV_ORDER, chunk=day_chunk())
+    c = increment.tune_kappa(ev, K, EVENT_VALENCE, 2.4, 4.2, ["user_id"], EV_ORDER, chunk=day_chunk())
+    plain = tuning.kappa_curve(ev.withColumn("s", increments.residual_signal(F.col("base"), F.col("y"), EVENT_VALENCE)),
+                               "base", "y", "s", ["user_id"], EV_ORDER, EVENT_VALENCE, F.lit(2.4), F.lit(4.2),
+                               increments.KAPPA_GRID, day_chunk()).withColumnRenamed("nll", "at_one")
+    return c.join(plain, "param").select(
+        F.col("param").alias("kappa"), F.round("at_one", 8).alias("nll_at_one"),
+        (F.col("nll") <= F.col("at_one") + 1e-12).cast("long").alias("no_worse"))
 
 
 def g1_logistic_canary(spark, sf):
@@ -159,6 +182,20 @@ SQL = {
         p - lag(p) OVER (PARTITION BY innings, rate ORDER BY wkts) AS w FROM cells)
       SELECT 'rate' AS axis, innings, wkts, rate, r AS step FROM s WHERE r < -1e-9
       UNION ALL SELECT 'wickets', innings, wkts, rate, w FROM s WHERE CASE WHEN innings = 0 THEN w > 1e-9 ELSE w < -1e-9 END""",
+    "c2_platt": f"""WITH {SQL_SCORED} SELECT count(*) AS n, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) AS raw, 0.0 AS slope_a,
+        0.0 AS slope_b FROM scored WHERE temporal_split = 'test'""",
+    "c3_isotonic": f"""WITH {SQL_SCORED} SELECT count(*) AS n, avg((p - y) * (p - y)) AS raw, 0::BIGINT AS blocks_off, 1::BIGINT AS top_is_last
+      FROM scored WHERE temporal_split = 'test'""",
+    "c5_augment_then_calibrate": f"""WITH {SQL_EVENT_SCORED} SELECT count(*) AS n, avg(-ln(p[y + 1])) AS base, 1::BIGINT AS is_least
+      FROM escored WHERE temporal_split = 'test'""",
+    "l15_tuned_kappa": f"""WITH {SQL_EVENT_SCORED}, v AS (SELECT [1.0, 0.0, 6.0, 2.0, 3.0] AS v),
+      res AS (SELECT event_id, user_id, ts, y, p, v, v[y + 1] - list_sum(list_transform(range(5), lambda i: p[i + 1] * v[i + 1])) AS s
+        FROM escored, v WHERE temporal_split = 'val'),
+      sm AS (SELECT y, p, v, coalesce(sum(s) OVER w, 0) AS sb, count(*) OVER w AS nb FROM res
+        WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      kp AS (SELECT unnest([2.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 600.0])::DOUBLE AS kappa),
+      z AS (SELECT kappa, y, list_transform(range(5), lambda i: exp(ln(p[i + 1]) + sb / (nb + kappa) * (v[i + 1] - 2.4) / 4.2)) AS z FROM sm, kp)
+      SELECT kappa, round(avg(ln(list_sum(z)) - ln(z[y + 1])), 8) AS nll_at_one, 1::BIGINT AS no_worse FROM z GROUP BY kappa""",
     "l1_marginal": f"""WITH {SQL_LINES}, a AS (SELECT *, (l_returnflag = 'R')::INT AS y FROM lines),
       b AS (SELECT avg(y0) AS p FROM (SELECT arg_min(y, (l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS y0 FROM a
         WHERE temporal_split = 'train' GROUP BY l_orderkey))

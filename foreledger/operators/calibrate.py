@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import EPS, clip, dot, log_floor, logit, sigmoid, softmax
+from foreledger.functions.variants import let
 from foreledger.sources.stored import stored
 
 # Temperature bounds and the thin-cell threshold in labelled groups.
@@ -27,28 +28,54 @@ def temperature_probs(probs: Column, t: float | Column) -> Column:
 
 
 def fit_temperature(val: DataFrame, probs: str, y: str) -> float:
-    """T with the lowest val NLL in T_BOUNDS.
+    """T with the lowest val NLL in T_BOUNDS, over rows that are written once."""
+    rows = stored(val.select(log_floor(F.col(probs)).alias("z"), F.col(y).cast("int").alias("y")))
+    return fit_temperatures(rows, [F.col("z")], "y")[0]
+
+
+def _slope_and_curvature(z: Column, y: Column, b: float) -> Column:
+    """E[z] - z_y and Var[z] of a row under softmax(b z)."""
+    def moments(v: Column, w: Column) -> Column:
+        return let(dot(w, v), lambda m: F.struct(
+            (m - F.element_at(v, y.cast("int") + 1)).alias("g"),
+            (dot(w, F.transform(v, lambda x: x * x)) - m * m).alias("h")))
+
+    return let(z, lambda v: let(softmax(F.transform(v, lambda x: x * b)), lambda w: moments(v, w)))
+
+
+@dataclass
+class _Bracket:
+    """Safeguarded Newton search for the root of a rising slope."""
 
-    NLL is convex in b = 1/T, with slope E[z] - z_y and curvature Var[z] under
-    softmax(b z).  Safeguarded Newton steps: one small aggregate per pass over
-    rows that are written once, two numbers fetched.
+    lo: float = 1.0 / T_BOUNDS[1]
+    hi: float = 1.0 / T_BOUNDS[0]
+    b: float = 1.0
+    done: bool = False
+
+    def step(self, slope: float, curvature: float) -> None:
+        self.lo, self.hi = (self.b, self.hi) if slope < 0 else (self.lo, self.b)
+        nxt = self.b - slope / curvature if curvature > 0 else self.lo
+        if not self.lo < nxt < self.hi:
+            nxt = 0.5 * (self.lo + self.hi)
+        self.done = abs(nxt - self.b) < 1e-7 * self.b or self.hi - self.lo < 1e-7 * self.lo
+        self.b = nxt
+
+
+def fit_temperatures(rows: DataFrame, logits: Sequence[Column], y: str) -> list[float]:
+    """The best T for each of several logit columns of the same rows.
+
+    NLL is convex in b = 1/T.  A pass is one aggregate that holds the Newton step of
+    every column that is not settled; two numbers a column are fetched.
     """
-    rows = stored(val.select(log_floor(F.col(probs)).alias("z"), F.col(y).cast("int").alias("y")))
-    lo, hi = 1.0 / T_BOUNDS[1], 1.0 / T_BOUNDS[0]
-    b = 1.0
+    at = [_Bracket() for _ in logits]
     for _ in range(MAX_PASSES):
-        w = softmax(F.transform("z", lambda x: x * b))
-        step = rows.select("z", "y", w.alias("w")).select(
-            dot(F.col("w"), F.col("z")).alias("m"), dot(F.col("w"), F.transform("z", lambda x: x * x)).alias("m2"),
-            F.element_at("z", F.col("y") + 1).alias("zy"),
-        ).agg(F.avg(F.col("m") - F.col("zy")).alias("g"), F.avg(F.col("m2") - F.col("m") * F.col("m")).alias("h")).first()
-        lo, hi = (b, hi) if step["g"] < 0 else (lo, b)
-        nxt = b - step["g"] / step["h"] if step["h"] > 0 else 0.5 * (lo + hi)
-        if not lo < nxt < hi:
-            nxt = 0.5 * (lo + hi)
-        done, b = abs(nxt - b) < 1e-7 * b, nxt
-        if done or hi - lo < 1e-7 * lo:
-            return 1.0 / b
+        live = [i for i, s in enumerate(at) if not s.done]
+        if not live:
+            return [1.0 / s.b for s in at]
+        got = rows.select(*[_slope_and_curvature(logits[i], F.col(y), at[i].b).alias(f"m{i}") for i in live]).agg(*[
+            F.avg(F.col(f"m{i}")[k]).alias(f"{k}{i}") for i in live for k in "gh"]).first()
+        for i in live:
+            at[i].step(got[f"g{i}"], got[f"h{i}"])
     raise RuntimeError(f"no temperature found in {MAX_PASSES} passes")
 
 

@@ -7,12 +7,13 @@ group draws.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foreledger.functions import log_floor
+from foreledger.functions import EPS_BOARD, log_floor
 from foreledger.operators import calibrate as C
 from foreledger.operators import guards, increments as I, resample
 from foreledger.operators import metrics as M
@@ -42,10 +43,10 @@ def tune_lambda(train: DataFrame, val: DataFrame, k: int, entities: Sequence[str
 
 
 def _post_temperature(rows: DataFrame, arms: Sequence[tuple[float, Column]], y: str) -> DataFrame:
-    points = []
-    for param, z in arms:
-        t = C.fit_temperature(rows.select(F.transform(z, lambda x: F.exp(x)).alias("q"), y), "q", y)
-        points.append((param, t, z))
+    """NLL of every arm at its own best temperature; all arms are fitted together."""
+    floor = F.lit(math.log(EPS_BOARD))
+    fitted = C.fit_temperatures(rows, [F.transform(z, lambda x: F.greatest(x, floor)) for _, z in arms], y)
+    points = [(param, t, z) for (param, z), t in zip(arms, fitted)]
     wide = rows.agg(*[F.avg(tuning.nll_of_logits(z, F.col(y), t)).alias(f"__{i}") for i, (_, t, z) in enumerate(points)])
     return wide.select(F.explode(F.array(*[F.struct(
         F.lit(float(p)).alias("param"), F.lit(t).alias("temperature"), F.col(f"__{i}").alias("nll"))
