@@ -262,10 +262,10 @@ m1 AS (SELECT *, CASE WHEN NOT (gone OR tie OR drawn) THEN CASE WHEN o_orderstat
   CASE WHEN tie AND o_orderstatus = 'F' THEN 'F' END AS elim,
   CASE WHEN tie AND (o_orderstatus = 'O' OR (o_orderstatus = 'F' AND o_totalprice > 400000)) THEN 'O' END AS bowl FROM m0),
 lab AS (SELECT o_orderkey AS match_id, temporal_split, fmt,
-  CASE WHEN gone THEN NULL WHEN winner IS NOT NULL AND ft IS NULL THEN 'winner set but no first-innings rows'
-    WHEN winner IS NOT NULL THEN NULL WHEN tie AND elim IS NOT NULL AND bowl IS NOT NULL THEN 'tie with two tie-breakers'
-    WHEN tie AND coalesce(elim, bowl) IS NOT NULL AND ft IS NULL THEN 'tie-breaker set but no first-innings rows'
-    WHEN tie THEN NULL ELSE 'unmapped outcome shape' END AS error,
+  CASE WHEN gone THEN NULL WHEN winner IS NOT NULL AND ft IS NULL THEN 'a winner, but nothing of the first innings'
+    WHEN winner IS NOT NULL THEN NULL WHEN tie AND elim IS NOT NULL AND bowl IS NOT NULL THEN 'a tie broken twice'
+    WHEN tie AND coalesce(elim, bowl) IS NOT NULL AND ft IS NULL THEN 'a broken tie, but nothing of the first innings'
+    WHEN tie THEN NULL ELSE 'an outcome no rule covers' END AS error,
   CASE WHEN gone THEN 'EXCLUDE_NO_RESULT' WHEN winner IS NOT NULL THEN 'LABELED'
     WHEN tie AND coalesce(elim, bowl) IS NULL THEN 'EXCLUDE_TRUE_TIE' WHEN tie THEN 'LABELED' END AS disp,
   CASE WHEN winner IS NOT NULL THEN (winner = ft)::INT WHEN coalesce(elim, bowl) IS NOT NULL
