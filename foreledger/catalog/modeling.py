@@ -139,7 +139,7 @@ def l16_run_cell(spark, sf):
     """A whole two-class leaderboard cell: four models, calibration, intervals, skill."""
     train, val, test = _parts(_assembled(spark, sf))
     cell = leaderboard.run_cell(
-        train, val, test, k=2, features=NUMERIC, fmt="t20", order=LI_ORDER)
+        train, val, test, k=2, features=NUMERIC, fmt="t20", order=LI_ORDER, boosted={"max_rounds": 25, "step": 5})
     return cell.board
 
 
