@@ -41,6 +41,14 @@ FLUSH_GRAMS = 400_000
 FOLDS, HELD_FOLD, CALIBRATION_FOLD = 4, 2, 3
 REJECT_SHARE = 1e-4
 REJECT_SLACK = 1.5
+# Distinct calibration texts at which a language's own values weigh as much as the pooled
+# ones; share of the pooled spread below which none falls.
+SHRINK_TEXTS, LEAST_SPREAD = 10, 0.5
+# A language learned from few texts is badly predicted: its mean is unsure by this share
+# at least, in variance divided by one more than its distinct calibration texts.
+UNSURE_SHARE = 0.5
+# Spreads a normal value exceeds at the rate of REJECT_SHARE; few texts do not show their tail.
+LEAST_LIMIT = 3.72
 _EVIDENCE_STEP, _EVIDENCE_BINS = 0.25, 256
 _LENGTH_CAP = 400
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -329,6 +337,24 @@ def _platt(x: np.ndarray, right: np.ndarray, wrong: np.ndarray) -> tuple[float,
     return max(float(w[0]), 0.0), float(w[1])
 
 
+def _shrunk(own: np.ndarray, kinds: np.ndarray, squares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and spread of every language, drawn to pooled values where it has few distinct texts.
+
+    ``own`` is the mean of ``kinds`` distinct texts, ``squares`` the sum of their squared
+    offsets times length.  A mean is only ever raised, and what is unknown of it widens
+    the spread: a text is not rejected because its language is rare.
+    """
+    known = kinds > 0
+    within = squares.sum() / max(kinds.sum() - known.sum(), 1)
+    between = own[known].var(ddof=1) if known.sum() > 1 else 0.0
+    between = max(between, within / _LENGTH_CAP, (UNSURE_SHARE * own[known].mean()) ** 2)
+    weight = kinds / (kinds + SHRINK_TEXTS)
+    mean = np.where(known, np.maximum(own, weight * own + (1 - weight) * own[known].mean()), own[known].mean())
+    single = np.where(kinds > 1, squares / np.maximum(kinds - 1, 1), within)
+    spread = np.sqrt(weight * single + (1 - weight) * within + _LENGTH_CAP * between / (1 + kinds))
+    return mean, np.maximum(spread, LEAST_SPREAD * np.sqrt(within) + 1e-3)
+
+
 def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str) -> Model:
     """Fit the score and the rejection limit on the calibration fold.
 
@@ -338,7 +364,8 @@ def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str) ->
         return model
     share = docs.sparkSession.sparkContext.broadcast(model)
     fold = docs.filter(F.col(lang).isNotNull() & (fold_of(key) == CALIBRATION_FOLD))
-    told = stored(_decisions(fold, share, text, [F.col(lang).cast("string")], ["lang"]).filter("n > 0"), "calibration")
+    told = stored(_decisions(
+        fold, share, text, [F.col(lang).cast("string"), F.xxhash64(F.col(text))], ["lang", "tx"]).filter("n > 0"), "calibration")
     x = F.least((F.least("second", F.lit(1e6)) - F.col("best")) * F.sqrt("n"), F.lit(_EVIDENCE_STEP * _EVIDENCE_BINS))
     bins = told.groupBy(F.floor(x / _EVIDENCE_STEP).alias("b")).agg(
         F.count_if(F.col("lang") == F.col("pred")).alias("right"),
@@ -347,13 +374,19 @@ def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str) ->
         (bins["b"].to_numpy(float) + 0.5) * _EVIDENCE_STEP, bins["right"].to_numpy(float), bins["wrong"].to_numpy(float))
     right = told.filter(F.col("lang") == F.col("pred"))
     length = F.sqrt(F.least("n", F.lit(_LENGTH_CAP)))
-    means = {r["lang"]: r["m"] for r in right.groupBy("lang").agg(F.avg("best").alias("m")).collect()}
-    overall = float(np.mean(list(means.values()))) if means else 0.0
-    model.mean = np.array([means.get(k, overall) for k in model.langs])
+    texts = right.groupBy("lang", "tx").agg(F.first("best").alias("best"), F.first("n").alias("n"))
+    seen = {r["lang"]: r for r in texts.groupBy("lang").agg(F.avg("best").alias("m"), F.count("*").alias("k")).collect()}
+    own = np.array([seen[k]["m"] if k in seen else 0.0 for k in model.langs])
+    kinds = np.array([seen[k]["k"] if k in seen else 0 for k in model.langs])
+    own_pairs = [F.lit(v) for k, m in zip(model.langs, own) for v in (k, float(m))]
+    near = (F.col("best") - F.element_at(F.create_map(*own_pairs), F.col("lang"))) * length
+    squares = {r["lang"]: r["s"] for r in texts.groupBy("lang").agg(F.sum(near * near).alias("s")).collect()}
+    if (kinds > 1).any():
+        model.mean, model.spread = _shrunk(own, kinds, np.array([squares.get(k, 0.0) for k in model.langs]))
+    else:
+        return model
     pairs = [F.lit(v) for k, m in zip(model.langs, model.mean) for v in (k, float(m))]
     off = (F.col("best") - F.element_at(F.create_map(*pairs), F.col("lang"))) * length
-    spreads = {r["lang"]: r["s"] for r in right.groupBy("lang").agg(F.sqrt(F.avg(off * off)).alias("s")).collect()}
-    model.spread = np.maximum(np.array([spreads.get(k, 0.0) or 0.0 for k in model.langs]), 1e-3)
     widths = [F.lit(v) for k, s in zip(model.langs, model.spread) for v in (k, float(s))]
     z = F.floor(off / F.element_at(F.create_map(*widths), F.col("lang")) * 10)
     tail = right.groupBy(F.greatest(F.least(z, F.lit(10_000)), F.lit(0)).alias("z")).agg(
@@ -361,7 +394,7 @@ def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str) ->
     if len(tail):
         allowed = REJECT_SHARE * tail["k"].sum()
         inside = tail[tail["k"].cumsum() > allowed]
-        model.limit = REJECT_SLACK * (float(inside["z"].iloc[0]) + 1) / 10
+        model.limit = REJECT_SLACK * max((float(inside["z"].iloc[0]) + 1) / 10, LEAST_LIMIT)
     return model
 
 
