@@ -33,8 +33,8 @@ from foreledger.sources.stored import stored
 
 ORDER = 4
 UNKNOWN = "und"
-# Documented bound of the model: n-grams of the highest order over all languages.  The
-# most frequent of each language are kept where a corpus has more.
+# Default bound of most_frequent(), which fit() does not use: a cut list changes discounts
+# and continuation counts, so the arrays hold every n-gram and grow with them.
 MODEL_GRAMS = 400_000
 BLOCK_CHARS = 1 << 17
 FLUSH_GRAMS = 400_000
@@ -399,9 +399,9 @@ def calibrate(model: Model, docs: DataFrame, key: str, text: str, lang: str) ->
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Learn from labelled rows outside the held-out fold."""
+    """Learn from labelled rows outside the held-out fold; every n-gram counts."""
     counts = stored(gram_counts(docs, key, text, lang), "grams")
-    model = build_model(most_frequent(counts).toPandas())
+    model = build_model(counts.toPandas())
     return calibrate(model, docs, key, text, lang)
 
 

@@ -49,3 +49,12 @@ def test_shrunk_values():
     mean, spread = langid._shrunk(own, kinds, np.array([999.0, 999.0, 0.0, 0.0]))
     assert mean[0] == pytest.approx(2.0, abs=0.01) and spread[0] == pytest.approx(1, rel=0.8)
     assert mean[2] > 1.6 and mean[3] == pytest.approx(5.2 / 3) and (spread[2:] >= spread[:2].max()).all()
+
+
+def test_a_model_counts_every_gram(spark, monkeypatch):
+    monkeypatch.setattr(langid.most_frequent, "__defaults__", (300,))
+    docs = docs_frame(spark, corpus())
+    counts = langid.gram_counts(docs, "doc_id", "text", "lang").toPandas()
+    model, whole = langid.fit(docs), langid.build_model(counts)
+    assert model.langs == whole.langs and len(model.grams[-1].hashes) == counts["gram"].nunique() > 300
+    assert (model.grams[-1].values == whole.grams[-1].values).all()
