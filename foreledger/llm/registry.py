@@ -95,6 +95,16 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(_table(spark, sf_dir, "documents"), secret="corpus-surrogates-v1")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transform every document, restore every output, and digest both."""
+    from foreledger.llm import fim
+
+    both = fim.restored(fim.transformed(_table(spark, sf_dir, "documents")))
+    return both.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", fim.text_digest("output").alias("output_sha256"),
+        fim.text_digest("restored").alias("restored_sha256"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

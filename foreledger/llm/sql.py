@@ -58,4 +58,27 @@ FROM (SELECT d.id AS doc_id, d.version AS dv, i.id AS item_id, i.version AS iv,
 WHERE n_shared / n_item >= 0.8
 """
 
-SQL = {"op7_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT, "op9_warc_archive": WARC}
+FILL_IN_MIDDLE = """
+WITH told AS (
+  SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hex FROM documents),
+drawn AS (
+  SELECT *, list_transform(range(4), lambda k: CAST('0x' || substr(hex, CAST(1 + 8 * k AS INTEGER), 8) AS BIGINT)) AS h
+  FROM told),
+cut AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>') OR h[3] % 100 >= 90
+      THEN 'plain' WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM drawn),
+parts AS (
+  SELECT *, substr(body, 1, a) AS prefix, substr(body, a + 1, b - a) AS middle, substr(body, b + 1) AS suffix FROM cut)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN body
+    WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(body) AS restored_sha256
+FROM parts
+"""
+
+SQL = {"op7_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT, "op9_warc_archive": WARC,
+       "op13_fill_in_middle": FILL_IN_MIDDLE}
