@@ -58,6 +58,47 @@ FROM (SELECT d.id AS doc_id, d.version AS dv, i.id AS item_id, i.version AS iv,
 WHERE n_shared / n_item >= 0.8
 """
 
+IMPORTANCE = """
+WITH crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(
+    list_prepend(b, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+told AS (
+  SELECT r, text FROM docs UNION ALL SELECT NULL, text FROM benchmark),
+words AS (
+  SELECT r, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS w
+  FROM told WHERE text IS NOT NULL),
+counts AS (SELECT r, w, count(*) AS n FROM words GROUP BY r, w),
+bytes AS (
+  SELECT w, list_transform(range(strlen(w)), lambda k: CAST('0x' || substr(hex(w), CAST(2 * k + 1 AS INTEGER), 2) AS BIGINT)) AS b
+  FROM (SELECT DISTINCT w FROM words)),
+buckets AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[CAST(1 + (xor(c, x) & 255) AS INTEGER)])),
+    4294967295) % 10000 AS bucket FROM bytes, crc_table),
+totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (r IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (r IS NULL), 0) AS t
+  FROM counts JOIN buckets USING (w) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln(
+    CAST(t + 1 AS DOUBLE) * CAST((SELECT sum(s) FROM totals) + 10000 AS DOUBLE)
+    / (CAST(s + 1 AS DOUBLE) * CAST((SELECT sum(t) FROM totals) + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM totals),
+weights AS (
+  SELECT r, sum(n) AS n_features, sum(n * gain) AS weight
+  FROM counts JOIN buckets USING (w) JOIN gains USING (bucket) WHERE r IS NOT NULL GROUP BY r),
+scored AS (
+  SELECT r, doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256(
+      '2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM docs LEFT JOIN weights USING (r)),
+drawn AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, r) AS rank
+  FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN rank <= (SELECT count(*) * 10 // 100 FROM drawn) THEN rank END AS rank
+FROM scored LEFT JOIN drawn USING (r)
+"""
+
 FILL_IN_MIDDLE = """
 WITH told AS (
   SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n,
@@ -80,5 +121,5 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
 FROM parts
 """
 
-SQL = {"op7_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT, "op9_warc_archive": WARC,
+SQL = {"op7_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT, "op9_warc_archive": WARC, "op11_importance_resampling": IMPORTANCE,
        "op13_fill_in_middle": FILL_IN_MIDDLE}
