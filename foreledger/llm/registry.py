@@ -103,6 +103,13 @@ def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_features", "weight", "score", "rank")
 
 
+def op12_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label."""
+    from foreledger.llm import itq
+
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transform every document, restore every output, and digest both."""
     from foreledger.llm import fim

@@ -99,6 +99,25 @@ SELECT doc_id, n_features, weight, score,
 FROM scored LEFT JOIN drawn USING (r)
 """
 
+EMBEDDINGS = """
+WITH RECURSIVE told AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+usable AS (
+  SELECT r, label, e, sqrt(list_dot_product(e, e)) AS norm FROM told
+  WHERE label IS NOT NULL AND len(e) > 0 AND list_count(e) = len(e) AND len(list_filter(e, lambda x: isfinite(x))) = len(e)
+    AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM usable a JOIN usable b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (
+  SELECT r AS a, r AS b FROM told UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+named AS (SELECT a AS r, min(vec_id) AS component_id FROM reach JOIN told ON told.r = reach.b GROUP BY a),
+counts AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id,
+  vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM told JOIN named USING (r) LEFT JOIN counts USING (r)
+"""
+
 FILL_IN_MIDDLE = """
 WITH told AS (
   SELECT doc_id, coalesce(text, '') AS body, length(coalesce(text, '')) AS n,
@@ -122,4 +141,4 @@ FROM parts
 """
 
 SQL = {"op7_decontaminate": DECONTAMINATE, "op5_chat_format": CHAT, "op9_warc_archive": WARC, "op11_importance_resampling": IMPORTANCE,
-       "op13_fill_in_middle": FILL_IN_MIDDLE}
+       "op12_embedding_duplicates": EMBEDDINGS, "op13_fill_in_middle": FILL_IN_MIDDLE}
