@@ -25,6 +25,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,7 @@ SEED = "2024"
 #: The dictionary holds at most so many words, none longer than so many bytes.
 DICTIONARY_WORDS = 1 << 16
 WORD_BYTES = 64
+LEVELS = 64
 BLOCK = 1 << 20
 #: Letters and digits in lower case, bytes of longer characters as they are, all others a space.
 _PLAIN = bytes(b if b >= 0x80 else ord(chr(b).lower()) if chr(b).isalnum() else 0x20 for b in range(256))
@@ -83,16 +85,15 @@ def payloads(block: bytes, known) -> np.ndarray:
     """Payloads of the words of a block, in order."""
     if known is None:
         return np.array([payload(w) for w in block.split()], np.int64)
-    hits = list(known.iter(block.decode("latin-1")))
-    if not hits:
-        return np.array([payload(w) for w in block.split()], np.int64)
-    ends, values = (np.fromiter(c, np.int64, len(hits)) for c in zip(*hits))
+    hits = np.fromiter(chain.from_iterable(known.iter(block.decode("latin-1"))), np.int64)
+    ends, values = hits[::2], hits[1::2]
     # A gap runs from the space that ends one known word to the one that opens the next.
     closes = np.concatenate([[0], ends])
     opens = np.concatenate([ends - (values >> 32) - 1, [len(block) - 1]])
     at, extra = [], []
-    for k in np.flatnonzero(opens > closes).tolist():
-        unknown = block[closes[k]:opens[k]].split()
+    gaps = np.flatnonzero(opens - closes > 1)
+    for k, a, b in zip(gaps.tolist(), closes[gaps].tolist(), opens[gaps].tolist()):
+        unknown = block[a:b].split()
         at += [k] * len(unknown)
         extra += map(payload, unknown)
     return np.insert(values, at, extra) if extra else values
@@ -155,19 +156,33 @@ def features(text: str | None, known, n_buckets: int = BUCKETS, max_ngram: int =
 
 
 def dictionary(texts: DataFrame, column: str = "text", size: int = DICTIONARY_WORDS) -> list[bytes]:
-    """The most frequent distinct words of all texts, ties by word; every word is counted."""
+    """The most frequent distinct words of all texts, at most ``size``; every word is counted.
+
+    Counts are graded by their logarithm.  The top grades that fit are taken whole, so that
+    no task and not the driver ever holds more words than that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for text in batch.column(0):
                 for block in blocks(text.as_py()):
-                    seen.update(w for w in block.split() if len(w) <= WORD_BYTES)
+                    seen.update(block.split())
+            words = [w for w in seen if len(w) <= WORD_BYTES]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+                [pa.array(words, pa.binary()), pa.array([seen[w] for w in words], pa.int64())], names=["word", "n"])
 
-    counts = texts.select(column).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(size).collect()]
+    counts = stored(texts.select(column).mapInArrow(run, "word binary, n long").groupBy("word").agg(
+        F.sum("n").alias("n")).withColumn("level", F.floor(F.log2("n") * LEVELS)), "words")
+    room, least = size, None
+    for r in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 64 * LEVELS rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["level"]
+    found = [] if least is None else [bytes(r["word"]) for r in counts.filter(F.col("level") >= least).collect()]
+    drop_stored(counts)
+    return sorted(found)
 
 
 _last: tuple = (None, None)
@@ -189,9 +204,16 @@ def totals(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, sums = _known(words), np.zeros(n_buckets, np.int64)
         for batch in batches:
+            parts, held = [], 0
             for text in batch.column(0):
                 for found in features(text.as_py(), known, n_buckets, max_ngram):
-                    sums += np.bincount(found, minlength=n_buckets)
+                    parts.append(found)
+                    held += len(found)
+                    if held > BLOCK:
+                        sums += np.bincount(np.concatenate(parts), minlength=n_buckets)
+                        parts, held = [], 0
+            if parts:
+                sums += np.bincount(np.concatenate(parts), minlength=n_buckets)
         held = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(sums[held])], names=["bucket", "n"])
 
