@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import EPS_BOARD, arg_max, dot, log_floor, outer_scale, softmax
 from foreledger.operators.scan import join_on, running
+from foreledger.sources.stored import stored
 
 # Grids of the two tuned strengths and the near-unshrunk setting.
 KAPPA_GRID = (2.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 600.0)
@@ -44,8 +45,8 @@ def local_level(df: DataFrame, signal: str, group: Sequence[str], order: Sequenc
     process noise it is the shrunken running mean with kappa = obs/prior.  With
     noise the weights fade geometrically: rows are cut by ordinal into blocks
     long enough that a block shrinks what came before it by exp(-40), below
-    double precision in size.  One row per block is carried on by a window over
-    the blocks, with every earlier block in it.
+    double precision in size.  A block is an affine map of the mean it starts
+    with; those maps are composed over chunks of blocks.
     """
     a, q, p0 = float(obs_var), float(process_var), float(prior_var)
     if q == 0.0:
@@ -69,16 +70,44 @@ def local_level(df: DataFrame, signal: str, group: Sequence[str], order: Sequenc
     src = src.withColumn("__before", F.coalesce(F.sum("__lk").over(w), zero))
     src = src.withColumn("__t", F.col("__gx") * F.exp(-F.col("__before") - F.col("__lk")))
     local = src.withColumn("__s", F.coalesce(F.sum("__t").over(w), zero))
-    blocks = src.groupBy(*keys).agg(F.exp(F.sum("__lk")).alias("__keep"),
-                                    F.sum("__t").alias("__tot"))
     # A block turns the mean m it starts with into keep * (m + tot).
-    earlier = Window.partitionBy(*group).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    steps = F.collect_list(F.struct("__keep", "__tot")).over(earlier)
-    carried = F.aggregate(steps, zero, lambda m, s: s["__keep"] * (m + s["__tot"]))
-    local = join_on(local, blocks.select(*keys, carried.alias("__m")), keys, "left")
+    keep, tot = F.exp(F.sum("__lk")), F.sum("__t")
+    blocks = stored(src.groupBy(*keys).agg(keep.alias("scale"), (keep * tot).alias("shift")), "blocks")
+    carried = affine_prefix(blocks, group, "__blk").withColumnRenamed("start", "__m")
+    local = join_on(local, carried, keys, "left")
     return local.select(*df.columns, (F.exp("__before") * (F.col("__s") + F.coalesce("__m", zero))).alias(out))
 
 
+def affine_prefix(maps: DataFrame, group: Sequence[str], at: str, fan: int = 256) -> DataFrame:
+    """(group, at, start): the value with which each map ``m -> scale * m + shift`` starts.
+
+    The maps of a group are applied in the order of the whole number ``at``, from 0.  Maps
+    compose to a map, so ``fan`` neighbours become one row, that level is solved in the same
+    way, and its values are carried down again.  No row holds more than ``fan`` maps.
+    """
+    chunk = f"{at}__up"
+    step = F.struct(F.col(at).alias("at"), "scale", "shift")
+    chunks = stored(maps.withColumn(chunk, F.floor(F.col(at) / fan)).groupBy(*group, chunk).agg(
+        F.sort_array(F.collect_list(step)).alias("steps")), "maps")
+    one = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"))
+    whole = F.aggregate("steps", one, lambda m, s: F.struct(
+        (m["scale"] * s["scale"]).alias("scale"), (s["scale"] * m["shift"] + s["shift"]).alias("shift")))
+    top = chunks.agg(F.max(chunk)).first()[0]
+    if top:
+        above = affine_prefix(chunks.select(*group, chunk, whole.alias("m")).select(*group, chunk, "m.*"), group, chunk, fan)
+        chunks = join_on(chunks, above, [*group, chunk])
+    else:
+        chunks = chunks.withColumn("start", F.lit(0.0))
+    empty = F.array().cast("array<struct<at: long, start: double>>")
+    walk = F.aggregate(
+        "steps", F.struct(F.col("start").alias("m"), empty.alias("seen")),
+        lambda w, s: F.struct(
+            (s["scale"] * w["m"] + s["shift"]).alias("m"),
+            F.concat(w["seen"], F.array(F.struct(s["at"].cast("long").alias("at"), w["m"].alias("start")))).alias("seen")),
+        lambda w: w["seen"])
+    return chunks.select(*group, F.explode(walk).alias("s")).select(*group, F.col("s.at").alias(at), F.col("s.start").alias("start"))
+
+
 def valence_moments(probs: Column, valence: Sequence[float]) -> tuple[Column, Column]:
     """Mean and variance of a class valence under a probability vector."""
     v = F.array(*[F.lit(float(x)) for x in valence])

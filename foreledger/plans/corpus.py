@@ -37,8 +37,8 @@ def scope_dates(docs: DataFrame) -> DataFrame:
         "start_date is not null")
 
 
-def build(docs: DataFrame, materialize: bool = True) -> Corpus:
-    """Plan the whole build.
+def build(docs: DataFrame, materialize: bool = True, bounds: DataFrame | None = None) -> Corpus:
+    """Plan the whole build; split bounds are those of ``docs`` unless given.
 
     Documents are checked and parsed where they are read; one exchange by
     (match, innings) serves the fold.  The folded events are written once to
@@ -47,7 +47,8 @@ def build(docs: DataFrame, materialize: bool = True) -> Corpus:
     checked = events.checked_documents(docs)
     if materialize:
         checked = stored(checked.drop("raw"))
-    bounds = splits.temporal_bounds(scope_dates(docs), "start_date")
+    if bounds is None:
+        bounds = splits.temporal_bounds(scope_dates(docs), "start_date")
     sound = checked.filter("error is null")
     head = splits.assign_split(events.headers(sound), "start_date", bounds)
     # The revised-target flag rides with the flattened rows, so no join is needed.
