@@ -45,13 +45,21 @@ def _slope_and_curvature(z: Column, y: Column, b: float) -> Column:
 
 @dataclass
 class _Bracket:
-    """Safeguarded Newton search for the root of a rising slope."""
+    """Safeguarded Newton search for the root of a rising slope in [lo, hi].
+
+    Both ends are looked at first: an end at which the slope does not point back
+    into the bracket is itself the best point.
+    """
 
     lo: float = 1.0 / T_BOUNDS[1]
     hi: float = 1.0 / T_BOUNDS[0]
     b: float = 1.0
     done: bool = False
 
+    def ends(self, at_lo: float, at_hi: float) -> None:
+        if at_lo >= 0 or at_hi <= 0:
+            self.b, self.done = (self.lo if at_lo >= 0 else self.hi), True
+
     def step(self, slope: float, curvature: float) -> None:
         self.lo, self.hi = (self.b, self.hi) if slope < 0 else (self.lo, self.b)
         nxt = self.b - slope / curvature if curvature > 0 else self.lo
@@ -64,18 +72,29 @@ class _Bracket:
 def fit_temperatures(rows: DataFrame, logits: Sequence[Column], y: str) -> list[float]:
     """The best T for each of several logit columns of the same rows.
 
-    NLL is convex in b = 1/T.  A pass is one aggregate that holds the Newton step of
-    every column that is not settled; two numbers a column are fetched.
+    NLL is convex in b = 1/T.  A first pass takes the slopes at both bounds; every later
+    pass is one aggregate that holds the Newton step of every column that is not settled.
+    Two numbers a column are fetched.
     """
+    def moments(points: dict[str, tuple[int, float]]) -> dict:
+        return rows.select(*[_slope_and_curvature(logits[i], F.col(y), b).alias(n) for n, (i, b) in points.items()]).agg(*[
+            F.avg(F.col(n)[k]).alias(f"{k}{n}") for n in points for k in "gh"]).first().asDict()
+
     at = [_Bracket() for _ in logits]
+    if not at:
+        return []
+    edges = moments({f"{end}{i}": (i, getattr(s, end)) for i, s in enumerate(at) for end in ("lo", "hi")})
+    if edges["glo0"] is None:
+        raise ValueError("no rows to fit a temperature on")
+    for i, s in enumerate(at):
+        s.ends(edges[f"glo{i}"], edges[f"ghi{i}"])
     for _ in range(MAX_PASSES):
         live = [i for i, s in enumerate(at) if not s.done]
         if not live:
-            return [1.0 / s.b for s in at]
-        got = rows.select(*[_slope_and_curvature(logits[i], F.col(y), at[i].b).alias(f"m{i}") for i in live]).agg(*[
-            F.avg(F.col(f"m{i}")[k]).alias(f"{k}{i}") for i in live for k in "gh"]).first()
+            return [min(max(1.0 / s.b, T_BOUNDS[0]), T_BOUNDS[1]) for s in at]
+        got = moments({f"m{i}": (i, at[i].b) for i in live})
         for i in live:
-            at[i].step(got[f"g{i}"], got[f"h{i}"])
+            at[i].step(got[f"gm{i}"], got[f"hm{i}"])
     raise RuntimeError(f"no temperature found in {MAX_PASSES} passes")
 
 

@@ -80,7 +80,7 @@ def identity_gate(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int,
             lambda d, s=strength, f=fit: augmented(d, f, s, k, entities, base, "__q", y))
         t = C.fit_temperature(arm(val), "__q", y)
         scored = arm(scored).withColumn(name, C.temperature_probs(F.col("__q"), t)).drop("__q")
-    scored = stored(scored.select(group, y, *entities, *fits))
+    scored = stored(scored.select(*dict.fromkeys([group, y, *entities, *fits])))
     losses = {f"nll_{n}": M.nll_multi(F.col(n), F.col(y)) for n in fits} | {
         f"brier_{n}": M.brier_multi(F.col(n), F.col(y), k) for n in ("state", "shrunk")}
     gl = stored(M.group_losses(scored, [group], losses))
