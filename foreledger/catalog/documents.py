@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foreledger.catalog.base import table
-from foreledger.operators import census, events as E, validate as VA
+from foreledger.catalog.windows import digest_sql
+from foreledger.operators import census, events as E, labels as L, validate as VA
 from foreledger.plans import corpus as C
 
 BALLS = 120
@@ -229,8 +230,28 @@ def k16_corpus_fingerprint(spark, sf):
                     (F.col("corpus_hash") == b.select("corpus_hash").scalar()).cast("long").alias("identical"))
 
 
+def _labels(spark, sf):
+    from foreledger.sources.stored import stored
+
+    built = _built(spark, sf)
+    return stored(L.build_labels(built.matches, built.facts))
+
+
+def k16_label_tree(spark, sf):
+    """Fingerprints of the labels: the root, its children, and the groups under each."""
+    return L.labels_tree(_labels(spark, sf)).filter("level <= 1").select(F.col("level").cast("long").alias("level"), "node", "n", "hash")
+
+
+def k16_changed_labels(spark, sf):
+    """Labels of two builds, one with labels turned, lost and twice: the groups the trees name."""
+    a = _labels(spark, sf)
+    m = F.substring("match_id", 2, 9).cast("long")
+    turned = a.filter(m % 11 != 5).withColumn("y", F.when(m % 7 == 3, 1 - F.col("y")).otherwise(F.col("y")).cast("tinyint"))
+    return L.changed_labels(a, turned.unionByName(a.filter(m % 13 == 4)))
+
+
 QUERIES = {f.__name__: f for f in (
-    v11_quarantine, v1_structure_errors, a8_reason_histogram, a8_coverage, a9_reason_crosstab, o3_first_examples,
+    k16_label_tree, k16_changed_labels, v11_quarantine, v1_structure_errors, a8_reason_histogram, a8_coverage, a9_reason_crosstab, o3_first_examples,
     a21_versions, v16_warnings, v12_over_reconciliation, p1_flatten, p2_marker_parts, p7_headers, k14_fact_table,
     k10_match_table, a7_players, k16_corpus_fingerprint)}
 
@@ -288,7 +309,19 @@ f4 AS (SELECT f3.*, r1 + CASE WHEN nw = 5 THEN coalesce(xr, 0) ELSE 0 END AS lr,
   FROM f3 LEFT JOIN ret ON f3.m = ret.m AND f3.i = ret.i)"""
 
 _Q = f"WITH {_X} "
+_LABELS = _X + """,
+lab AS (SELECT m, match_id, CASE WHEN m % 12 = 7 THEN 'EXCLUDE_TRUE_TIE' ELSE 'LABELED' END AS disposition,
+  CASE WHEN m % 12 = 7 THEN NULL WHEN m % 6 = 1 OR m % 2 = 0 THEN 1 ELSE 0 END AS y FROM (SELECT DISTINCT m, match_id FROM ok))"""
+_LABEL_TEXT = "concat_ws(':', match_id, disposition, coalesce(y::VARCHAR, 'None'))"
 SQL = {
+    "k16_label_tree": f"""WITH {_LABELS}, leaf AS (SELECT *, '' AS top, substr(md5(match_id), 1, 1) AS node FROM lab)
+      SELECT 0::BIGINT AS level, '' AS node, count(*) AS n, any_value(hash) AS hash FROM leaf,
+        ({digest_sql("leaf", "", _LABEL_TEXT, "hash")}) HAVING count(*) > 0
+      UNION ALL SELECT 1, node, n, hash FROM (SELECT node, count(*) AS n FROM leaf GROUP BY node)
+        JOIN ({digest_sql("leaf", "node", _LABEL_TEXT, "hash")}) USING (node)""",
+    "k16_changed_labels": f"""WITH {_LABELS}, n AS (SELECT m, match_id, y, 1 AS n_a,
+        (m % 11 <> 5)::BIGINT + (m % 13 = 4)::BIGINT AS n_b, m % 11 <> 5 AND m % 7 = 3 AND y IS NOT NULL AS turned FROM lab)
+      SELECT match_id, n_a::BIGINT AS n_a, n_b FROM n WHERE n_b <> 1 OR turned""",
     "v11_quarantine": _Q + "SELECT match_id, reason FROM q WHERE reason IS NOT NULL",
     "v1_structure_errors": _Q + "SELECT e1 AS reason, count(*) AS n FROM q WHERE e1 IS NOT NULL GROUP BY 1",
     "a8_reason_histogram": _Q + "SELECT reason, count(*) AS n FROM q WHERE reason IS NOT NULL GROUP BY 1",

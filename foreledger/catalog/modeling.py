@@ -61,6 +61,17 @@ def c3_isotonic(spark, sf):
         "top_is_last": falls.select((F.col("top.c") == F.col("last.c")).cast("long")).scalar()})
 
 
+def c3_isotonic_map(spark, sf):
+    """The fitted value of every distinct val score, and whether many small ranges give the same pools."""
+    _, val, _ = _scored(spark, sf)
+    apply, pools = C.fit_isotonic(val, "p", "y")
+    small = C.isotonic_blocks(val.groupBy(F.col("p").alias("x")).agg(F.sum("y").alias("s"), F.count("*").alias("w")), 256)
+    pool = ["lo", "hi", F.round("value", 9)]
+    apart = pools.select(*pool).exceptAll(small.select(*pool)).count() + small.select(*pool).exceptAll(pools.select(*pool)).count()
+    return apply(val.select("p").distinct(), "p", "c").select(
+        "p", F.round("c", 8).alias("c"), F.lit(apart).cast("long").alias("pools_apart"))
+
+
 def c4_alternate_nll(spark, sf):
     """Both calibrated columns side by side, each scored on test."""
     _, val, test = _scored(spark, sf)
@@ -174,7 +185,7 @@ def g1_logistic_canary(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    c2_platt, c3_isotonic, c4_alternate_nll, c5_augment_then_calibrate, l1_marginal, l2_class_table, l3_monotone_table,
+    c2_platt, c3_isotonic, c3_isotonic_map, c4_alternate_nll, c5_augment_then_calibrate, l1_marginal, l2_class_table, l3_monotone_table,
     l4_pava, l5_monotonicity, l5_violations, l6_logistic, l7_gbt, l16_run_cell, r6_identity_gate, l15_tuned_kappa, g1_logistic_canary)}
 SQL = {
     "l5_monotonicity": "SELECT 0::BIGINT AS n_violations",
@@ -188,6 +199,13 @@ SQL = {
         0.0 AS slope_b FROM scored WHERE temporal_split = 'test'""",
     "c3_isotonic": f"""WITH {SQL_SCORED} SELECT count(*) AS n, avg((p - y) * (p - y)) AS raw, 0::BIGINT AS blocks_off, 1::BIGINT AS top_is_last
       FROM scored WHERE temporal_split = 'test'""",
+    "c3_isotonic_map": f"""WITH {SQL_SCORED}, d AS (SELECT p, sum(y) AS s, count(*) AS w, row_number() OVER (ORDER BY p) AS i
+        FROM scored WHERE temporal_split = 'val' GROUP BY p),
+      cum AS (SELECT *, sum(s) OVER (ORDER BY i) AS ts, sum(w) OVER (ORDER BY i) AS tw FROM d),
+      span AS (SELECT a.i AS a, b.i AS b, (b.ts - a.ts + a.s) / (b.tw - a.tw + a.w) AS m FROM cum a JOIN cum b ON b.i >= a.i),
+      least_after AS (SELECT a, b AS i, min(m) OVER (PARTITION BY a ORDER BY b DESC) AS m FROM span)
+      SELECT p, round(least(greatest(max(m), {fn.EPS}), 1 - {fn.EPS}), 8) AS c, 0::BIGINT AS pools_apart
+      FROM least_after JOIN d USING (i) GROUP BY p""",
     "c5_augment_then_calibrate": f"""WITH {SQL_EVENT_SCORED} SELECT count(*) AS n, avg(-ln(p[y + 1])) AS base, 1::BIGINT AS is_least
       FROM escored WHERE temporal_split = 'test'""",
     "l15_tuned_kappa": f"""WITH {SQL_EVENT_SCORED}, v AS (SELECT [1.0, 0.0, 6.0, 2.0, 3.0] AS v),

@@ -143,14 +143,14 @@ _WORDS = ", ".join(
     f"sum(('0x' || substr(h, {1 + 8 * i}, 8))::BIGINT)::VARCHAR" for i in range(digest.WORDS))
 
 
-def _digest_sql(src: str, group: str, text: str, out: str) -> str:
+def digest_sql(src: str, group: str, text: str, out: str) -> str:
     return (f"SELECT {group + ',' if group else ''} "
             f"sha256(concat_ws(':', count(*)::VARCHAR, {_WORDS})) AS {out} FROM "
             f"(SELECT {group + ',' if group else ''} sha256({text}) AS h FROM {src}) "
             + (f"GROUP BY {group}" if group else ""))
 
 
-_K15 = _digest_sql("orders", "o_custkey",
+_K15 = digest_sql("orders", "o_custkey",
                    "concat_ws(':', o_orderkey, o_orderstatus, o_orderpriority)", "stream_hash")
 
 SQL = {
@@ -214,6 +214,6 @@ SQL = {
       OR (d, h) BETWEEN (9, 0) AND (9, 23) OR (d, h) BETWEEN (20, 13) AND (21, 1))::BIGINT AS inside
       FROM (SELECT event_id, day(ts) AS d, hour(ts) AS h FROM events)""",
     "k15_group_hash": _K15,
-    "k16_corpus_hash": _digest_sql(f"({_K15})", "", "concat_ws(':', o_custkey, stream_hash)",
+    "k16_corpus_hash": digest_sql(f"({_K15})", "", "concat_ws(':', o_custkey, stream_hash)",
                                    "corpus_hash"),
 }

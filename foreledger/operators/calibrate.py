@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foreledger.functions.scalar import EPS, clip, dot, log_floor, logit, sigmoid, softmax
+from foreledger.functions.scalar import EPS, bands_of, clip, dot, log_floor, logit, sigmoid, softmax
 from foreledger.functions.variants import let
-from foreledger.sources.stored import stored
+from foreledger.operators.scan import running
+from foreledger.sources.stored import drop_stored, stored
 
 # Temperature bounds and the thin-cell threshold in labelled groups.
 T_BOUNDS = (0.05, 20.0)
 THIN_CELL = 300
 # Every pass that is not a Newton step halves the bracket, so this many always do.
 MAX_PASSES = 100
+# Pools that one task takes in the isotonic fit.
+BLOCK_ROWS = 200_000
 
 
 def temperature_probs(probs: Column, t: float | Column) -> Column:
@@ -121,20 +124,90 @@ def fit_platt(val: DataFrame, p: str, y: str) -> Platt:
     return Platt(float(m.coefficients[0]), float(m.intercept))
 
 
-def fit_isotonic(val: DataFrame, p: str, y: str):
-    """Monotone map from distinct scores with their weights: (apply_fn, model).
+def isotonic_blocks(points: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pools of the weighted monotone fit: (lo, hi, value, next_lo, next_value), stored.
 
-    ``apply_fn(df, out)`` appends the clipped calibrated column.
+    ``points`` has one row (x, s, w) for every distinct score: sum and number of its labels.
+    Pools merge like sums: pooling the pools of two ranges gives the pools of both.  So
+    every range partition pools on its own, and the pools are cut into ranges again, at
+    other borders, until no two neighbours across a border are out of order or all pools
+    fit into one task of ``block_rows``.
+    """
+    pools = stored(points.filter("x IS NOT NULL").select(
+        F.col("x").cast("double").alias("lo"), F.col("x").cast("double").alias("hi"),
+        F.col("s").cast("double").alias("s"), F.col("w").cast("double").alias("w")), "pools")
+    for turn in range(MAX_PASSES):
+        parts = -(-pools.count() // block_rows)
+        parts = parts + turn % 2 if parts > 1 else 1
+        pooled = stored(pools.repartitionByRange(parts, "lo").sortWithinPartitions("lo").mapInArrow(
+            _pool, "lo double, hi double, s double, w double, next_lo double, next_value double").withColumn(
+            "pid", F.spark_partition_id()), "pools")
+        drop_stored(pools)
+        value = F.col("s") / F.col("w")
+        # A row for each range partition that holds a pool.
+        ends = pooled.groupBy("pid").agg(
+            F.min("lo").alias("start"), F.min_by(value, "lo").alias("first"), F.max_by(value, "lo").alias("last"))
+        order = Window.orderBy("pid")
+        borders = stored(ends.select(
+            "pid", "last", F.lead("start").over(order).alias("b_lo"), F.lead("first").over(order).alias("b_value")), "borders")
+        if borders.filter("last >= b_value").isEmpty():
+            return pooled.join(F.broadcast(borders.select("pid", "b_lo", "b_value")), "pid").select(
+                "lo", "hi", value.alias("value"), F.coalesce("next_lo", "b_lo").alias("next_lo"),
+                F.coalesce("next_value", "b_value").alias("next_value"))
+        pools = pooled.select("lo", "hi", "s", "w")
+    raise RuntimeError(f"pools across borders are still out of order after {MAX_PASSES} rounds")
+
+
+def _pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pool adjacent violators of one sorted range."""
+    lo, hi, s, w = [], [], [], []
+    for batch in batches:
+        for a, b, c, d in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            while s and s[-1] * d >= c * w[-1]:
+                a, c, d = lo.pop(), c + s.pop(), d + w.pop()
+                hi.pop()
+            lo.append(a)
+            hi.append(b)
+            s.append(c)
+            w.append(d)
+    if lo:
+        value = [c / d for c, d in zip(s, w)]
+        columns = [lo, hi, s, w, [*lo[1:], None], [*value[1:], None]]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, pa.float64()) for c in columns], names=["lo", "hi", "s", "w", "next_lo", "next_value"])
+
+
+def apply_isotonic(df: DataFrame, src: str, blocks: DataFrame, out: str) -> DataFrame:
+    """Append the fitted value: that of a pool inside it, straight lines between pools.
+
+    Only distinct scores are placed among the pools, by a running scan cut at quantiles of
+    the scores; rows meet their score's value in a join.
     """
-    agg = val.groupBy(F.col(p).alias("features")).agg(
-        F.avg(F.col(y).cast("double")).alias("label"), F.count(F.lit(1)).cast("double").alias("w"))
-    m = IsotonicRegression(weightCol="w").fit(agg)
+    scores = df.select(F.col(src).cast("double").alias("x")).filter("x IS NOT NULL").distinct()
+    cuts = sorted(set(scores.approxQuantile("x", [k / 64 for k in range(1, 64)], 0.002)))
+    pool = F.struct("lo", "hi", "value", "next_lo", "next_value")
+    both = scores.select("x", F.lit(1).alias("kind"), F.lit(None).cast(
+        "struct<lo: double, hi: double, value: double, next_lo: double, next_value: double>").alias("pool")).unionByName(
+        blocks.select(F.col("lo").alias("x"), F.lit(0).alias("kind"), pool.alias("pool")))
+    band = bands_of(F.col("x"), F.array(*map(F.lit, cuts)).cast("array<double>"))
+    placed = running(both, [], ["x", "kind"], lasts={"at": F.col("pool")}, chunk=[band]).filter("kind = 1")
+    lowest = blocks.agg(F.min_by("value", "lo")).scalar()
+    share = (F.col("x") - F.col("at.hi")) / (F.col("at.next_lo") - F.col("at.hi"))
+    value = F.when(F.col("at").isNull(), lowest).when(
+        (F.col("x") <= F.col("at.hi")) | F.col("at.next_lo").isNull(), F.col("at.value")).otherwise(
+        F.col("at.value") + share * (F.col("at.next_value") - F.col("at.value")))
+    table = placed.select(F.col("x").alias("__x"), clip(value, EPS, 1 - EPS).alias(out))
+    return df.join(table, F.col(src).cast("double") == F.col("__x"), "left").drop("__x")
 
-    def by_model(df: DataFrame, src: str, out: str) -> DataFrame:
-        fitted = m.copy({m.featuresCol: src, m.predictionCol: "__iso"}).transform(df)
-        return fitted.withColumn(out, clip(F.col("__iso"), EPS, 1 - EPS)).drop("__iso")
 
-    return by_model, m
+def fit_isotonic(val: DataFrame, p: str, y: str):
+    """Monotone map from distinct scores with their weights: (apply_fn, pools).
+
+    ``apply_fn(df, src, out)`` appends the clipped calibrated column.
+    """
+    blocks = isotonic_blocks(val.groupBy(F.col(p).alias("x")).agg(
+        F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("w")))
+    return lambda df, src, out: apply_isotonic(df, src, blocks, out), blocks
 
 
 def board_calibration(n_labeled_groups: int) -> str:

@@ -83,3 +83,56 @@ def test_identity_gate_finds_planted_effects(spark):
     v = gate["verdict"].first()
     assert v["verdict"] == "JUSTIFIES_TOWER" and v["point"] < -0.05 and v["hi"] < 0
     assert gate["dilution"].count() > 0 and gate["curve"].count() == 2
+
+
+@pytest.mark.parametrize("shape", ["noise", "falling", "rising", "steps"])
+def test_isotonic_pools_merge_over_ranges(spark, shape):
+    """Pools of many small ranges, and the applied map, against pooling in one list."""
+    rng, rows = random.Random(6), {}
+    for k in range(3000):
+        x = round(rng.random(), 3)
+        p = {"noise": 0.2 + 0.6 * x, "falling": 0.9 - 0.8 * x, "rising": float(x > 0.5), "steps": 0.1 + 0.4 * (int(x * 4) % 3)}[shape]
+        s, w = rows.get(x, (0, 0))
+        rows[x] = (s + (rng.random() < p), w + 1)
+    pools = []
+    for x, (s, w) in sorted(rows.items()):
+        pools.append([x, x, s, w])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
+            _, hi, s1, w1 = pools.pop()
+            pools[-1] = [pools[-1][0], hi, pools[-1][2] + s1, pools[-1][3] + w1]
+    points = spark.createDataFrame([(x, s, w) for x, (s, w) in rows.items()] + [(None, 1, 1)], "x double, s int, w int")
+    for size in (40, 10**6):
+        blocks = C.isotonic_blocks(points, size)
+        got = sorted((r["lo"], r["hi"], round(r["value"], 12)) for r in blocks.collect())
+        assert got == [(a, b, round(s / w, 12)) for a, b, s, w in pools]
+    ask = [-1.0, 2.0, *[k / 997 for k in range(997)], pools[0][0]]
+    value = lambda b: min(max(b[2] / b[3], C.EPS), 1 - C.EPS)
+
+    def at(x):
+        below = [b for b in pools if b[0] <= x]
+        above = [b for b in pools if b[0] > x]
+        if not below or not above or x <= below[-1][1]:
+            return value(below[-1] if below else above[0])
+        a, b = below[-1], above[0]
+        raw = a[2] / a[3] + (x - a[1]) / (b[0] - a[1]) * (b[2] / b[3] - a[2] / a[3])
+        return min(max(raw, C.EPS), 1 - C.EPS)
+
+    asked = spark.createDataFrame([(x,) for x in ask] + [(None,)], "p double")
+    found = C.apply_isotonic(asked, "p", blocks, "c").collect()
+    assert len(found) == len(ask) + 1
+    assert all(r["c"] is None if r["p"] is None else abs(r["c"] - at(r["p"])) < 1e-9 for r in found)
+
+
+def test_hash_trees_name_changed_keys(spark):
+    from foreledger.operators import digest
+
+    rows = [(k, k % 7, f"v{k}") for k in range(500)] + [(None, 1, "x")]
+    a = spark.createDataFrame(rows, "k int, g int, v string")
+    changed = [(k, g, "other" if k == 17 else v) for k, g, v in rows if k != 33] + [(44, 2, "v44"), (900, 1, "new")]
+    b = spark.createDataFrame(changed[::-1], "k int, g int, v string")
+    got = {r["k"]: (r["n_a"], r["n_b"]) for r in digest.differing_keys(a, b, ["k"], ["k", "g", "v"], 2).collect()}
+    assert got == {17: (1, 1), 33: (1, 0), 44: (1, 2), 900: (0, 1)}
+    tree = lambda d: digest.hash_tree(d, ["k"], ["k", "g", "v"], 2)
+    assert digest.tree_differences(tree(a), tree(a.orderBy("v"))).count() == 0
+    apart = digest.tree_differences(tree(a), tree(b)).collect()
+    assert sum(r["level"] == 0 for r in apart) == 1 and 1 < len(apart) <= 9
