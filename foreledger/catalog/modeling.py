@@ -137,22 +137,40 @@ def l5_violations(spark, sf):
 
 
 def l6_logistic(spark, sf):
+    """Mean forecast on train, which the unpenalised intercept sets to the class share, and the test score beside the marginal's."""
     train, val, test = _parts(_assembled(spark, sf))
     m = MO.fit_logistic(train, val, "y", 2, NUMERIC)
-    return M.mean_losses(m.predict(test, "p"), {"nll": M.nll_binary(F.col("p"), F.col("y"))}).withColumn("c", F.lit(m.tuned["c"]))
+    share = m.predict(train, "p").agg(F.round(F.avg("p"), 4)).scalar()
+    return _beside_marginal(m, train, test).withColumns({
+        "mean_p": share, "c_in_grid": F.lit(int(m.tuned["c"] in MO.C_GRID)).cast("long")})
+
+
+def _beside_marginal(m, train, test):
+    """Rows of test, and whether a model's NLL on them is no worse than the constant train share's, within 0.02."""
+    share = F.lit(train.agg(F.avg("y")).first()[0])
+    s = M.mean_losses(m.predict(test, "p"), {
+        "nll": M.nll_binary(F.col("p"), F.col("y")), "flat": M.nll_binary(share, F.col("y"))})
+    return s.select("n", F.round("flat", 9).alias("flat"), (F.col("nll") <= F.col("flat") + 0.02).cast("long").alias("no_worse"))
 
 
 def l7_gbt(spark, sf):
+    """Full schedule: the round kept is on the step grid, and the test score beside the marginal's."""
     train, val, test = _parts(_assembled(spark, sf))
     m = MO.fit_boosted(train, val, "y", 2, NUMERIC)
-    return M.mean_losses(m.predict(test, "p"), {"nll": M.nll_binary(F.col("p"), F.col("y"))}).withColumn("n_iter", F.lit(m.tuned["n_iter"]))
+    on_grid = m.tuned["n_iter"] % MO.STEP == 0 and MO.STEP <= m.tuned["n_iter"] <= MO.MAX_ROUNDS
+    return _beside_marginal(m, train, test).withColumn("on_grid", F.lit(int(on_grid)).cast("long"))
 
 
 def l16_run_cell(spark, sf):
-    """A whole two-class leaderboard cell: four models, calibration, intervals, skill."""
+    """A whole two-class leaderboard cell: four models, calibration, intervals, skill.
+
+    Every row of the board, whether its interval holds its value, and whether the marginal's skill is 0.
+    """
     train, val, test = _parts(_assembled(spark, sf))
-    cell = leaderboard.run_cell(train, val, test, k=2, features=NUMERIC, fmt="t20", order=LI_ORDER)
-    return cell.board
+    b = leaderboard.run_cell(train, val, test, k=2, features=NUMERIC, fmt="t20", order=LI_ORDER).board
+    held = F.coalesce((F.col("lo") <= F.col("value")) & (F.col("value") <= F.col("hi")), F.lit(True))
+    return b.select("model", "split", "metric", held.cast("long").alias("in_order"),
+                    F.when(F.col("model") == leaderboard.LADDER[0], F.round("skill", 9)).alias("marginal_skill"))
 
 
 def r6_identity_gate(spark, sf):
@@ -181,12 +199,15 @@ def g1_logistic_canary(spark, sf):
     b0 = MO.fit_marginal(train, "y", 2, order=LI_ORDER)
     base = MO.mean_nll(b0.predict(val, "p"), "p", "y", 2)
     c = MO.fit_logistic(train, val, "y", 2, NUMERIC).tuned["c"]
-    return leaderboard.shuffled_target(train, val, base, k=2, features=NUMERIC, c=c, key=LI_KEY)
+    s = leaderboard.shuffled_target(train, val, base, k=2, features=NUMERIC, c=c, key=LI_KEY)
+    return s.select(F.round("nll_base", 9).alias("nll_base"), F.col("passed").cast("long").alias("passed"), F.col("leaks").cast("long").alias("leaks"))
 
 
 QUERIES = {f.__name__: f for f in (
     c2_platt, c3_isotonic, c3_isotonic_map, c4_alternate_nll, c5_augment_then_calibrate, l1_marginal, l2_class_table, l3_monotone_table,
     l4_pava, l5_monotonicity, l5_violations, l6_logistic, l7_gbt, l16_run_cell, r6_identity_gate, l15_tuned_kappa, g1_logistic_canary)}
+_DEAR_SQL = f"""a AS (SELECT *, (l_extendedprice > {DEAR})::INT AS y FROM lines),
+      s AS (SELECT avg(y) AS share FROM a WHERE temporal_split = 'train')"""
 SQL = {
     "l5_monotonicity": "SELECT 0::BIGINT AS n_violations",
     "l5_violations": f"""WITH cells AS (SELECT st::INT AS innings, qb::INT AS wkts, db::INT AS rate, n::DOUBLE AS p
@@ -216,6 +237,20 @@ SQL = {
       kp AS (SELECT unnest([2.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 600.0])::DOUBLE AS kappa),
       z AS (SELECT kappa, y, list_transform(range(5), lambda i: exp(ln(p[i + 1]) + sb / (nb + kappa) * (v[i + 1] - 2.4) / 4.2)) AS z FROM sm, kp)
       SELECT kappa, round(avg(ln(list_sum(z)) - ln(z[y + 1])), 8) AS nll_at_one, 1::BIGINT AS no_worse FROM z GROUP BY kappa""",
+    "l6_logistic": f"""WITH {SQL_LINES}, {_DEAR_SQL} SELECT count(*) AS n, round(avg(-(y * ln(share) + (1 - y) * ln(1 - share))), 9) AS flat,
+      1::BIGINT AS no_worse, round(any_value(share), 4) AS mean_p, 1::BIGINT AS c_in_grid FROM a, s WHERE temporal_split = 'test'""",
+    "l7_gbt": f"""WITH {SQL_LINES}, {_DEAR_SQL} SELECT count(*) AS n, round(avg(-(y * ln(share) + (1 - y) * ln(1 - share))), 9) AS flat,
+      1::BIGINT AS no_worse, 1::BIGINT AS on_grid FROM a, s WHERE temporal_split = 'test'""",
+    "l16_run_cell": """SELECT model, split, metric, 1::BIGINT AS in_order,
+        CASE WHEN model = 'B0_marginal' AND metric IN ('nll', 'brier') THEN 0.0::DOUBLE END AS marginal_skill
+      FROM (SELECT unnest(['B0_marginal', 'B1_table', 'B2_logistic', 'B3_gbm']) AS model),
+        (SELECT unnest(['val', 'test', 'val', 'test', 'val', 'test', 'val', 'test', 'test']) AS split,
+          unnest(['nll', 'nll', 'brier', 'brier', 'ece', 'ece', 'max_ce', 'max_ce', 'alternate_nll']) AS metric)""",
+    "g1_logistic_canary": f"""WITH {SQL_LINES}, a AS (SELECT *, (l_extendedprice > {DEAR})::INT AS y FROM lines),
+      b AS (SELECT avg(y0) AS p FROM (SELECT arg_min(y, (l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS y0 FROM a
+        WHERE temporal_split = 'train' GROUP BY l_orderkey))
+      SELECT round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 9) AS nll_base, 1::BIGINT AS passed, 0::BIGINT AS leaks
+      FROM a, b WHERE temporal_split = 'val'""",
     "l1_marginal": f"""WITH {SQL_LINES}, a AS (SELECT *, (l_extendedprice > {DEAR})::INT AS y FROM lines),
       b AS (SELECT avg(y0) AS p FROM (SELECT arg_min(y, (l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS y0 FROM a
         WHERE temporal_split = 'train' GROUP BY l_orderkey))
