@@ -87,13 +87,13 @@ def affine_prefix(maps: DataFrame, group: Sequence[str], at: str, fan: int = 256
     """
     chunk = f"{at}__up"
     step = F.struct(F.col(at).alias("at"), "scale", "shift")
-    chunks = stored(maps.withColumn(chunk, F.floor(F.col(at) / fan)).groupBy(*group, chunk).agg(
-        F.sort_array(F.collect_list(step)).alias("steps")), "maps")
+    chunks = maps.withColumn(chunk, F.floor(F.col(at) / fan)).groupBy(*group, chunk).agg(
+        F.sort_array(F.collect_list(step)).alias("steps"))
     one = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"))
     whole = F.aggregate("steps", one, lambda m, s: F.struct(
         (m["scale"] * s["scale"]).alias("scale"), (s["scale"] * m["shift"] + s["shift"]).alias("shift")))
-    top = chunks.agg(F.max(chunk)).first()[0]
-    if top:
+    if (maps.agg(F.max(at)).first()[0] or 0) >= fan:
+        chunks = stored(chunks, "maps")
         above = affine_prefix(chunks.select(*group, chunk, whole.alias("m")).select(*group, chunk, "m.*"), group, chunk, fan)
         chunks = join_on(chunks, above, [*group, chunk])
     else:
