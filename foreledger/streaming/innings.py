@@ -134,7 +134,7 @@ def _fold(t: dict, e, batters: _Ledger, bowlers: _Ledger) -> list:
             if not restored[role]:
                 batters[who] = (0, 0, known)
     held = [s if s is not None else (who if back else None) for s, who, back in zip(slots, pair, restored)]
-    ledger = [batters[h][:2] if h in pair else (None, None) for h in held]
+    ledger = [(None, None) if h is None else batters[h][:2] for h in held]
     first_spell = not bowlers.has(e.event_bowler_id) and t["bowler"] is not None
     bowler = t["bowler"] if first_spell else e.event_bowler_id
     reason = _broken_rule(t, e)
