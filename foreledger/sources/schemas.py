@@ -4,34 +4,92 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_TYPES = {"str": T.StringType(), "date": T.DateType(), "int": T.IntegerType(),
-          "long": T.LongType(), "bool": T.BooleanType()}
-
-
-def _schema(text: str) -> T.StructType:
-    pairs = [p.split(":") for p in text.split()]
-    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in pairs])
-
-
 # Stored columns and types, in order.
-FACT_SCHEMA = _schema("""
-schema_version:str match_id:str fmt:str gender:str venue_id:str start_date:date competition:str
-temporal_split:str innings_idx:int over_number:int ball_in_over:int batting_team:str
-bowling_team:str balls_per_over:int max_balls:int legal_balls:int runs:int wickets:int
-striker_id:str striker_runs:int striker_balls:int non_striker_id:str non_striker_runs:int
-non_striker_balls:int bowler_id:str bowler_legal_balls:int bowler_runs_conceded:int
-bowler_wickets:int target:int dls_applied:bool in_powerplay:bool partnership_runs:int
-partnership_balls:int fow_last_runs:int fow_last_ball:int last_ball_was_noball:bool
-is_super_over:bool excluded_from_tuples:bool outcome_class:str outcome_runs_batter:int
-outcome_runs_extras:int outcome_runs_total:int outcome_wides:int outcome_noballs:int
-outcome_byes:int outcome_legbyes:int outcome_penalty:int outcome_n_wickets:int
-outcome_wicket_kinds:str outcome_players_out:str
-""")
-MATCH_SCHEMA = _schema("""
-schema_version:str match_id:str fmt:str gender:str venue_id:str start_date:date competition:str
-temporal_split:str team1:str team2:str balls_per_over:long scheduled_overs:long
-outcome_result:str outcome_winner:str outcome_method:str outcome_eliminator:str
-outcome_bowl_out:str dls_applied:bool no_result:bool toss_uncontested:bool has_super_over:bool
-n_innings:long n_deliveries:long stream_hash:str
-""")
-PLAYER_SCHEMA = _schema("player_id:str name:str n_matches:long first_seen:date last_seen:date")
+FACT_SCHEMA = (
+    T.StructType()
+    .add("schema_version", "string")
+    .add("match_id", "string")
+    .add("fmt", "string")
+    .add("gender", "string")
+    .add("venue_id", "string")
+    .add("start_date", "date")
+    .add("competition", "string")
+    .add("temporal_split", "string")
+    .add("innings_idx", "integer")
+    .add("over_number", "integer")
+    .add("ball_in_over", "integer")
+    .add("batting_team", "string")
+    .add("bowling_team", "string")
+    .add("balls_per_over", "integer")
+    .add("max_balls", "integer")
+    .add("legal_balls", "integer")
+    .add("runs", "integer")
+    .add("wickets", "integer")
+    .add("striker_id", "string")
+    .add("striker_runs", "integer")
+    .add("striker_balls", "integer")
+    .add("non_striker_id", "string")
+    .add("non_striker_runs", "integer")
+    .add("non_striker_balls", "integer")
+    .add("bowler_id", "string")
+    .add("bowler_legal_balls", "integer")
+    .add("bowler_runs_conceded", "integer")
+    .add("bowler_wickets", "integer")
+    .add("target", "integer")
+    .add("dls_applied", "boolean")
+    .add("in_powerplay", "boolean")
+    .add("partnership_runs", "integer")
+    .add("partnership_balls", "integer")
+    .add("fow_last_runs", "integer")
+    .add("fow_last_ball", "integer")
+    .add("last_ball_was_noball", "boolean")
+    .add("is_super_over", "boolean")
+    .add("excluded_from_tuples", "boolean")
+    .add("outcome_class", "string")
+    .add("outcome_runs_batter", "integer")
+    .add("outcome_runs_extras", "integer")
+    .add("outcome_runs_total", "integer")
+    .add("outcome_wides", "integer")
+    .add("outcome_noballs", "integer")
+    .add("outcome_byes", "integer")
+    .add("outcome_legbyes", "integer")
+    .add("outcome_penalty", "integer")
+    .add("outcome_n_wickets", "integer")
+    .add("outcome_wicket_kinds", "string")
+    .add("outcome_players_out", "string")
+)
+MATCH_SCHEMA = (
+    T.StructType()
+    .add("schema_version", "string")
+    .add("match_id", "string")
+    .add("fmt", "string")
+    .add("gender", "string")
+    .add("venue_id", "string")
+    .add("start_date", "date")
+    .add("competition", "string")
+    .add("temporal_split", "string")
+    .add("team1", "string")
+    .add("team2", "string")
+    .add("balls_per_over", "long")
+    .add("scheduled_overs", "long")
+    .add("outcome_result", "string")
+    .add("outcome_winner", "string")
+    .add("outcome_method", "string")
+    .add("outcome_eliminator", "string")
+    .add("outcome_bowl_out", "string")
+    .add("dls_applied", "boolean")
+    .add("no_result", "boolean")
+    .add("toss_uncontested", "boolean")
+    .add("has_super_over", "boolean")
+    .add("n_innings", "long")
+    .add("n_deliveries", "long")
+    .add("stream_hash", "string")
+)
+PLAYER_SCHEMA = (
+    T.StructType()
+    .add("player_id", "string")
+    .add("name", "string")
+    .add("n_matches", "long")
+    .add("first_seen", "date")
+    .add("last_seen", "date")
+)
