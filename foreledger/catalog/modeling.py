@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foreledger.catalog.base import (
     EV_ORDER, EVENT_CLASSES, EVENT_VALENCE, LI_KEY, LI_ORDER, SQL_EVENT_SCORED, SQL_LINES, SQL_SCORED, day_chunk, scored_events)
+from foreledger.catalog.scoring import reliability_sql
 from foreledger.catalog.splits import fact_view
 from foreledger.catalog.tables import SQL as SQL_TABLES
 from foreledger import functions as fn
@@ -22,7 +23,7 @@ DEAR = 35_000
 def _assembled(spark, sf):
     """Binary rows over every line: the feature matrix, y = dear, split and key columns."""
     f = fact_view(spark, sf).withColumn("y", F.when(F.col("l_extendedprice") > DEAR, 1).otherwise(0))
-    keep = ["match_id", "y", "temporal_split", *LI_KEY]
+    keep = ["match_id", "y", "temporal_split", "start_date", "l_extendedprice", *LI_KEY]
     return stored(FE.build_features(f, keep))
 
 
@@ -173,6 +174,48 @@ def l16_run_cell(spark, sf):
                     F.when(F.col("model") == leaderboard.LADDER[0], F.round("skill", 9)).alias("marginal_skill"))
 
 
+def l16_outcome_cell(spark, sf):
+    """An eleven-class cell of the three quick models: rows of test by year and by bucket for each."""
+    a = _assembled(spark, sf).withColumn("y", F.least(F.floor(F.col("l_extendedprice") / 10_000), F.lit(10)).cast("int"))
+    train, val, test = _parts(a)
+    done = leaderboard.run_cells(
+        {("t1", "t20"): {"train": train, "val": val, "test": test, "k": 11}}, features=NUMERIC, order=LI_ORDER,
+        names=leaderboard.LADDER[:3], date="start_date", buckets=M.match_buckets(T.PHASE_EDGES["t20"]))
+    known = done["cuts"].filter(F.col("nll").isNotNull() & (F.col("p_mean").between(0, 1)))
+    return known.select("task", "fmt", "model", "facet", "name", "n", F.round("y_mean", 9).alias("y_mean")).withColumn(
+        "y_mean", F.when(F.col("model") == leaderboard.LADDER[0], F.col("y_mean")))
+
+
+def _cell_rows(spark, sf):
+    from foreledger.catalog.base import scored_lines
+
+    return scored_lines(spark, sf).withColumns({
+        "years": F.array(F.year("start_date").cast("string")),
+        "buckets": F.array_compact(F.array(
+            F.concat(F.lit("status "), "l_linestatus"), F.when(F.col("l_discount") > 0.08, F.lit("deep discount"))))})
+
+
+def m12_breakdown(spark, sf):
+    """Both forecasts by split, cut by year and by overlapping bucket, from one aggregate."""
+    t = M.breakdown(_cell_rows(spark, sf), ["p", "p0"], "y", 2, {
+        "all": F.array(F.lit("all")), "year": F.col("years"), "bucket": F.col("buckets")}, ["temporal_split"])
+    return t.select("temporal_split", "forecast", "facet", "name", "n", *[
+        F.round(c, 9).alias(c) for c in ("nll", "brier", "p_mean", "y_mean")])
+
+
+def m12_bucket_calibration(spark, sf):
+    """Calibration error of both forecasts per split and bucket."""
+    t = M.facet_calibration(_cell_rows(spark, sf), ["p", "p0"], "y", 2, F.col("buckets"), ["temporal_split"])
+    return t.select("temporal_split", "forecast", "name", *[F.round(c, 9).alias(c) for c in ("ece", "max_ce")])
+
+
+def m12_reliability(spark, sf):
+    """Top-label reliability of the five-class forecast and of the marginal, per split."""
+    t = M.forecast_reliability(scored_events(spark, sf), ["p", "p0"], "y", K, ["temporal_split"])
+    return t.select("temporal_split", "forecast", F.col("bin").cast("long").alias("bin"), "n", *[
+        F.round(c, 9).alias(c) for c in ("p_mean", "y_mean", "weight")])
+
+
 def r6_identity_gate(spark, sf):
     ev = scored_events(spark, sf).withColumnRenamed("p", "base").select(
         "event_id", "user_id", F.hour("ts").alias("hour"), "y", "base", "temporal_split")
@@ -205,7 +248,18 @@ def g1_logistic_canary(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     c2_platt, c3_isotonic, c3_isotonic_map, c4_alternate_nll, c5_augment_then_calibrate, l1_marginal, l2_class_table, l3_monotone_table,
-    l4_pava, l5_monotonicity, l5_violations, l6_logistic, l7_gbt, l16_run_cell, r6_identity_gate, l15_tuned_kappa, g1_logistic_canary)}
+    l4_pava, l5_monotonicity, l5_violations, l6_logistic, l7_gbt, l16_run_cell, l16_outcome_cell, m12_breakdown,
+    m12_bucket_calibration, m12_reliability, r6_identity_gate, l15_tuned_kappa, g1_logistic_canary)}
+_CELL_SQL = SQL_SCORED + """,
+cut AS (SELECT *, list_filter(['status ' || l_linestatus, CASE WHEN l_discount > 0.08 THEN 'deep discount' END], lambda x: x IS NOT NULL) AS bs
+  FROM scored),
+two AS (SELECT temporal_split, 'p' AS forecast, p, y, start_date, bs FROM cut UNION ALL
+  SELECT temporal_split, 'p0', p0, y, start_date, bs FROM cut),
+faced AS (SELECT *, 'all' AS facet, 'all' AS name FROM two
+  UNION ALL SELECT *, 'year', year(start_date)::VARCHAR FROM two UNION ALL SELECT *, 'bucket', unnest(bs) FROM two)"""
+_TOP_SQL = SQL_EVENT_SCORED + """,
+tops AS (SELECT temporal_split || '|' || forecast AS g, list_max(p) AS p, (list_position(p, list_max(p)) - 1 = y)::INT AS y
+  FROM (SELECT temporal_split, 'p' AS forecast, p, y FROM escored UNION ALL SELECT temporal_split, 'p0', p0, y FROM escored))"""
 _DEAR_SQL = f"""a AS (SELECT *, (l_extendedprice > {DEAR})::INT AS y FROM lines),
       s AS (SELECT avg(y) AS share FROM a WHERE temporal_split = 'train')"""
 SQL = {
@@ -246,6 +300,28 @@ SQL = {
       FROM (SELECT unnest(['B0_marginal', 'B1_table', 'B2_logistic', 'B3_gbm']) AS model),
         (SELECT unnest(['val', 'test', 'val', 'test', 'val', 'test', 'val', 'test', 'test']) AS split,
           unnest(['nll', 'nll', 'brier', 'brier', 'ece', 'ece', 'max_ce', 'max_ce', 'alternate_nll']) AS metric)""",
+    "l16_outcome_cell": f"""WITH {SQL_LINES}, t AS (SELECT *, least(floor(l_extendedprice / 10000), 10)::INT AS y,
+        l_linestatus <> 'F' AS second, least(floor(l_quantity * 2.3), 120)::INT AS balls FROM lines),
+      top AS (SELECT y FROM t WHERE temporal_split = 'train' GROUP BY y ORDER BY count(*) DESC, y LIMIT 1),
+      x AS (SELECT t.y = top.y AS hit, start_date, second, balls, l_linenumber + 1 AS w FROM t, top WHERE temporal_split = 'test'),
+      f AS (SELECT hit, 'year' AS facet, year(start_date)::VARCHAR AS name FROM x
+        UNION ALL SELECT hit, 'bucket', 'innings' || (1 + second::INT) || '/phase'
+          || (1 + (balls >= 36)::INT + (balls >= 72)::INT + (balls >= 96)::INT) FROM x
+        UNION ALL SELECT hit, 'bucket', 'wickets ' || ['0-1', '2-3', '4-5', '6+'][1 + (w >= 2)::INT + (w >= 4)::INT + (w >= 6)::INT] FROM x
+        UNION ALL SELECT hit, 'bucket', 'last 30 balls' FROM x WHERE 120 - balls <= 30)
+      SELECT 't1' AS task, 't20' AS fmt, model, facet, name, count(*) AS n,
+        CASE WHEN model = 'B0_marginal' THEN round(avg(hit::INT), 9) END AS y_mean
+      FROM f, (SELECT unnest(['B0_marginal', 'B1_table', 'B2_logistic']) AS model) GROUP BY model, facet, name""",
+    "m12_breakdown": f"""WITH {_CELL_SQL} SELECT temporal_split, forecast, facet, name, count(*) AS n,
+      round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 9) AS nll, round(avg((p - y) * (p - y)), 9) AS brier,
+      round(avg(p), 9) AS p_mean, round(avg(y), 9) AS y_mean FROM faced GROUP BY ALL""",
+    "m12_bucket_calibration": f"""WITH {_CELL_SQL}, bk AS (SELECT temporal_split || '|' || forecast || '|' || name AS g, p, y
+        FROM faced WHERE facet = 'bucket'), {reliability_sql("bk", "g", "least(20, greatest(2, n // 500))")}
+      SELECT split_part(g, '|', 1) AS temporal_split, split_part(g, '|', 2) AS forecast, split_part(g, '|', 3) AS name,
+        round(sum(weight * abs(p_mean - y_mean)), 9) AS ece, round(max(abs(p_mean - y_mean)), 9) AS max_ce FROM rel GROUP BY g""",
+    "m12_reliability": f"""WITH {_TOP_SQL}, {reliability_sql("tops", "g")}
+      SELECT split_part(g, '|', 1) AS temporal_split, split_part(g, '|', 2) AS forecast, bin, n, round(p_mean, 9) AS p_mean,
+        round(y_mean, 9) AS y_mean, round(weight, 9) AS weight FROM rel""",
     "g1_logistic_canary": f"""WITH {SQL_LINES}, a AS (SELECT *, (l_extendedprice > {DEAR})::INT AS y FROM lines),
       b AS (SELECT avg(y0) AS p FROM (SELECT arg_min(y, (l_linenumber, l_partkey, l_suppkey, l_shipdate)) AS y0 FROM a
         WHERE temporal_split = 'train' GROUP BY l_orderkey))

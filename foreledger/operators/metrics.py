@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foreledger.functions.scalar import EPS, arg_max, band_right, clip, one_hot
+from foreledger.functions.scalar import EPS, EPS_BOARD, arg_max, band_right, clip, one_hot
 from foreledger.operators.scan import attach_bins, equal_mass_edges
 
 
@@ -138,6 +138,61 @@ def adaptive_bins(max_bins: int = 20, min_bins: int = 2, per_bin: int = 500) ->
     return F.least(F.lit(max_bins), F.greatest(F.lit(min_bins), F.floor(F.col("n") / per_bin)))
 
 
+# ---- cuts of scored rows -----------------------------------------------------
+
+def forecast_rows(df: DataFrame, forecasts: Sequence[str], y: str, k: int, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per (row, forecast): both losses, and the probability and label that reliability compares.
+
+    For two classes those are the forecast and the label itself, for more the
+    largest probability and whether its class came true.
+    """
+    def look(c: str) -> Column:
+        p, yy = F.col(c), F.col(y)
+        if k == 2:
+            losses, seen = (nll_binary(p, yy, EPS_BOARD), brier_binary(p, yy)), (p, yy.cast("double"))
+        else:
+            losses = nll_multi(p, yy, EPS_BOARD), brier_multi(p, yy, k)
+            seen = F.array_max(p), F.when(arg_max(p) == yy, 1.0).otherwise(0.0)
+        return F.struct(F.lit(c).alias("forecast"), *[
+            e.alias(n) for n, e in zip(("nll", "brier", "p", "hit"), (*losses, *seen))])
+
+    return df.select(*keep, F.explode(F.array(*[look(c) for c in forecasts])).alias("__r")).select(*keep, "__r.*")
+
+
+def breakdown(df: DataFrame, forecasts: Sequence[str], y: str, k: int, facets: Mapping[str, Column],
+              by: Sequence[str] = ()) -> DataFrame:
+    """(by.., forecast, facet, name, n, nll, brier, p_mean, y_mean): every cut of every forecast.
+
+    A facet is an array of the names that a row belongs to; names may overlap, a
+    null array belongs nowhere.  Rows are expanded once and summed before the
+    only shuffle, which moves one row per task and cell.
+    """
+    def cuts(facet: str, names: Column) -> Column:
+        own = F.coalesce(names, F.array().cast("array<string>"))
+        return F.transform(own, lambda n: F.struct(F.lit(facet).alias("facet"), n.alias("name")))
+
+    src = df.withColumn("__cuts", F.flatten(F.array(*[cuts(f, names) for f, names in facets.items()])))
+    long = forecast_rows(src, forecasts, y, k, [*by, "__cuts"]).select("*", F.explode("__cuts").alias("__c"))
+    keys = [*by, "forecast", "facet", "name"]
+    return long.select("*", "__c.*").groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("nll").alias("nll"), F.avg("brier").alias("brier"),
+        F.avg("p").alias("p_mean"), F.avg("hit").alias("y_mean"))
+
+
+def forecast_reliability(df: DataFrame, forecasts: Sequence[str], y: str, k: int, by: Sequence[str] = (),
+                         n_bins: int | Column = 20) -> DataFrame:
+    """The reliability tables of several forecasts from one set of passes."""
+    return reliability(forecast_rows(df, forecasts, y, k, by), "p", "hit", [*by, "forecast"], n_bins)
+
+
+def facet_calibration(df: DataFrame, forecasts: Sequence[str], y: str, k: int, names: Column,
+                      by: Sequence[str] = ()) -> DataFrame:
+    """(by.., forecast, name, ece, max_ce) per overlapping bucket, with bins that grow with its rows."""
+    each = df.withColumn("name", F.explode(names))
+    keys = [*by, "name", "forecast"]
+    return calibration_error(forecast_reliability(each, forecasts, y, k, [*by, "name"], adaptive_bins()), keys)
+
+
 # Names of the wickets bands in the calibration table.
 BAND_NAMES = ("0-1", "2-3", "4-5", "6+")
 

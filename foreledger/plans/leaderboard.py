@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foreledger.functions import EPS_BOARD
+from foreledger.functions import EPS_BOARD, log_floor
 from foreledger.operators import calibrate as C
 from foreledger.operators import guards, models, resample
 from foreledger.operators import metrics as M
@@ -27,17 +28,22 @@ class Cell:
     settings: dict[str, dict[str, float]]
     val: DataFrame          # scored rows, raw (p_*) and calibrated (c_*)
     test: DataFrame
+    counts: DataFrame       # split, n_rows, n_groups
+    cuts: DataFrame         # model, facet (year or bucket), name, n, nll, brier, p_mean, y_mean, ece, max_ce on test
+    reliability: DataFrame  # model, bin, n, p_mean, y_mean, weight on test
 
 
 def fit_ladder(train: DataFrame, val: DataFrame, y: str, k: int, features: Sequence[str], fmt: str,
                group: str, order: Sequence[str] = (), c_grid: Sequence[float] = models.C_GRID,
-               boosted: dict | None = None) -> list[models.Fitted]:
-    table = (models.fit_table_binary(train, val, y, fmt) if k == 2
-             else models.fit_table_multi(train, val, y, k, fmt))
-    return [
-        models.fit_marginal(train, y, k, group, order), table,
-        models.fit_logistic(train, val, y, k, features, c_grid),
-        models.fit_boosted(train, val, y, k, features, **(boosted or {}))]
+               boosted: dict | None = None, names: Sequence[str] = LADDER) -> list[models.Fitted]:
+    """The named models, in their order."""
+    fits = {
+        "B0_marginal": lambda: models.fit_marginal(train, y, k, group, order),
+        "B1_table": lambda: (models.fit_table_binary(train, val, y, fmt) if k == 2
+                             else models.fit_table_multi(train, val, y, k, fmt)),
+        "B2_logistic": lambda: models.fit_logistic(train, val, y, k, features, c_grid),
+        "B3_gbm": lambda: models.fit_boosted(train, val, y, k, features, **(boosted or {}))}
+    return [fits[n]() for n in names]
 
 
 def _predict(df: DataFrame, ladder: Sequence[models.Fitted], keep: Sequence[str]) -> DataFrame:
@@ -49,16 +55,14 @@ def _predict(df: DataFrame, ladder: Sequence[models.Fitted], keep: Sequence[str]
 def calibrated(val: DataFrame, test: DataFrame, n: int, y: str, k: int, group: str):
     """Append c_<i> to both splits (and the alternate a_<i> for two classes)."""
     info: list[dict[str, float]] = []
-    method = "temperature"
-    if k == 2:
-        method = C.board_calibration(val.select(group).distinct().count())
+    if k != 2:
+        found = C.fit_temperatures(val, [log_floor(F.col(f"p_{i}")) for i in range(n)], y)
+        val, test = (d.withColumns({f"c_{i}": C.temperature_probs(F.col(f"p_{i}"), t) for i, t in enumerate(found)})
+                     for d in (val, test))
+        return val, test, [{"temperature": t} for t in found]
+    method = C.board_calibration(val.select(group).distinct().count())
     for i in range(n):
         p, c = f"p_{i}", f"c_{i}"
-        if k != 2:
-            t = C.fit_temperature(val, p, y)
-            val, test = (d.withColumn(c, C.temperature_probs(F.col(p), t)) for d in (val, test))
-            info.append({"temperature": t})
-            continue
         platt = C.fit_platt(val, p, y)
         iso, _ = C.fit_isotonic(val, p, y)
         plat, isot = (c, f"a_{i}") if method == "platt" else (f"a_{i}", c)
@@ -77,14 +81,20 @@ def _losses(i: int, y: str, k: int, prefix: str = "c") -> dict:
 def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, features: Sequence[str], fmt: str,
              y: str = "y", group: str = "match_id", order: Sequence[str] = (),
              n_boot: int = resample.B_RESAMPLES, c_grid: Sequence[float] = models.C_GRID,
-             boosted: dict | None = None) -> Cell:
+             boosted: dict | None = None, names: Sequence[str] = LADDER, date: str | None = None,
+             buckets: Column | None = None) -> Cell:
     """Fit on train, tune and calibrate on val, touch test once.
 
     Scored rows are written once and read by every metric; only fitted
-    parameters, curves of grid points and intervals reach the driver.
+    parameters, curves of grid points and intervals reach the driver.  ``date``
+    cuts test by calendar year, ``buckets`` (an array of names a row) by bucket.
     """
-    ladder = fit_ladder(train, val, y, k, features, fmt, group, order, c_grid, boosted)
-    n, keep = len(ladder), [group, y]
+    ladder = fit_ladder(train, val, y, k, features, fmt, group, order, c_grid, boosted, names)
+    n, keep = len(ladder), [group, y, "__year", "__buckets"]
+    none = F.array().cast("array<string>")
+    marks = {"__year": F.array(F.year(date).cast("string")) if date else none,
+             "__buckets": none if buckets is None else buckets}
+    val, test = (d.withColumns(marks) for d in (val, test))
     sv, st = (stored(_predict(d, ladder, keep)) for d in (val, test))
     sv, st, info = calibrated(sv, st, n, y, k, group)
     sv, st = stored(sv), stored(st)
@@ -113,32 +123,76 @@ def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, featu
                 F.lit("alternate_nll").alias("metric"), F.col("v").alias("value"), none.alias("lo"), none.alias("hi")))
     board = pin(board)
     base = board.filter("i = 0").select("split", "metric", F.col("value").alias("__b0"))
-    names = F.array(*[F.lit(x) for x in LADDER])
+    named = F.array(*[F.lit(x) for x in names])
     out = board.join(F.broadcast(base), ["split", "metric"]).select(
-        names[F.col("i")].alias("model"), "split", "metric", "value", "lo", "hi",
+        named[F.col("i")].alias("model"), "split", "metric", "value", "lo", "hi",
         F.when(F.col("metric").isin("nll", "brier"), M.skill(F.col("value"), F.col("__b0"))).alias("skill"))
     got = {(r["i"], r["split"], r["metric"]): r["value"] for r in board.collect()}
     settings = {m.name: m.tuned | info[i] for i, m in enumerate(ladder)}
-    return Cell(out, _decision(gl, group, got, n, n_boot), _ladder_check(sv, y, k), settings, sv, st)
+    return Cell(out, _decision(gl, group, got, names, n_boot), _ladder_check(sv, y, k, names), settings, sv, st,
+                _counts({"train": train, "val": sv, "test": st}, group), _cuts(st, names, y, k),
+                _model_of(M.forecast_reliability(st, [f"c_{i}" for i in range(n)], y, k), names))
+
+
+def _counts(parts: dict[str, DataFrame], group: str) -> DataFrame:
+    """Rows and groups of every split."""
+    tagged = [d.select(F.lit(s).alias("split"), group) for s, d in parts.items()]
+    return reduce(DataFrame.unionByName, tagged).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.countDistinct(group).alias("n_groups"))
+
+
+def _model_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The column ``forecast`` (c_<i>) as the name of its model."""
+    named = F.array(*[F.lit(x) for x in names])
+    rest = [c for c in df.columns if c != "forecast"]
+    return df.select(named[F.split("forecast", "_")[1].cast("int")].alias("model"), *rest)
+
 
+def _cuts(scored: DataFrame, names: Sequence[str], y: str, k: int) -> DataFrame:
+    """Test rows by year and by bucket; buckets have a calibration error of their own."""
+    cols = [f"c_{i}" for i in range(len(names))]
+    means = M.breakdown(scored, cols, y, k, {"year": F.col("__year"), "bucket": F.col("__buckets")})
+    errors = M.facet_calibration(scored, cols, y, k, F.col("__buckets")).withColumn("facet", F.lit("bucket"))
+    return _model_of(means.join(errors, ["forecast", "facet", "name"], "left"), names)
 
-def _decision(gl: dict[str, DataFrame], group: str, got: dict, n: int, n_boot: int) -> DataFrame:
+
+def run_cells(cells: Mapping[tuple[str, str], Mapping], **common) -> dict[str, DataFrame]:
+    """Cells named (task, format), a fixed few, each table of theirs as one with those two columns in front.
+
+    A cell gives its splits, class count and whatever else ``run_cell`` takes.
+    """
+    tables: dict[str, list[DataFrame]] = {}
+    for (task, fmt), cell in cells.items():
+        done = run_cell(**{**common, "fmt": fmt, **cell})
+        for part in ("board", "decision", "canaries", "counts", "cuts", "reliability"):
+            tables.setdefault(part, []).append(
+                getattr(done, part).select(F.lit(task).alias("task"), F.lit(fmt).alias("fmt"), "*"))
+    return {part: reduce(DataFrame.unionByName, frames) for part, frames in tables.items()}
+
+
+def _decision(gl: dict[str, DataFrame], group: str, got: dict, names: Sequence[str], n_boot: int) -> DataFrame:
     """The challenger rule: the last model against the best simpler one on test NLL."""
-    ch = n - 1
+    ch = len(names) - 1
     best = min(range(ch), key=lambda i: got[(i, "test", "nll")])
     d = {s: pin(resample.paired_deltas(gl[s], [group], {"d": (f"nll_{ch}", f"nll_{best}")}, n_boot))
          for s in ("val", "test")}
     row = d["val"].select(F.col("point").alias("val_point"), F.col("lo").alias("val_lo"), F.col("hi").alias("val_hi"))
     row = row.withColumns({f"test_{c}": d["test"].select(c).scalar() for c in ("point", "lo", "hi")} | {
-        "challenger": F.lit(LADDER[ch]), "baseline": F.lit(LADDER[best]),
+        "challenger": F.lit(names[ch]), "baseline": F.lit(names[best]),
         "baseline_nll": F.lit(got[(best, "test", "nll")]),
         "challenger_ece": F.lit(got[(ch, "test", "ece")]), "baseline_ece": F.lit(got[(best, "test", "ece")])})
     return resample.challenger_rule(row)
 
 
-def _ladder_check(sv: DataFrame, y: str, k: int) -> DataFrame:
-    raw = [F.avg(_losses(i, y, k, "p")[f"nll_{i}"]).alias(f"b{i}") for i in (0, 2, 3)]
-    s = sv.agg(*raw)
+def _ladder_check(sv: DataFrame, y: str, k: int, names: Sequence[str]) -> DataFrame:
+    """Raw val NLL of the marginal, logistic and boosted models; null, and no verdict, for one left out."""
+    def nll(rung: int) -> Column:
+        if LADDER[rung] not in names:
+            return F.lit(None).cast("double")
+        i = list(names).index(LADDER[rung])
+        return F.avg(_losses(i, y, k, "p")[f"nll_{i}"])
+
+    s = sv.agg(*[nll(rung).alias(f"b{rung}") for rung in (0, 2, 3)])
     return s.withColumns(guards.ladder_inversion(F.col("b0"), F.col("b2"), F.col("b3")))
 
 
