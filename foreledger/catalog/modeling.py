@@ -301,7 +301,7 @@ SQL = {
         (SELECT unnest(['val', 'test', 'val', 'test', 'val', 'test', 'val', 'test', 'test']) AS split,
           unnest(['nll', 'nll', 'brier', 'brier', 'ece', 'ece', 'max_ce', 'max_ce', 'alternate_nll']) AS metric)""",
     "l16_outcome_cell": f"""WITH {SQL_LINES}, t AS (SELECT *, least(floor(l_extendedprice / 10000), 10)::INT AS y,
-        l_linestatus <> 'F' AS second, least(floor(l_quantity * 2.3), 120)::INT AS balls FROM lines),
+        l_linestatus = 'O' AND l_returnflag <> 'A' AS second, least(floor(l_quantity * 2.3), 120)::INT AS balls FROM lines),
       top AS (SELECT y FROM t WHERE temporal_split = 'train' GROUP BY y ORDER BY count(*) DESC, y LIMIT 1),
       x AS (SELECT t.y = top.y AS hit, start_date, second, balls, l_linenumber + 1 AS w FROM t, top WHERE temporal_split = 'test'),
       f AS (SELECT hit, 'year' AS facet, year(start_date)::VARCHAR AS name FROM x
