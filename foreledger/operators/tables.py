@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foreledger.functions.scalar import EPS_BOARD, band_left, band_right, clip, shared_out, softmax
+from foreledger.operators.scan import join_on
 
 
 def _class_sums(y: str, k: int) -> list[Column]:
@@ -71,8 +73,8 @@ def shrunk_levels(totals: DataFrame, axes: Sequence[str], targets: Sequence[str]
                   tau: float | Column) -> list[DataFrame]:
     """Estimates per depth: (sum + tau * parent) / (n + tau), root = plain mean.
 
-    The table has at most the product of the band counts in rows, so each
-    parent join is a broadcast.
+    Cells meet their parent in an ordinary join on the parent's axes: an axis may
+    have any number of values.
     """
     tau_c = F.lit(float(tau)) if not isinstance(tau, Column) else tau
     root = totals.filter("depth = 0").select(
@@ -86,7 +88,7 @@ def shrunk_levels(totals: DataFrame, axes: Sequence[str], targets: Sequence[str]
         if d == 1:
             joined = cur.withColumns({f"__p_{t}": par.select(f"__p_{t}").scalar() for t in targets})
         else:
-            joined = cur.join(F.broadcast(par), keys[:-1])
+            joined = cur.join(par, keys[:-1])
         levels.append(joined.select(*keys, "n", *[
             ((F.col(t) + tau_c * F.col(f"__p_{t}")) / (F.col("n") + tau_c)).alias(f"e_{t}")
             for t in targets
@@ -113,22 +115,29 @@ def shrunk_table(train: DataFrame, axes: Sequence[str], targets: Mapping[str, Co
 
 def prefix_lookup(df: DataFrame, levels: Sequence[DataFrame], axes: Sequence[str],
                   targets: Sequence[str]) -> DataFrame:
-    """Estimate of the deepest known prefix of each row's axes, plus that depth."""
-    out = df
-    for d in range(len(axes), 0, -1):
-        lv = levels[d].select(*axes[:d], *[F.col(f"e_{t}").alias(f"__{d}_{t}") for t in targets])
-        out = out.join(F.broadcast(lv), list(axes[:d]), "left")
-    root = levels[0]
-    picked = {}
-    for t in targets:
-        chain = [F.col(f"__{d}_{t}") for d in range(len(axes), 0, -1)]
-        picked[f"e_{t}"] = F.coalesce(*chain, root.select(f"e_{t}").scalar())
-    first = targets[0]
-    found = F.lit(0)
-    for d in range(1, len(axes) + 1):
-        found = F.when(F.col(f"__{d}_{first}").isNotNull(), d).otherwise(found)
-    return out.select(*df.columns, *[c.alias(n) for n, c in picked.items()],
-                      found.alias("found_depth"))
+    """Estimate of the deepest known prefix of each row's axes, plus that depth.
+
+    The distinct leaves of the rows meet the cells of all depths in one join on
+    (depth, prefix) and keep the deepest hit; rows then meet their leaf.  No side
+    is broadcast by force, and the rows are moved once at most.  A null axis is in
+    no cell, so such a row stops at the prefix before it.
+    """
+    kinds = {a: levels[-1].schema[a].dataType for a in axes}
+
+    def prefix(depth: int) -> Column:
+        return F.struct(F.lit(depth).alias("d"), *[
+            (F.col(a) if i < depth else F.lit(None)).cast(kinds[a]).alias(f"a{i}") for i, a in enumerate(axes)])
+
+    found = F.struct(*[F.col(f"e_{t}") for t in targets])
+    cells = reduce(DataFrame.unionByName, [
+        level.select(prefix(d).alias("__key"), found.alias("__e")) for d, level in enumerate(levels)])
+    leaves = df.select(*axes).distinct().select(
+        *axes, F.explode(F.array(*[prefix(d) for d in range(len(axes) + 1)])).alias("__key"))
+    best = leaves.join(cells, "__key").groupBy(*axes).agg(
+        F.max_by(F.struct("__e", "__key.d"), F.col("__key.d")).alias("__best"))
+    return join_on(df, best, axes, "left").select(
+        *df.columns, *[F.col(f"__best.__e.e_{t}").alias(f"e_{t}") for t in targets],
+        F.col("__best.d").alias("found_depth"))
 
 
 def lattice(spark, sizes: Mapping[str, int]) -> DataFrame:
