@@ -211,16 +211,28 @@ def batter_ledgers(df: DataFrame) -> DataFrame:
     return per.select("__row.*", "led_a", "led_b")
 
 
-def innings_fold(events: DataFrame) -> DataFrame:
+# Deliveries that one task of the fold sorts, some ten times over: about half a GB of its memory.
+TASK_BALLS = 50_000
+
+
+def fold_tasks(n_balls: int, default: int) -> int | None:
+    """Tasks for a fold of so many deliveries; None when the session's own number will do."""
+    n = -(-n_balls // TASK_BALLS)
+    return n if n > default else None
+
+
+def innings_fold(events: DataFrame, tasks: int | None = None) -> DataFrame:
     """Pre-event state of every delivery, and the first broken rule on it.
 
     Input: rows of :func:`foreledger.operators.events.flatten` with the match
     columns ``dls_applied`` attached.  One exchange by (match, innings): an
     innings comes out of a single document row, so its size is bounded by it.
+    ``tasks`` is the number of tasks where the session's would be too few.
     Appends the stored state columns and ``event_error`` (null when sound).
     """
     c = F.col
-    src = events.repartition(*INNINGS).withColumns({
+    placed = events.repartition(*INNINGS) if tasks is None else events.repartition(tasks, *INNINGS)
+    src = placed.withColumns({
         "legal": (c("outcome_wides") == 0) & (c("outcome_noballs") == 0),
         "n_out": F.size(F.filter("outs", lambda w: ~w["kind"].isin(*NON_DISMISSALS))),
         "out_ids": F.transform("outs", lambda w: w["player_out"]),

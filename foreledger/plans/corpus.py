@@ -53,9 +53,10 @@ def build(docs: DataFrame, materialize: bool = True, bounds: DataFrame | None =
     head = splits.assign_split(events.headers(sound), "start_date", bounds)
     # The revised-target flag rides with the flattened rows, so no join is needed.
     flat = events.flatten(sound)
-    folded = fold.innings_fold(flat)
     if materialize:
-        folded = stored(folded)
+        folded = stored(fold.innings_fold(flat, _fold_tasks(sound)))
+    else:
+        folded = fold.innings_fold(flat)
     over = sound.select("match_id", validate.over_errors(F.col("doc")).alias("e")).filter("e is not null")
     ball = folded.filter("event_error is not null").select("match_id", F.col("event_error").alias("e"))
     replay = ball.unionByName(over).groupBy("match_id").agg(F.min("e").alias("e")).select(
@@ -80,6 +81,14 @@ def build(docs: DataFrame, materialize: bool = True, bounds: DataFrame | None =
                   quarantine, warn, bounds)
 
 
+def _fold_tasks(sound: DataFrame) -> int | None:
+    """Tasks of the fold by the number of deliveries, so that what one task sorts does not grow with the corpus."""
+    overs = F.aggregate("doc.innings", F.lit(0), lambda n, i: n + F.aggregate(
+        i["overs"], F.lit(0), lambda k, o: k + F.size(o["deliveries"])))
+    n = sound.agg(F.sum(overs)).first()[0] or 0
+    return fold.fold_tasks(n, int(sound.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _facts(rows: DataFrame) -> DataFrame:
     c = F.col
     rows = rows.withColumns(events.wicket_columns())

@@ -231,3 +231,14 @@ def test_matches_that_begin_and_end_anywhere_equal_their_sql(spark, tmp_path):
     for name in ("v1_structure_errors", "p1_flatten", "k16_label_tree"):
         message, same = compare(spark, con, str(tmp_path), name, documents.QUERIES[name], documents.SQL[name])
         assert same, (name, message)
+
+
+def test_the_fold_takes_more_tasks_for_more_deliveries(spark, monkeypatch):
+    rows = [(f"m{k}", json.dumps(make_doc(one_over(), info={"outcome": {"winner": "A"}}))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "match_id string, raw string")
+    asked = []
+    plain = fold.innings_fold
+    monkeypatch.setattr(fold, "TASK_BALLS", 10)  # 180 deliveries
+    monkeypatch.setattr(fold, "innings_fold", lambda e, tasks=None: asked.append(tasks) or plain(e, tasks))
+    assert corpus.build(docs).facts.count() == 180
+    assert asked == [18] and fold.fold_tasks(40, 4) is None and fold.fold_tasks(50, 4) == 5
