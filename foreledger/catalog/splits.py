@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from foreledger.catalog.base import (
     LI_KEY, LI_ORDER, SQL_BOUNDS, SQL_LINES, bounds, lines_split, orders_split, table)
 from foreledger.functions import band_left, band_right
-from foreledger.operators import census, features, labels, splits
+from foreledger.operators import census, features, guards, labels, splits
 
 
 def _s(c):
@@ -213,9 +213,7 @@ def g4_poison_column(spark, sf):
     base = fact_view(spark, sf)
     clean = features.build_features(base, LI_KEY)
     dirty = features.build_features(base.withColumn("outcome_leak", F.rand(7)), LI_KEY)
-    a = clean.exceptAll(dirty).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("clean"))
-    b = dirty.exceptAll(clean).agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit("dirty"))
-    return a.unionByName(b).select("side", "n")
+    return guards.poison_differences(clean, dirty).select("side", "n")
 
 
 QUERIES = {f.__name__: f for f in (

@@ -71,3 +71,19 @@ def test_multiclass_rows_compare_the_top_label(spark):
     df = spark.createDataFrame([([0.5, 0.3, 0.2], 0), ([0.5, 0.3, 0.2], 2), ([0.4, 0.4, 0.2], 0)], "q array<double>, y int")
     got = sorted((r["p"], r["hit"], round(r["nll"], 9)) for r in M.forecast_rows(df, ["q"], "y", 3).collect())
     assert got == sorted((p, h, round(-math.log(v), 9)) for p, h, v in ((0.5, 1.0, 0.5), (0.5, 0.0, 0.2), (0.4, 1.0, 0.4)))
+
+
+def test_poison_differences_count_like_except_all_on_narrow_rows(spark):
+    from foreledger.operators.guards import poison_differences
+
+    kind = "a int, b double, c string"
+    left = [(1, 0.0, "x"), (1, 0.0, "x"), (None, 1.0, "y"), (2, None, None), (3, 2.5, ""), (None, None, None)]
+    right = [(1, -0.0, "x"), (2, 1.0, "y"), (2, None, None), (2, None, None), (3, 2.5, None), (None, None, None)]
+    a, b = (spark.createDataFrame(r, kind) for r in (left, right))
+    got = {r["side"]: r["n"] for r in poison_differences(a, b).collect()}
+    assert got == {"clean": a.exceptAll(b).count(), "dirty": b.exceptAll(a).count()} == {"clean": 3, "dirty": 3}
+    assert [r["n"] for r in poison_differences(a.limit(0), b.limit(0)).collect()] == [0, 0]
+    plan = poison_differences(a, b)._jdf.queryExecution().executedPlan().toString()
+    assert "replicate" not in plan.lower()
+    with pytest.raises(ValueError):
+        poison_differences(a, b.withColumn("leak", F.lit(1)))
