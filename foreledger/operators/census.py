@@ -39,15 +39,16 @@ def entity_dimension(df: DataFrame, group: str, id_cols: Sequence[str], date_col
 
     ``names`` is (group, entity, name); a missing name falls back to the id.
     """
-    ids = df.select(group, date_col, F.explode(F.array_compact(F.array(
-        *[F.col(c).cast("string") for c in id_cols]))).alias("entity"))
-    seen = ids.groupBy(group, "entity").agg(F.min(date_col).alias("__lo"),
-                                            F.max(date_col).alias("__hi"))
+    ids = df.select(group, F.col(date_col).alias("__at"), F.explode(F.array_compact(F.array(
+        *[F.col(c).cast("string") for c in id_cols]))).alias("entity"), F.lit(None).cast("string").alias("__name"), F.lit(True).alias("__id"))
     if names is not None:
-        seen = seen.join(names.groupBy(group, "entity").agg(F.min("name").alias("__name")),
-                         [group, "entity"], "left")
-    else:
-        seen = seen.withColumn("__name", F.lit(None).cast("string"))
+        # Names come in as rows: ids and names are grouped once and need no join.
+        ids = ids.unionByName(names.filter(F.col(group).isNotNull()).select(
+            group, F.lit(None).cast(ids.schema["__at"].dataType).alias("__at"), F.col("entity").cast("string").alias("entity"),
+            F.col("name").alias("__name"), F.lit(False).alias("__id")))
+    seen = ids.groupBy(group, "entity").agg(
+        F.min("__at").alias("__lo"), F.max("__at").alias("__hi"), F.min("__name").alias("__name"),
+        F.max("__id").alias("__id")).filter("__id")
     return seen.groupBy("entity").agg(
         F.min(F.coalesce("__name", "entity")).alias("name"),
         F.count(F.lit(1)).alias("n_groups"), F.min("__lo").alias("first_seen"),

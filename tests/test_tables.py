@@ -87,3 +87,15 @@ def test_poison_differences_count_like_except_all_on_narrow_rows(spark):
     assert "replicate" not in plan.lower()
     with pytest.raises(ValueError):
         poison_differences(a, b.withColumn("leak", F.lit(1)))
+
+
+def test_entity_dimension_groups_ids_and_names_once(spark):
+    from foreledger.operators.census import entity_dimension
+
+    rows = [(1, "2024-01-02", 7, 8), (1, "2024-01-01", 7, None), (2, "2024-02-01", 8, 7), (None, "2023-01-01", 9, 9)]
+    df = spark.createDataFrame(rows, "g long, d string, a long, b long").withColumn("d", F.to_date("d"))
+    names = spark.createDataFrame([(1, "7", "Ann"), (1, "7", "Ada"), (3, "7", "A"), (None, "9", "A"), (2, "5", "A")], "g long, entity string, name string")
+    dim = entity_dimension(df, "g", ["a", "b"], "d", names)
+    assert {r["entity"]: (r["name"], r["n_groups"], str(r["first_seen"]), str(r["last_seen"])) for r in dim.collect()} == {
+        "7": ("7", 2, "2024-01-01", "2024-02-01"), "8": ("8", 2, "2024-01-02", "2024-02-01"), "9": ("9", 1, "2023-01-01", "2023-01-01")}
+    assert "Join" not in dim._jdf.queryExecution().executedPlan().toString()
