@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import EPS, EPS_BOARD, arg_max, band_right, clip, one_hot
-from foreledger.operators.scan import attach_bins, equal_mass_edges
+from foreledger.operators.scan import attach_bins, equal_mass_edges, pin
 
 
 # ---- row losses -----------------------------------------------------------
@@ -187,8 +187,12 @@ def forecast_reliability(df: DataFrame, forecasts: Sequence[str], y: str, k: int
 
 def facet_calibration(df: DataFrame, forecasts: Sequence[str], y: str, k: int, names: Column,
                       by: Sequence[str] = ()) -> DataFrame:
-    """(by.., forecast, name, ece, max_ce) per overlapping bucket, with bins that grow with its rows."""
-    each = df.withColumn("name", F.explode(names))
+    """(by.., forecast, name, ece, max_ce) per overlapping bucket, with bins that grow with its rows.
+
+    Edges take several passes, so the few columns that they need are stored before.
+    """
+    needed = pin(df.select(*by, *forecasts, y, names.alias("__names")))
+    each = needed.withColumn("name", F.explode("__names")).drop("__names")
     keys = [*by, "name", "forecast"]
     return calibration_error(forecast_reliability(each, forecasts, y, k, [*by, "name"], adaptive_bins()), keys)
 

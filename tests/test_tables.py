@@ -99,3 +99,11 @@ def test_entity_dimension_groups_ids_and_names_once(spark):
     assert {r["entity"]: (r["name"], r["n_groups"], str(r["first_seen"]), str(r["last_seen"])) for r in dim.collect()} == {
         "7": ("7", 2, "2024-01-01", "2024-02-01"), "8": ("8", 2, "2024-01-02", "2024-02-01"), "9": ("9", 1, "2023-01-01", "2023-01-01")}
     assert "Join" not in dim._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facet_calibration_reads_its_rows_once(spark, tmp_path):
+    rows = [(i % 97 / 97, int(i % 3 == 0), "ab"[i % 2]) for i in range(600)]
+    spark.createDataFrame(rows, "p double, y int, name string").write.parquet(f"{tmp_path}/rows")
+    t = M.facet_calibration(spark.read.parquet(f"{tmp_path}/rows"), ["p"], "y", 2, F.array("name", F.lit("all")))
+    assert not [f for f in t.inputFiles() if str(tmp_path) in f]
+    assert {r["name"] for r in t.collect()} == {"a", "b", "all"}
