@@ -63,6 +63,16 @@ def test_boosting_grows_on_and_is_cut_at_the_best_step(spark):
     assert len(whole[2]) == 4 and all(abs(a - b) < 1e-6 for a, b in zip(whole[2], parts[2]))
 
 
+def test_alike_rows_are_fitted_as_one_with_their_weight(spark):
+    """Trees of rows that stand for several equal trees of the copies; leaves count rows, not kinds of rows."""
+    train, val = boosted_frame(spark, 300, 1), boosted_frame(spark, 200, 2)
+    thrice = train.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(3)))).drop("k")
+    grow = lambda d: MO.grow_boosted(d, val, 6, 2, 1, 3, 60, 7, rate=0.5)[2]
+    copies, weighted = grow(thrice), grow(train.withColumn("__w", F.lit(3.0)))
+    assert len(copies) == len(weighted) and all(abs(a - b) < 1e-9 for a, b in zip(copies, weighted))
+    assert all(abs(a - b) < 1e-9 for a, b in zip(weighted, grow(MO.alike(thrice, ["__x"], "__s"))))
+
+
 def test_boosted_probabilities(spark):
     train, val = (boosted_frame(spark, n, s).withColumn("y", (F.col("__s") > 0).cast("int")).drop("__x", "__s") for n, s in ((1500, 1), (500, 2)))
     m = MO.fit_boosted(train, val, "y", 2, ["a", "b"], max_rounds=6, step=3, max_depth=3)
