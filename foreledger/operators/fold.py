@@ -119,8 +119,7 @@ def actor_ledger(
     held = F.struct(F.col(actor).alias("who"), *[
         (F.col(n) + e).alias(n) for n, e in counters.items()
     ])
-    prev = running(own.withColumn("__held", held), group, order,
-                   lasts={"__prev": F.col("__held")}, chunk=chunk)
+    prev = running(own, group, order, lasts={"__prev": held}, chunk=chunk)
     swap = (F.col("__seen") == 0) & F.col("__prev").isNotNull()
     pick = lambda old, new: F.when(swap, old).otherwise(new)
     return prev.select(

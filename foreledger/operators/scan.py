@@ -57,12 +57,12 @@ def running(
     sums, lasts = dict(sums or {}), dict(lasts or {})
     src, names = cut(df, chunk)
     keys = [*group, *names]
-    src = src.withColumns(
-        {f"__s_{n}": e for n, e in sums.items()}
-        | {f"__l_{n}": e for n, e in lasts.items()}
-    )
+    values = {f"__s_{n}": e for n, e in sums.items()} | {f"__l_{n}": e for n, e in lasts.items()}
+    # Chunks are dealt out before the values are made, so the shuffle moves no value twice.
+    placed = (src.repartition(*keys) if names else src).withColumns(values)
+    src = src.withColumns(values)
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*_BEFORE)
-    local = src.withColumns(
+    local = placed.withColumns(
         {f"__ps_{n}": F.sum(f"__s_{n}").over(w) for n in sums}
         | {f"__pl_{n}": F.last(f"__l_{n}", ignorenulls=True).over(w) for n in lasts}
     )
@@ -81,11 +81,12 @@ def running(
         ],
     )
     cw = Window.partitionBy(*group).orderBy(*names).rowsBetween(*_BEFORE)
+    # The first chunk of a group has nothing to carry in; the join leaves its rows as they are.
     carry = summary.select(
-        *keys,
+        *keys, F.count(F.lit(1)).over(cw).alias("__earlier"),
         *[F.sum(f"__ts_{n}").over(cw).alias(f"__cs_{n}") for n in sums],
         *[F.last(f"__tl_{n}", ignorenulls=True).over(cw).alias(f"__cl_{n}") for n in lasts],
-    )
+    ).filter("__earlier > 0").drop("__earlier")
     zero = F.lit(0)
     return join_on(local, carry, keys, "left").select(
         *df.columns,

@@ -133,3 +133,14 @@ def test_group_losses_fixture(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 10.0), ("a", 3.0), ("c", 5.0)], "m string, l double")
     got = {r.m: (r.l, r.n) for r in metrics.group_losses(df, ["m"], {"l": F.col("l")}).collect()}
     assert got == {"a": (6.0, 3), "b": (10.0, 1), "c": (5.0, 1)}
+
+
+def test_the_shuffle_of_a_scan_moves_no_derived_value(spark):
+    from foreledger.operators.scan import running
+
+    df = spark.range(100).selectExpr("id % 5 AS g", "id AS t", "id AS v")
+    r = running(df, ["g"], ["t"], sums={"n": F.col("v") * 2}, chunk=[F.floor(F.col("t") / 10)])
+    lines = r._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]
+    assert dealt and not any("__s_n" in lines[i + 1] for i in dealt)
+    assert {(x["t"], x["n"]) for x in r.collect()} == {(t, 2 * sum(range(t % 5, t, 5))) for t in range(100)}
