@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,12 @@ from pyspark.sql.types import StructType
 STATE = "score double, legal long, falls long, since double, n long, total double, last_order string"
 
 
+def _totals(x: np.ndarray) -> np.ndarray:
+    """Running sums; a missing value has no total of its own and adds nothing to later ones."""
+    gap = np.isnan(x)
+    return np.where(gap, np.nan, np.cumsum(np.where(gap, 0.0, x)))
+
+
 class EventFold(StatefulProcessor):
     """Per-key running state; emits the state before each event.
 
@@ -35,24 +42,27 @@ class EventFold(StatefulProcessor):
         batch = pd.concat(list(rows)).sort_values("order", kind="stable").reset_index(drop=True)
         late = (batch["order"] <= last) | batch["order"].duplicated()
         counts = ~late
-        # Running totals after each row; a late row adds nothing.
-        after = pd.DataFrame({
-            "score": score + (batch["value"] * counts).cumsum(),
-            "legal_count": legal + (batch["legal"] & counts).astype("int64").cumsum(),
-            "falls": falls + (batch["fall"] & counts).astype("int64").cumsum(),
-            "n_before": n + counts.astype("int64").cumsum(),
-            "sum_before": total + (batch["signal"] * counts).cumsum()})
-        at_fall = after["score"].where(batch["fall"] & counts).ffill().fillna(score - since)
-        start = pd.DataFrame([(score, legal, falls, n, total, score - since)], columns=[*after.columns, "at_fall"])
-        done = after.assign(at_fall=at_fall)
-        pre = pd.concat([start, done.iloc[:-1]], ignore_index=True)
-        end = done.iloc[-1]
+        # Running totals after each row; a late row adds nothing.  Arrays, since most keys have few rows.
+        value, signal = (batch[c].to_numpy("float64", na_value=np.nan) for c in ("value", "signal"))
+        fell = (batch["fall"] & counts).to_numpy(bool)
+        after = {
+            "score": score + _totals(value * counts.to_numpy()),
+            "legal_count": legal + np.cumsum((batch["legal"] & counts).to_numpy(bool), dtype="int64"),
+            "falls": falls + np.cumsum(fell, dtype="int64"),
+            "n_before": n + np.cumsum(counts.to_numpy(), dtype="int64"),
+            "sum_before": total + _totals(signal * counts.to_numpy())}
+        known = fell & ~np.isnan(after["score"])
+        at = np.maximum.accumulate(np.where(known, np.arange(len(batch)), -1))
+        after["at_fall"] = np.where(at >= 0, after["score"][at], score - since)
+        start = {"score": score, "legal_count": legal, "falls": falls, "n_before": n, "sum_before": total, "at_fall": score - since}
+        pre = {c: np.concatenate(([start[c]], v[:-1])) for c, v in after.items()}
+        end = {c: v[-1] for c, v in after.items()}
         self.state.update((
             float(end["score"]), int(end["legal_count"]), int(end["falls"]), float(end["score"] - end["at_fall"]),
             int(end["n_before"]), float(end["sum_before"]), max(last, batch["order"].iloc[-1])))
-        pre = pre.assign(since_fall=pre["score"] - pre["at_fall"], late=late)
+        pre |= {"since_fall": pre["score"] - pre["at_fall"], "late": late.to_numpy(bool)}
         names = ["score", "legal_count", "falls", "since_fall", "n_before", "sum_before", "late"]
-        yield pd.concat([batch[self.keep], pre[names]], axis=1)
+        yield pd.DataFrame({c: batch[c] for c in self.keep} | {c: pre[c] for c in names})
 
     def close(self) -> None:
         pass
