@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foreledger.catalog.base import table
 from foreledger.catalog.census import scratch
-from foreledger.catalog.documents import _FOLD, _X, documents
+from foreledger.catalog.documents import _FOLD, _X, documents, shown
 from foreledger.operators import events as E, splits
 from foreledger.plans import corpus
 from foreledger.sources.stored import stored
@@ -122,7 +122,7 @@ def st1_stream_innings(spark, sf):
         SF.drain_to(stream_innings(_fed(spark, slices, f"{base}/in", "match_id")), f"{base}/out", f"{base}/ckpt")
     s = spark.read.parquet(f"{base}/out")
     return s.select(
-        "match_id", *[F.col(c).cast("long").alias(c) for c in ("innings_idx", "over_pos", "ball_in_over")],
+        shown(), *[F.col(c).cast("long").alias(c) for c in ("innings_idx", "over_pos", "ball_in_over")],
         *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in _INNINGS_STATE],
         *[F.coalesce(c, F.lit("-")).alias(c) for c in ("striker_id", "non_striker_id", "bowler_id", "reason")],
         F.col("late").cast("long").alias("late"))
@@ -135,7 +135,7 @@ def st3_stream_documents(spark, sf):
     half again come after it.
     """
     base = scratch(spark)
-    docs = stored(documents(spark, sf).withColumn("m", F.substring("match_id", 2, 9).cast("long")))
+    docs = stored(documents(spark, sf).withColumn("m", F.substring("match_id", 2, 20).cast("long")))
     bounds = stored(splits.temporal_bounds(corpus.scope_dates(docs), "start_date"))
     early = F.col("m") % 2 == 0
     with _keyed_state(spark):
@@ -144,7 +144,7 @@ def st3_stream_documents(spark, sf):
             SD.route_documents(SD.read_document_stream(spark, f"{base}/in"), bounds, f"{base}/out", f"{base}/ckpt").awaitTermination()
     facts, bad = (spark.read.parquet(f"{base}/out/{t}") for t in ("facts", "quarantine"))
     good = facts.groupBy("match_id").agg(F.lit("OK").alias("reason"), F.count("*").alias("n"))
-    return good.unionByName(bad.select("match_id", "reason", F.lit(0).cast("long").alias("n")))
+    return good.unionByName(bad.select("match_id", "reason", F.lit(0).cast("long").alias("n"))).withColumn("match_id", shown())
 
 
 _ERRORS = "(SELECT m, i, min(b) AS eb, arg_min(reason, b) AS er FROM ball_err WHERE reason IS NOT NULL GROUP BY m, i)"

@@ -258,3 +258,20 @@ def test_more_departures_than_a_side_has_batters(spark, tmp_path):
     for name in ("v1_structure_errors", "p7_headers"):
         message, same = compare(spark, con, str(tmp_path), name, documents.QUERIES[name], documents.SQL[name])
         assert same, (name, message)
+
+
+def test_names_of_ten_digits_and_a_lone_planted_ball(spark, tmp_path):
+    """Matches whose shown names are one, and an innings of the planted ball alone: the quarantine equals SQL."""
+    import duckdb
+    from harness import compare
+
+    from foreledger.catalog import documents
+
+    con = duckdb.connect()
+    events = "'/root/testdata/sf0.1/events.parquet'"
+    far = f"SELECT * REPLACE (event_id + 300000000000 AS event_id) FROM {events} WHERE event_id < 4800"
+    lone = f"SELECT * REPLACE (240 * 29 + 90 AS event_id, 'click' AS event_type, 0.01 AS value) FROM {events} WHERE event_id = 0"
+    con.execute(f"COPY ({far} UNION ALL {lone}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    message, same = compare(spark, con, str(tmp_path), "v11", documents.QUERIES["v11_quarantine"], documents.SQL["v11_quarantine"])
+    assert same, message
