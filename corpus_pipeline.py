@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foreledger.llm import decontaminate, langid, neardup, packing, secrets
+from foreledger.llm import decontaminate, langid, neardup, packing, secrets, simhash
 from foreledger.sources.stored import stored
 
 
@@ -14,8 +14,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group of texts with five-word similarity 0.8 or more, that of the least id."""
-    return neardup.deduplicated(docs)
+    """One document, that of the least id, of every group linked by SimHash or by a five-word similarity of 0.8."""
+    return neardup.deduplicated(docs, radius=simhash.RADIUS)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

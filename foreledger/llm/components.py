@@ -14,12 +14,15 @@ def _with_least(edges: DataFrame) -> DataFrame:
     return edges.join(least.select("u", F.least("u", "m").alias("m")), "u")
 
 
+def _pairs(edges: DataFrame, *ends: tuple[str, str]) -> DataFrame:
+    """Several (u, v) out of every row, which is read once."""
+    return edges.select(F.inline(F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in ends])))
+
+
 def _round(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _pairs(edges, ("u", "v"), ("v", "u"))
     large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    small = _with_least(large)
-    moved = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(small.select("u", F.col("m").alias("v"))).distinct()
+    return _pairs(_with_least(large), ("v", "m"), ("u", "m")).filter("u <> v").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -11,11 +11,15 @@ falls on k.  Two sets differ in at least as many shingles as their sketches do i
 sketches bound a similarity from above, and no pair that could reach the threshold is
 dropped by them.
 
-Every bucket has a lead of its own, drawn by hash.  A node is compared in full with the
-most promising of its leads, then with those leads that are in another component still, so
-a group of near copies costs a comparison or two a member.  In the buckets that then hold
-more than one component, pairs of different components are compared by sketch, tile by
-tile inside a task; only pairs that could be alike come out and are compared in full.
+Every bucket has a lead of its own, drawn by hash.  A node is compared in full with those
+of its leads that its sketch allows, so a group of near copies costs a band's number of
+comparisons a member at most.  In the buckets that then hold more than one component, pairs
+of different components are compared by sketch, tile by tile inside a task; only pairs that
+could be alike come out and are compared in full.
+
+With a ``radius`` the links of ``simhash`` come first: texts whose fingerprints differ in
+that many bits or fewer are linked as its exact search finds them, and the links above are
+added to theirs before components are made.
 
 Defined cases: words are those of ``simhash``; a text shorter than a shingle is one
 shingle; null and wordless texts have the empty set and are one node; a null id keeps its
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foreledger.llm.components import components
-from foreledger.llm.simhash import first_of_repeats
+from foreledger.llm.simhash import fingerprint_of, first_of_repeats, linked_pairs
 from foreledger.llm.words import byte_words
 from foreledger.sources.stored import drop_stored, stored
 
@@ -97,22 +101,24 @@ def parity_sketch(hashes: np.ndarray) -> list[int]:
 
 
 def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, tx, node, size, bands, sketch) of every row; ``tx`` names the text."""
+    """(key, tx, node, size, bands, sketch, fp) of every row; ``tx`` names the text, ``fp`` is its SimHash."""
     rows = docs.select(F.col(key), F.xxhash64(F.col(text)).alias("tx"), F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(t.as_py()) for t in batch.column(2)]
+            texts = [t.as_py() for t in batch.column(2)]
+            sets = [shingle_set(t) for t in texts]
+            prints = np.array([fingerprint_of(t) for t in texts], np.uint64).astype(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([node_of(s) for s in sets], pa.int64()),
                  pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())),
-                 pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64()))],
-                names=[key, "tx", "node", "size", "bands", "sketch"])
+                 pa.array([parity_sketch(s) for s in sets], pa.list_(pa.int64())), pa.array(prints, pa.int64())],
+                names=[key, "tx", "node", "size", "bands", "sketch", "fp"])
 
     return rows.mapInArrow(
         run, f"`{key}` {rows.schema[0].dataType.simpleString()}, tx long, node long, size long, "
-        "bands array<long>, sketch array<long>")
+        "bands array<long>, sketch array<long>, fp long")
 
 
 def _sets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
@@ -197,10 +203,21 @@ def _across(rest: DataFrame, similarity: float, tile_rows: int) -> DataFrame:
         F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def fingerprint_links(marked: DataFrame, radius: int) -> DataFrame:
+    """(u, v): edges that connect the nodes whose fingerprints chains of SimHash links connect."""
+    held = marked.select("fp", "node").distinct()
+    heads = stored(held.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    near = linked_pairs(heads.select("fp"), radius)
+    of = {c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"{c}_head")) for c in "uv"}
+    across = near.join(of["u"], "u").join(of["v"], "v").select(F.col("u_head").alias("u"), F.col("v_head").alias("v"))
+    return across.unionByName(held.join(heads, "fp").filter("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v")))
+
+
 def linked(
     docs: DataFrame, marked: DataFrame, text: str, similarity: float = SIMILARITY, tile_rows: int = TILE_ROWS,
+    radius: int | None = None,
 ) -> DataFrame:
-    """(node, root) of every node with a link; the root is its component's least node."""
+    """(node, root) of every node with a link that is not the root, its component's least node."""
     nodes = stored(marked.groupBy("node").agg(
         F.min("tx").alias("tx"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "nodes")
@@ -209,30 +226,32 @@ def linked(
         F.count("*").alias("n"), F.min_by("node", F.xxhash64("node", "bucket")).alias("lead")).filter("n > 1")
     members = stored(keyed.join(leads.select("bucket", "lead"), "bucket"), "members")
     sets = stored(_sets(docs, text, nodes.join(members.select("node").distinct(), "node", "left_semi").select("tx")), "sets")
-    stars = stored(_bounded(members.filter("node <> lead").select(
-        F.col("node").alias("u"), F.col("lead").alias("v")).distinct(), nodes, similarity), "stars")
-    best = stars.groupBy("u").agg(F.max_by("v", F.struct("bound", "v")).alias("v"))
-    first = stored(_alike(best, sets, similarity), "links")
-    roots = stored(components(first), "roots")
-    root_of = lambda c: F.coalesce(f"{c}_root", c)
-    of = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv"}
-    open_stars = stars.join(of["u"], "u", "left").join(of["v"], "v", "left").filter(root_of("u") != root_of("v"))
-    second = stored(_alike(open_stars.select("u", "v"), sets, similarity), "links")
-    roots = stored(components(first.unionByName(second)), "roots")
+    stars = _bounded(members.filter("node <> lead").select(
+        F.col("node").alias("u"), F.col("lead").alias("v")).distinct(), nodes, similarity)
+    links = _alike(stars.select("u", "v"), sets, similarity)
+    if radius is not None:
+        links = links.unionByName(fingerprint_links(marked, radius))
+    roots = stored(components(links), "roots")
     placed = members.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("bucket")
-    rest = stored(placed.join(mixed, "bucket", "left_semi").join(nodes.select("node", "size", "sketch"), "node"), "rest")
-    third = stored(_alike(_across(rest, similarity, tile_rows), sets, similarity), "links")
-    roots = components(first.unionByName(second).unionByName(third))
-    for done in (nodes, members, sets, stars, rest):
+    rest = placed.join(mixed, "bucket", "left_semi").join(nodes.select("node", "size", "sketch"), "node")
+    # Links between components join their roots; the least of the roots is the least node.
+    of = {c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")) for c in "uv"}
+    between = _alike(_across(rest, similarity, tile_rows), sets, similarity).join(of["u"], "u", "left").join(
+        of["v"], "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    moved = components(between)
+    further = roots.join(moved.select(F.col("node").alias("root"), F.col("root").alias("least")), "root", "left")
+    for done in (nodes, members, sets):
         drop_stored(done)
-    return roots
+    return further.select("node", F.coalesce("least", "root").alias("root")).unionByName(moved)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int | None = None,
+) -> DataFrame:
     """(key, tx, root, component_id) of every row; the least key reachable over links."""
     marked = stored(_marked(docs, key, text), "marked")
-    roots = linked(docs, marked, text, similarity)
+    roots = linked(docs, marked, text, similarity, radius=radius)
     first = marked.groupBy("node").agg(F.min(key).alias("first_id"))
     placed = first.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -240,9 +259,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
         "node", "root", "component_id"), "node").select(key, "tx", "root", "component_id")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+def deduplicated(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, radius: int | None = None,
+) -> DataFrame:
     """One row of every group: of the id that names it, or of its null ids if it has no other."""
-    found = near_duplicates(docs, key, text, similarity).filter(F.col(key).eqNullSafe(F.col("component_id")))
+    found = near_duplicates(docs, key, text, similarity, radius).filter(F.col(key).eqNullSafe(F.col("component_id")))
     kept = found.groupBy("root", key).agg(F.min("tx").alias("__tx")).select(
         F.col(key).alias("__kept"), "__tx").distinct()
     same = F.col(key).eqNullSafe(F.col("__kept")) & (F.xxhash64(F.col(text)) == F.col("__tx"))

@@ -100,3 +100,12 @@ def test_sketches_drop_no_pair_and_tiles_none(spark):
         assert want <= got and len(got) < 1.2 * len(want)
     stars = {tuple(r)[:2] for r in neardup._bounded(spark.createDataFrame(sorted(want), "u long, v long"), nodes, 0.8).collect()}
     assert stars == want
+
+
+def test_the_stage_takes_the_links_of_simhash(spark):
+    """Equal fingerprints without a common five-word shingle: the stage drops one, similarity alone keeps both."""
+    rows = [(1, "a b a", "en"), (2, "a b a b a b a", "en"), (3, " ".join(f"c{k}" for k in range(30)), "en")]
+    frame = docs_frame(spark, rows)
+    assert similarity(rows[0][1], rows[1][1]) == 0
+    assert sorted(r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()) == [1, 3]
+    assert sorted(r["doc_id"] for r in neardup.deduplicated(frame).collect()) == [1, 2, 3]
