@@ -278,15 +278,15 @@ def test_names_of_ten_digits_and_a_lone_planted_ball(spark, tmp_path):
 
 
 def test_ids_beyond_the_digits_of_a_double(spark, tmp_path):
-    """Two matches of ids near 5.9e16: every delivery stays in its own match."""
+    """Matches of ids up to 5.9e16: every delivery stays in its own match."""
     import duckdb
     from harness import compare
 
     from foreledger.catalog import documents
 
     con = duckdb.connect()
-    con.execute(f"""COPY (SELECT * REPLACE (event_id + 59000000000000160 AS event_id) FROM '/root/testdata/sf0.1/events.parquet'
-      WHERE event_id < 480) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
+    con.execute(f"""COPY (SELECT * REPLACE (event_id + k * 1000000000000037 AS event_id) FROM '/root/testdata/sf0.1/events.parquet', range(50, 60) r(k)
+      WHERE event_id < 1000) TO '{tmp_path}/events.parquet' (FORMAT parquet)""")
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     message, same = compare(spark, con, str(tmp_path), "p1_flatten", documents.QUERIES["p1_flatten"], documents.SQL["p1_flatten"])
     assert same, message
