@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foreledger.functions import EPS_BOARD, log_floor
+from foreledger.functions.scalar import softmax
 from foreledger.operators import calibrate as C
 from foreledger.operators import guards, increments as I, resample
 from foreledger.operators import metrics as M
@@ -74,13 +75,15 @@ def identity_gate(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int,
         "state": (None, train), "flat": (I.LAMBDA_FLAT, train), "shrunk": (lam, train),
         "shuffled": (lam, stored(guards.shuffle_columns(
             train.select(*key, y, *[e for e in entities if e not in key]), entities, key)))}
-    scored = test
+    # Rows of val and test take the offsets of every arm together; the temperatures are then fitted in common passes.
+    rows = val.withColumn("__val", F.lit(True)).unionByName(test.withColumn("__val", F.lit(False)), allowMissingColumns=True)
     for name, (strength, fit) in fits.items():
-        arm = (lambda d: d.withColumn("__q", F.col(base))) if strength is None else (
-            lambda d, s=strength, f=fit: augmented(d, f, s, k, entities, base, "__q", y))
-        t = C.fit_temperature(arm(val), "__q", y)
-        scored = arm(scored).withColumn(name, C.temperature_probs(F.col("__q"), t)).drop("__q")
-    scored = stored(scored.select(*dict.fromkeys([group, y, *entities, *fits])))
+        rows = rows.withColumn(name, F.col(base)) if strength is None else augmented(
+            rows, fit, strength, k, entities, base, name, y)
+    rows = stored(rows.select(*dict.fromkeys([group, y, *entities]), "__val", *[log_floor(F.col(n)).alias(n) for n in fits]))
+    fitted = C.fit_temperatures(rows.filter("__val"), [F.col(n) for n in fits], y)
+    cooled = lambda z, t: softmax(F.transform(z, lambda x: x / t))
+    scored = stored(rows.filter("NOT __val").drop("__val").withColumns({n: cooled(n, t) for n, t in zip(fits, fitted)}))
     losses = {f"nll_{n}": M.nll_multi(F.col(n), F.col(y)) for n in fits} | {
         f"brier_{n}": M.brier_multi(F.col(n), F.col(y), k) for n in ("state", "shrunk")}
     gl = stored(M.group_losses(scored, [group], losses))

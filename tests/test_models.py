@@ -146,3 +146,17 @@ def test_hash_trees_name_changed_keys(spark):
     assert digest.tree_differences(tree(a), tree(a.orderBy("v"))).count() == 0
     apart = digest.tree_differences(tree(a), tree(b)).collect()
     assert sum(r["level"] == 0 for r in apart) == 1 and 1 < len(apart) <= 9
+
+
+def test_the_gate_fits_the_arms_in_common_passes(spark, monkeypatch):
+    """One search for the strengths and one for all four arms, not one an arm."""
+    from foreledger.operators import calibrate
+    from foreledger.plans import increment
+
+    asked, plain = [], calibrate.fit_temperatures
+    monkeypatch.setattr(calibrate, "fit_temperatures", lambda rows, logits, y: asked.append(len(logits)) or plain(rows, logits, y))
+    rows = spark.range(120).selectExpr(
+        "id AS event_id", "id % 7 AS user_id", "cast(xxhash64(id) % 2 = 0 AS int) AS y", "array(0.4D, 0.6D) AS base")
+    gate = increment.identity_gate(*[rows.filter(f"event_id % 3 = {k}") for k in range(3)], k=2, entities=["user_id"],
+                                   key=["event_id"], group="user_id", grid=(10.0, 50.0), n_boot=20)
+    assert gate["verdict"].count() == 1 and asked == [2, 4]
