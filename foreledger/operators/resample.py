@@ -6,7 +6,8 @@ every replicate then draws as many groups as there are, with replacement.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,16 @@ from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import nats_to_bits, seeded_index
 from foreledger.operators.scan import dense_index
+from foreledger.sources.stored import stored
 
 # Replicates, seed, and the percentile interval.
 B_RESAMPLES = 10_000
 BOOTSTRAP_SEED = 90210
 INTERVAL = (0.025, 0.975)
-# Group tables up to this many rows are broadcast to the draws.
-BROADCAST_GROUPS = 1_000_000
+# Group tables travel to the draws in pieces of this many rows; a pass over the draws holds some pieces.
+BROADCAST_GROUPS, PASS_PIECES = 1_000_000, 8
+# Replicates that meet the groups' sums together, and draws made at a time.
+BATCH, SLAB = 4, 1 << 16
 
 
 def draws(spark, n_groups: int, n_boot: int = B_RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
@@ -35,10 +39,11 @@ def replicate_sums(losses: DataFrame, key: Sequence[str], sums: Sequence[str], c
                    n_boot: int = B_RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
     """Totals of every sum and of the count per replicate: (replicate, n, sums...).
 
-    The groups are counted first.  Up to BROADCAST_GROUPS of them are broadcast
-    as one array and every task draws whole replicates against it, so nothing
-    is shuffled.  Beyond that, draws and groups meet in a hash join on the
-    uniform index.  Both draw the same indices.
+    Every task makes all draws of whole replicates and counts how often each group
+    came; the counts then meet the groups' sums as a matrix product.  The sums are
+    broadcast piece by piece.  A pass over the draws holds PASS_PIECES of them, so its
+    memory is bounded, and nothing is shuffled but one row a replicate and pass.
+    The draws are those of :func:`draws`.
     """
     n_groups = losses.count()
     if not 0 < n_groups < 2**31:
@@ -46,42 +51,100 @@ def replicate_sums(losses: DataFrame, key: Sequence[str], sums: Sequence[str], c
     spark, cols = losses.sparkSession, [count, *sums]
     table = dense_index(losses, key, "idx").select("idx", *[F.col(c).cast("double") for c in cols])
     if n_groups > BROADCAST_GROUPS:
-        return draws(spark, n_groups, n_boot, seed).join(table, "idx").groupBy("replicate").agg(
-            F.sum(count).alias("n"), *[F.sum(s).alias(s) for s in sums])
-    local = table.toArrow().sort_by("idx")
-    values = spark.sparkContext.broadcast(np.column_stack([local.column(c).to_numpy() for c in cols]))
+        table = stored(table, "draws")
     schema = ", ".join(["replicate long", "n double", *[f"{s} double" for s in sums]])
 
-    def draw(batches):
-        mat = values.value
-        step = np.arange(len(mat), dtype=np.uint64)
-        for b in batches:
-            reps = b.column(0).to_numpy()
-            out = np.empty((len(reps), mat.shape[1]))
-            for i, r in enumerate(reps):
-                out[i] = mat[draw_indices(seed, int(r), step)].sum(axis=0)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(reps), *[pa.array(out[:, j]) for j in range(out.shape[1])]],
-                ["replicate", "n", *sums])
-
-    return spark.range(n_boot).mapInArrow(draw, schema)
-
-
-def draw_indices(seed: int, replicate: int, step: np.ndarray) -> np.ndarray:
-    """The indices of one replicate, by the arithmetic of ``seeded_index``."""
-    def mix(x):
-        for _ in range(2):
-            x = (((x >> np.uint64(16)) ^ x) * np.uint64(73244475)) & np.uint64(0xFFFFFFFF)
-        return (x >> np.uint64(16)) ^ x
-
-    h = mix(np.asarray([replicate + seed], dtype=np.uint64))
-    return ((mix(h + step) * np.uint64(len(step))) >> np.uint64(32)).astype(np.int64)
-
-
-def intervals(losses: DataFrame, key: Sequence[str], metrics: Sequence[str],
-              n_boot: int = B_RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
-    """(metric, point, lo, hi, excludes_zero) of each mean, all from one pass of draws."""
-    reps = replicate_sums(losses, key, metrics, n_boot=n_boot, seed=seed)
+    def sent(lo: int, hi: int):
+        local = table.filter(F.col("idx").between(lo, hi - 1)).toArrow().sort_by("idx")
+        mat = np.column_stack([local.column(c).to_numpy() for c in cols])
+        whole = np.isfinite(mat)
+        # Sums that are no numbers count only where their group is drawn: zero times them is not zero.
+        odd = np.flatnonzero(~whole.all(axis=1))
+        return spark.sparkContext.broadcast((np.where(whole, mat, 0.0), odd, np.where(whole, 0.0, mat)[odd]))
+
+    def one_pass(lo: int, hi: int) -> DataFrame:
+        starts = range(lo, hi, BROADCAST_GROUPS)
+        pieces = [sent(at, min(at + BROADCAST_GROUPS, hi)) for at in starts]
+
+        def draw(batches):
+            held = [p.value for p in pieces]
+            for b in batches:
+                reps = b.column(0).to_numpy()
+                out = np.concatenate([
+                    _totals(np.stack([draw_counts(seed, int(r), n_groups, lo, hi) for r in reps[at:at + BATCH]]), held)
+                    for at in range(0, len(reps), BATCH)])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(reps), *[pa.array(out[:, j]) for j in range(out.shape[1])]],
+                    ["replicate", "n", *sums])
+
+        return spark.range(n_boot).mapInArrow(draw, schema)
+
+    step = BROADCAST_GROUPS * PASS_PIECES
+    passes = [one_pass(lo, min(lo + step, n_groups)) for lo in range(0, n_groups, step)]
+    if len(passes) == 1:
+        return passes[0]
+    return reduce(DataFrame.unionByName, passes).groupBy("replicate").agg(
+        *[F.sum(c).alias(c) for c in ("n", *sums)])
+
+
+def _totals(counts: np.ndarray, held: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Counts of some replicates times the groups' sums, slab by slab."""
+    out, at = np.zeros((len(counts), held[0][0].shape[1])), 0
+    for mat, odd, values in held:
+        for row, value in zip(odd, values):
+            out[counts[:, at + row] > 0] += value
+        for lo in range(0, len(mat), SLAB):
+            some = mat[lo:lo + SLAB]
+            out += counts[:, at:at + len(some)].astype(float) @ some
+            at += len(some)
+    return out
+
+
+def draw_indices(seed: int, replicate: int, n: int) -> Iterator[np.ndarray]:
+    """The n indices of one replicate, slab by slab, by the arithmetic of ``seeded_index``."""
+    factor = np.uint64(73244475)
+    start = int(replicate + seed)
+    for _ in range(2):
+        start = (((start >> 16) ^ start) * 73244475) & 0xFFFFFFFF
+    start = (start >> 16) ^ start
+    for lo in range(0, n, SLAB):
+        # The first factor meets 33 bits, what follows 32.
+        x = np.arange(start + lo, start + min(lo + SLAB, n), dtype=np.uint64)
+        x ^= x >> np.uint64(16)
+        x *= factor
+        y = x.astype(np.uint32)
+        y ^= y >> np.uint32(16)
+        y *= np.uint32(73244475)
+        y ^= y >> np.uint32(16)
+        x = y.astype(np.uint64)
+        x *= np.uint64(n)
+        x >>= np.uint64(32)
+        yield x.view(np.int64)
+
+
+def draw_counts(seed: int, replicate: int, n: int, lo: int, hi: int, kind: type = np.uint8) -> np.ndarray:
+    """How often one replicate draws each group of [lo, hi).
+
+    Counts are about one, so a byte holds them; where one ran over, their total is too small and all are taken again.
+    """
+    counts, drawn = np.zeros(hi - lo, kind), 0
+    for idx in draw_indices(seed, replicate, n):
+        if hi - lo < n:
+            idx = idx[(idx >= lo) & (idx < hi)] - lo
+        np.add.at(counts, idx, kind(1))
+        drawn += len(idx)
+    if int(counts.sum(dtype=np.int64)) != drawn:
+        return draw_counts(seed, replicate, n, lo, hi, np.int64)
+    return counts
+
+
+def intervals(losses: DataFrame, key: Sequence[str], metrics: Sequence[str], n_boot: int = B_RESAMPLES,
+              seed: int = BOOTSTRAP_SEED, reps: DataFrame | None = None) -> DataFrame:
+    """(metric, point, lo, hi, excludes_zero) of each mean, all from one pass of draws.
+
+    ``reps`` holds the replicates' totals of these sums, when they are there already.
+    """
+    reps = replicate_sums(losses, key, metrics, n_boot=n_boot, seed=seed) if reps is None else reps
     ci = reps.agg(*[
         F.percentile(F.col(m) / F.col("n"), F.array(*map(F.lit, INTERVAL))).alias(m)
         for m in metrics])
@@ -90,11 +153,11 @@ def intervals(losses: DataFrame, key: Sequence[str], metrics: Sequence[str],
     return _stack(wide, metrics)
 
 
-def paired_deltas(losses: DataFrame, key: Sequence[str], pairs: dict[str, tuple[str, str]],
-                  n_boot: int = B_RESAMPLES, seed: int = BOOTSTRAP_SEED) -> DataFrame:
-    """Interval of metric(a) - metric(b) with the same draws for both, per named pair."""
+def paired_deltas(losses: DataFrame, key: Sequence[str], pairs: dict[str, tuple[str, str]], n_boot: int = B_RESAMPLES,
+                  seed: int = BOOTSTRAP_SEED, reps: DataFrame | None = None) -> DataFrame:
+    """Interval of metric(a) - metric(b) with the same draws for both, per named pair; ``reps`` as in ``intervals``."""
     cols = sorted({c for ab in pairs.values() for c in ab})
-    reps = replicate_sums(losses, key, cols, n_boot=n_boot, seed=seed)
+    reps = replicate_sums(losses, key, cols, n_boot=n_boot, seed=seed) if reps is None else reps
     delta = lambda a, b: F.col(a) / F.col("n") - F.col(b) / F.col("n")
     ci = reps.agg(*[
         F.percentile(delta(a, b), F.array(*map(F.lit, INTERVAL))).alias(k)

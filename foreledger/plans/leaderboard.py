@@ -99,10 +99,11 @@ def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, featu
     sv, st, info = calibrated(sv, st, n, y, k, group)
     sv, st = stored(sv), stored(st)
     losses = {key: e for i in range(n) for key, e in _losses(i, y, k).items()}
-    board, gl = None, {}
+    board, gl, reps = None, {}, {}
     for split, df in (("val", sv), ("test", st)):
         gl[split] = stored(M.group_losses(df, [group], losses))
-        ci = resample.intervals(gl[split], [group], list(losses), n_boot)
+        reps[split] = stored(resample.replicate_sums(gl[split], [group], list(losses), n_boot=n_boot))
+        ci = resample.intervals(gl[split], [group], list(losses), reps=reps[split])
         tagged = ci.select(F.split("metric", "_")[1].cast("int").alias("i"), F.lit(split).alias("split"),
                            F.split("metric", "_")[0].alias("metric"), F.col("point").alias("value"), "lo", "hi")
         e = M.forecast_calibration(df, [f"c_{i}" for i in range(n)], y, k)
@@ -129,7 +130,7 @@ def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, featu
         F.when(F.col("metric").isin("nll", "brier"), M.skill(F.col("value"), F.col("__b0"))).alias("skill"))
     got = {(r["i"], r["split"], r["metric"]): r["value"] for r in board.collect()}
     settings = {m.name: m.tuned | info[i] for i, m in enumerate(ladder)}
-    return Cell(out, _decision(gl, group, got, names, n_boot), _ladder_check(sv, y, k, names), settings, sv, st,
+    return Cell(out, _decision(gl, reps, group, got, names), _ladder_check(sv, y, k, names), settings, sv, st,
                 _counts({"train": train, "val": sv, "test": st}, group), _cuts(st, names, y, k),
                 _model_of(M.forecast_reliability(st, [f"c_{i}" for i in range(n)], y, k), names))
 
@@ -170,11 +171,11 @@ def run_cells(cells: Mapping[tuple[str, str], Mapping], **common) -> dict[str, D
     return {part: reduce(DataFrame.unionByName, frames) for part, frames in tables.items()}
 
 
-def _decision(gl: dict[str, DataFrame], group: str, got: dict, names: Sequence[str], n_boot: int) -> DataFrame:
-    """The challenger rule: the last model against the best simpler one on test NLL."""
+def _decision(gl: dict[str, DataFrame], reps: dict[str, DataFrame], group: str, got: dict, names: Sequence[str]) -> DataFrame:
+    """The challenger rule: the last model against the best simpler one on test NLL, by the replicates of the board."""
     ch = len(names) - 1
     best = min(range(ch), key=lambda i: got[(i, "test", "nll")])
-    d = {s: pin(resample.paired_deltas(gl[s], [group], {"d": (f"nll_{ch}", f"nll_{best}")}, n_boot))
+    d = {s: pin(resample.paired_deltas(gl[s], [group], {"d": (f"nll_{ch}", f"nll_{best}")}, reps=reps[s]))
          for s in ("val", "test")}
     row = d["val"].select(F.col("point").alias("val_point"), F.col("lo").alias("val_lo"), F.col("hi").alias("val_hi"))
     row = row.withColumns({f"test_{c}": d["test"].select(c).scalar() for c in ("point", "lo", "hi")} | {

@@ -129,6 +129,25 @@ def test_both_bootstrap_paths_draw_alike(spark, monkeypatch):
     assert np.allclose(a[["n", "s"]], b[["n", "s"]])
 
 
+def test_many_groups_are_drawn_without_a_shuffle_of_draws(spark, monkeypatch):
+    losses = spark.range(300, numPartitions=2).selectExpr("id AS g", "1 + id % 3 AS n", "if(id = 7, double('nan'), double(id)) AS s")
+    want = resample.draws(spark, 300, 20).join(
+        scan.dense_index(losses, ["g"], "idx"), "idx").groupBy("replicate").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    want = want.orderBy("replicate").toPandas()
+    monkeypatch.setattr(resample, "BROADCAST_GROUPS", 40)
+    monkeypatch.setattr(resample, "SLAB", 64)
+    got = resample.replicate_sums(losses, ["g"], ["s"], n_boot=20)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    got = got.orderBy("replicate").toPandas()
+    assert 0 < want["s"].isna().sum() < 20
+    assert np.allclose(got[["n", "s"]], want[["n", "s"]], equal_nan=True)
+
+
+def test_counts_of_draws_may_exceed_a_byte(monkeypatch):
+    monkeypatch.setattr(resample, "draw_indices", lambda seed, replicate, n: iter([np.zeros(700, np.int64), np.arange(n)]))
+    assert resample.draw_counts(1, 0, 5, 0, 5).tolist() == [701, 1, 1, 1, 1]
+
+
 def test_group_losses_fixture(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 10.0), ("a", 3.0), ("c", 5.0)], "m string, l double")
     got = {r.m: (r.l, r.n) for r in metrics.group_losses(df, ["m"], {"l": F.col("l")}).collect()}
