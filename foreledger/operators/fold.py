@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foreledger.operators.scan import cut, join_on, running
+from foreledger.operators.scan import by_size, cut, join_on, running
 from foreledger.operators.validate import BOWLER_CREDITED, NON_DISMISSALS, position_error
 
 
@@ -112,7 +112,20 @@ def actor_ledger(
     actor's first event the state still holds the previous event's actor, with
     their totals up to and including that event; on the first event of the
     group it holds the event's own actor with zeros.
+
+    With ``chunk`` only groups too large for one task are cut by it; the others
+    are dealt out once by group and scanned whole.
     """
+    if chunk:
+        whole, large = by_size(df, group)
+        small = _ledger(whole, group, order, actor, counters)
+        return small if large is None else small.unionByName(
+            _ledger(large, group, order, actor, counters, chunk))
+    return _ledger(df, group, order, actor, counters)
+
+
+def _ledger(df: DataFrame, group: Sequence[str], order: Sequence[str], actor: str, counters: dict[str, Column],
+            chunk: Sequence[Column] = ()) -> DataFrame:
     own = running(df, [*group, actor], order,
                   sums=counters | {"__seen": F.lit(1)}, chunk=chunk)
     names = list(counters)

@@ -98,6 +98,27 @@ def running(
     )
 
 
+# Rows of a group that one task takes whole, rows that one task sorts, and cells in which large groups are looked for.
+WHOLE_ROWS, TASK_ROWS, CELLS = 200_000, 500_000, 65_536
+
+
+def by_size(df: DataFrame, group: Sequence[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows dealt out by group, rows of groups that may be too large for that; None without such).
+
+    Rows are counted by a hash of their group first, so a group with more than WHOLE_ROWS
+    is never missed; one that shares its cell counts as large too.
+    """
+    cell = F.pmod(F.xxhash64(*group), F.lit(CELLS))
+    seen = df.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.col("n")
+    got = seen.agg(F.sum("n").alias("n"), F.collect_list(F.when(n > WHOLE_ROWS, F.col("cell"))).alias("large")).first()
+    small = df.filter(~cell.isin(got["large"])) if got["large"] else df
+    tasks = -(-(got["n"] or 0) // TASK_ROWS)
+    default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = small.repartition(tasks, *group) if tasks > default else small.repartition(*group)
+    return placed, df.filter(cell.isin(got["large"])) if got["large"] else None
+
+
 def dense_index(
     df: DataFrame, key_cols: Sequence[str], out: str, salt: str = "", hex_digits: int = 3
 ) -> DataFrame:

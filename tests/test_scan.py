@@ -163,3 +163,19 @@ def test_the_shuffle_of_a_scan_moves_no_derived_value(spark):
     dealt = [i for i, line in enumerate(lines) if "RepartitionByExpression" in line]
     assert dealt and not any("__s_n" in lines[i + 1] for i in dealt)
     assert {(x["t"], x["n"]) for x in r.collect()} == {(t, 2 * sum(range(t % 5, t, 5))) for t in range(100)}
+
+
+def test_ledger_moves_rows_once_and_cuts_large_groups_only(spark, monkeypatch):
+    df = spark.range(600, numPartitions=3).selectExpr(
+        "CASE WHEN id < 400 THEN 1 WHEN id < 450 THEN null ELSE id % 40 END AS g", "id AS t", "id * 7 % 5 AS who", "double(id) AS v")
+    ledger = lambda chunk: fold.actor_ledger(
+        df, ["g"], ["t"], "who", counters={"n": F.lit(1), "s": F.col("v")}, chunk=chunk)
+    chunk = [F.floor(F.col("t") / 10)]
+    plan = ledger(chunk)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    want = sorted(map(str, ledger([]).collect()))
+    assert sorted(map(str, ledger(chunk).collect())) == want
+    monkeypatch.setattr(scan, "WHOLE_ROWS", 100)
+    cut = ledger(chunk)
+    assert "Join" in cut._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, cut.collect())) == want
