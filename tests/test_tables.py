@@ -107,3 +107,25 @@ def test_facet_calibration_reads_its_rows_once(spark, tmp_path):
     t = M.facet_calibration(spark.read.parquet(f"{tmp_path}/rows"), ["p"], "y", 2, F.array("name", F.lit("all")))
     assert not [f for f in t.inputFiles() if str(tmp_path) in f]
     assert {r["name"] for r in t.collect()} == {"a", "b", "all"}
+
+
+def test_long_files_are_hashed_as_they_are_read(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from foreledger.sources import integrity
+
+    mark, noise = b"\xef\xbb\xbf", random.Random(1).randbytes(400_000)
+    files = {
+        "noise": noise, "noise + end": noise + b"\n", "lines": b"\n" * 5000, "one line": b"0" * 9000, "crlf": b"\r\n\r" * 3000,
+        "mark": mark + noise[:3000], "marked lines": mark + noise[:3000] + b"\n\n", "marks": (mark + b"\n") * 2000,
+        "packed.gz": noise[:5000], "short": b"x", "at the limit": noise[:1000], "above it": noise[:1001]}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    monkeypatch.setattr(integrity, "WHOLE_BYTES", 1000)
+    # As if a value could be no longer than that: nothing long may be read as one.
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "6000")
+    try:
+        got = {r.file: (r.length, r.sha256) for r in integrity.file_digests(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+    assert got == {k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
