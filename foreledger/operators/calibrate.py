@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from foreledger.functions.scalar import EPS, bands_of, clip, dot, log_floor, logit, sigmoid, softmax
 from foreledger.functions.variants import let
+from foreledger.operators.metrics import mean, n_rows
 from foreledger.operators.scan import running
 from foreledger.sources.stored import drop_stored, stored
 
@@ -72,16 +73,18 @@ class _Bracket:
         self.b = nxt
 
 
-def fit_temperatures(rows: DataFrame, logits: Sequence[Column], y: str) -> list[float]:
+def fit_temperatures(rows: DataFrame, logits: Sequence[Column], y: str, w: str | None = None) -> list[float]:
     """The best T for each of several logit columns of the same rows.
 
     NLL is convex in b = 1/T.  A first pass takes the slopes at both bounds; every later
     pass is one aggregate that holds the Newton step of every column that is not settled.
-    Two numbers a column are fetched.
+    Two numbers a column are fetched.  A row stands for ``w`` rows.
     """
+    kept = [w] if w else []
+
     def moments(points: dict[str, tuple[int, float]]) -> dict:
-        return rows.select(*[_slope_and_curvature(logits[i], F.col(y), b).alias(n) for n, (i, b) in points.items()]).agg(*[
-            F.avg(F.col(n)[k]).alias(f"{k}{n}") for n in points for k in "gh"]).first().asDict()
+        return rows.select(*kept, *[_slope_and_curvature(logits[i], F.col(y), b).alias(n) for n, (i, b) in points.items()]).agg(*[
+            mean(F.col(n)[k], w).alias(f"{k}{n}") for n in points for k in "gh"]).first().asDict()
 
     at = [_Bracket() for _ in logits]
     if not at:
@@ -114,10 +117,10 @@ class Platt:
         return sigmoid(self.a * logit(p) + self.b)
 
 
-def fit_platt(val: DataFrame, p: str, y: str) -> Platt:
+def fit_platt(val: DataFrame, p: str, y: str, w: str | None = None) -> Platt:
     """Unregularised logistic fit of the label on logit(p), over distinct (p, y) weights."""
     agg = val.groupBy(F.col(p).alias("p"), F.col(y).cast("double").alias("label")).agg(
-        F.count(F.lit(1)).cast("double").alias("w"))
+        n_rows(w).cast("double").alias("w"))
     rows = _vector(agg.withColumn("x", logit(F.col("p"))), ["x"])
     m = LogisticRegression(regParam=0.0, maxIter=200, tol=1e-9, standardization=True,
                            weightCol="w").fit(rows)
@@ -200,13 +203,13 @@ def apply_isotonic(df: DataFrame, src: str, blocks: DataFrame, out: str) -> Data
     return df.join(table, F.col(src).cast("double") == F.col("__x"), "left").drop("__x")
 
 
-def fit_isotonic(val: DataFrame, p: str, y: str):
+def fit_isotonic(val: DataFrame, p: str, y: str, w: str | None = None):
     """Monotone map from distinct scores with their weights: (apply_fn, pools).
 
     ``apply_fn(df, src, out)`` appends the clipped calibrated column.
     """
     blocks = isotonic_blocks(val.groupBy(F.col(p).alias("x")).agg(
-        F.sum(F.col(y).cast("double")).alias("s"), F.count(F.lit(1)).alias("w")))
+        F.sum(F.col(y).cast("double") * (F.lit(1) if w is None else F.col(w))).alias("s"), n_rows(w).alias("w")))
     return lambda df, src, out: apply_isotonic(df, src, blocks, out), blocks
 
 

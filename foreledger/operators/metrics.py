@@ -54,22 +54,31 @@ def loss_by_year(df: DataFrame, dates: DataFrame | None, key: str, date_col: str
     return mean_losses(src.withColumn("year", F.year(date_col)), losses, ["year"])
 
 
+def n_rows(w: str | None) -> Column:
+    """Number of rows; a row stands for as many as its column ``w`` says, if one is named."""
+    return F.count(F.lit(1)) if w is None else F.sum(w)
+
+
+def mean(x: Column, w: str | None) -> Column:
+    """Mean over rows, each as often as ``w`` says; nulls are left out."""
+    return F.avg(x) if w is None else F.sum(x * F.col(w)) / F.sum(F.when(x.isNotNull(), F.col(w)))
+
+
 # ---- calibration over equal-mass bins --------------------------------------
 
 def reliability(df: DataFrame, p: str, y: Column | str, by: Sequence[str] = (),
-                n_bins: int | Column = 20) -> DataFrame:
-    """Per bin: n, p_mean, y_mean, weight.  Bins are equal-mass; ties share a bin."""
-    group = list(by) or ["__all"]
+                n_bins: int | Column = 20, w: str | None = None) -> DataFrame:
+    """Per bin: n, p_mean, y_mean, weight.  Bins are equal-mass; ties share a bin.  A row stands for ``w`` rows."""
+    group, kept = list(by) or ["__all"], [w] if w else []
     y = F.col(y) if isinstance(y, str) else y
-    src = df.select(*by, F.col(p).alias("p"), y.cast("double").alias("y"))
+    src = df.select(*by, *kept, F.col(p).alias("p"), y.cast("double").alias("y"))
     if not by:
         src = src.withColumn("__all", F.lit(0))
-    edges = equal_mass_edges(src, group, "p", n_bins).withColumnRenamed("n", "__t")
+    edges = equal_mass_edges(src, group, "p", n_bins, w).withColumnRenamed("n", "__t")
     t = attach_bins(src, edges, group, "p").groupBy(*group, "bin").agg(
-        F.max("__t").alias("__t"), F.count(F.lit(1)).alias("n"), F.avg("p").alias("p_mean"),
-        F.avg("y").alias("y_mean"))
-    w = t.withColumn("weight", F.col("n") / F.col("__t"))
-    return w.select(*by, "bin", "n", "p_mean", "y_mean", "weight")
+        F.max("__t").alias("__t"), n_rows(w).alias("n"), mean(F.col("p"), w).alias("p_mean"),
+        mean(F.col("y"), w).alias("y_mean"))
+    return t.withColumn("weight", F.col("n") / F.col("__t")).select(*by, "bin", "n", "p_mean", "y_mean", "weight")
 
 
 def calibration_error(table: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -86,25 +95,26 @@ def class_rows(df: DataFrame, probs: str, y: str, keep: Sequence[str] = ()) -> D
 
 
 def class_calibration(df: DataFrame, probs: str, y: str, n_bins: int = 20,
-                      by: Sequence[str] = ()) -> DataFrame:
+                      by: Sequence[str] = (), w: str | None = None) -> DataFrame:
     """One-vs-rest ECE per class (and per extra key)."""
-    keys = [*by, "cls"]
-    return calibration_error(reliability(class_rows(df, probs, y, by), "p", "hit", keys, n_bins),
+    keys, kept = [*by, "cls"], [w] if w else []
+    return calibration_error(reliability(class_rows(df, probs, y, [*by, *kept]), "p", "hit", keys, n_bins, w),
                              keys)
 
 
 def forecast_calibration(df: DataFrame, columns: Sequence[str], y: str, k: int,
-                         n_bins: int = 20) -> DataFrame:
+                         n_bins: int = 20, w: str | None = None) -> DataFrame:
     """(forecast, ece, max_ce) of several forecast columns in one set of passes.
 
     Two-class columns hold doubles; multi-class ones hold arrays, whose ECE is
     the mean over one-vs-rest classes and whose max is the worst class.
     """
-    long = df.select(y, F.explode(F.array(*[F.struct(
-        F.lit(c).alias("forecast"), F.col(c).alias("__f")) for c in columns])).alias("r")).select(y, "r.*")
+    kept = [y, w] if w else [y]
+    long = df.select(*kept, F.explode(F.array(*[F.struct(
+        F.lit(c).alias("forecast"), F.col(c).alias("__f")) for c in columns])).alias("r")).select(*kept, "r.*")
     if k == 2:
-        return calibration_error(reliability(long, "__f", y, ["forecast"], n_bins), ["forecast"])
-    per = class_calibration(long, "__f", y, n_bins, ["forecast"])
+        return calibration_error(reliability(long, "__f", y, ["forecast"], n_bins, w), ["forecast"])
+    per = class_calibration(long, "__f", y, n_bins, ["forecast"], w)
     return per.groupBy("forecast").agg(F.avg("ece").alias("ece"), F.max("ece").alias("max_ce"))
 
 
@@ -160,7 +170,7 @@ def forecast_rows(df: DataFrame, forecasts: Sequence[str], y: str, k: int, keep:
 
 
 def breakdown(df: DataFrame, forecasts: Sequence[str], y: str, k: int, facets: Mapping[str, Column],
-              by: Sequence[str] = ()) -> DataFrame:
+              by: Sequence[str] = (), w: str | None = None) -> DataFrame:
     """(by.., forecast, facet, name, n, nll, brier, p_mean, y_mean): every cut of every forecast.
 
     A facet is an array of the names that a row belongs to; names may overlap, a
@@ -172,29 +182,30 @@ def breakdown(df: DataFrame, forecasts: Sequence[str], y: str, k: int, facets: M
         return F.transform(own, lambda n: F.struct(F.lit(facet).alias("facet"), n.alias("name")))
 
     src = df.withColumn("__cuts", F.flatten(F.array(*[cuts(f, names) for f, names in facets.items()])))
-    long = forecast_rows(src, forecasts, y, k, [*by, "__cuts"]).select("*", F.explode("__cuts").alias("__c"))
+    kept = [*by, "__cuts", w] if w else [*by, "__cuts"]
+    long = forecast_rows(src, forecasts, y, k, kept).select("*", F.explode("__cuts").alias("__c"))
     keys = [*by, "forecast", "facet", "name"]
-    return long.select("*", "__c.*").groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("nll").alias("nll"), F.avg("brier").alias("brier"),
-        F.avg("p").alias("p_mean"), F.avg("hit").alias("y_mean"))
+    return long.select("*", "__c.*").groupBy(*keys).agg(n_rows(w).alias("n"), *[
+        mean(F.col(c), w).alias(n) for c, n in (("nll", "nll"), ("brier", "brier"), ("p", "p_mean"), ("hit", "y_mean"))])
 
 
 def forecast_reliability(df: DataFrame, forecasts: Sequence[str], y: str, k: int, by: Sequence[str] = (),
-                         n_bins: int | Column = 20) -> DataFrame:
+                         n_bins: int | Column = 20, w: str | None = None) -> DataFrame:
     """The reliability tables of several forecasts from one set of passes."""
-    return reliability(forecast_rows(df, forecasts, y, k, by), "p", "hit", [*by, "forecast"], n_bins)
+    kept = [*by, w] if w else by
+    return reliability(forecast_rows(df, forecasts, y, k, kept), "p", "hit", [*by, "forecast"], n_bins, w)
 
 
 def facet_calibration(df: DataFrame, forecasts: Sequence[str], y: str, k: int, names: Column,
-                      by: Sequence[str] = ()) -> DataFrame:
+                      by: Sequence[str] = (), w: str | None = None) -> DataFrame:
     """(by.., forecast, name, ece, max_ce) per overlapping bucket, with bins that grow with its rows.
 
     Edges take several passes, so the few columns that they need are stored before.
     """
-    needed = pin(df.select(*by, *forecasts, y, names.alias("__names")))
+    needed = pin(df.select(*by, *([w] if w else []), *forecasts, y, names.alias("__names")))
     each = needed.withColumn("name", F.explode("__names")).drop("__names")
     keys = [*by, "name", "forecast"]
-    return calibration_error(forecast_reliability(each, forecasts, y, k, [*by, "name"], adaptive_bins()), keys)
+    return calibration_error(forecast_reliability(each, forecasts, y, k, [*by, "name"], adaptive_bins(), w), keys)
 
 
 # Names of the wickets bands in the calibration table.

@@ -194,7 +194,7 @@ def _edge_ranks(sizes: DataFrame, group: Sequence[str], bins: Column) -> DataFra
 
 
 def equal_mass_edges(
-    df: DataFrame, group: Sequence[str], value: str, n_bins: int | Column = 20
+    df: DataFrame, group: Sequence[str], value: str, n_bins: int | Column = 20, weight: str | None = None
 ) -> DataFrame:
     """Interior equal-mass edges per group as a sorted array column ``edges``.
 
@@ -203,10 +203,10 @@ def equal_mass_edges(
     the value, those in a cell with a wanted rank by the second, and those in a
     wanted cell of that by value.  Rows are never sorted and only counts are
     shuffled, so neither a hot group nor a pile of equal values matters.
-    ``n_bins`` may be a Column over the group size ``n``.
+    ``n_bins`` may be a Column over the group size ``n``.  A row stands for ``weight`` rows.
     """
-    src = df.select(*group, F.col(value).alias("__v"))
-    count = F.count(F.lit(1)).alias("n")
+    src = df.select(*group, F.col(value).alias("__v"), *([] if weight is None else [F.col(weight).alias("__n_rows")]))
+    count = (F.count(F.lit(1)) if weight is None else F.sum("__n_rows")).alias("n")
     hist = pin(_digits(src, "__v", 1).groupBy(*group, "__d0").agg(count))
     sizes = hist.groupBy(*group).agg(F.sum("n").alias("n"))
     bins = F.lit(n_bins) if isinstance(n_bins, int) else n_bins

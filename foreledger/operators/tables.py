@@ -161,6 +161,8 @@ WICKET_EDGES = (2, 4, 6)
 RATE_EDGES = (4.0, 6.0, 8.0, 10.0, 12.0)
 TAU_GRID = (50.0, 200.0, 800.0)
 TABLE_AXES = ("innings", "phase", "wkts", "rate")
+# The columns that the axes are made of.
+AXIS_SOURCES = ("is_chase", "legal_balls", "wickets", "rrr", "crr")
 LATTICE = {"innings": 2, "phase": 4, "wkts": 4, "rate": 6}
 
 

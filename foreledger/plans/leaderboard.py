@@ -13,7 +13,8 @@ from foreledger.functions import EPS_BOARD, log_floor
 from foreledger.operators import calibrate as C
 from foreledger.operators import guards, models, resample
 from foreledger.operators import metrics as M
-from foreledger.operators.scan import pin
+from foreledger.operators import tables as T
+from foreledger.operators.scan import join_on, pin
 from foreledger.sources.stored import stored
 
 # Names of the ladder, simplest first.
@@ -52,19 +53,19 @@ def _predict(df: DataFrame, ladder: Sequence[models.Fitted], keep: Sequence[str]
     return df.select(*keep, *[f"p_{i}" for i in range(len(ladder))])
 
 
-def calibrated(val: DataFrame, test: DataFrame, n: int, y: str, k: int, group: str):
-    """Append c_<i> to both splits (and the alternate a_<i> for two classes)."""
+def calibrated(val: DataFrame, test: DataFrame, n: int, y: str, k: int, n_groups: int):
+    """Append c_<i> to both splits (and the alternate a_<i> for two classes); rows stand for __w rows."""
     info: list[dict[str, float]] = []
     if k != 2:
-        found = C.fit_temperatures(val, [log_floor(F.col(f"p_{i}")) for i in range(n)], y)
+        found = C.fit_temperatures(val, [log_floor(F.col(f"p_{i}")) for i in range(n)], y, "__w")
         val, test = (d.withColumns({f"c_{i}": C.temperature_probs(F.col(f"p_{i}"), t) for i, t in enumerate(found)})
                      for d in (val, test))
         return val, test, [{"temperature": t} for t in found]
-    method = C.board_calibration(val.select(group).distinct().count())
+    method = C.board_calibration(n_groups)
     for i in range(n):
         p, c = f"p_{i}", f"c_{i}"
-        platt = C.fit_platt(val, p, y)
-        iso, _ = C.fit_isotonic(val, p, y)
+        platt = C.fit_platt(val, p, y, "__w")
+        iso, _ = C.fit_isotonic(val, p, y, "__w")
         plat, isot = (c, f"a_{i}") if method == "platt" else (f"a_{i}", c)
         val, test = (iso(d.withColumn(plat, platt.apply(F.col(p))), p, isot) for d in (val, test))
         info.append({"platt_a": platt.a, "platt_b": platt.b, "isotonic": float(method == "isotonic")})
@@ -85,28 +86,32 @@ def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, featu
              buckets: Column | None = None) -> Cell:
     """Fit on train, tune and calibrate on val, touch test once.
 
-    Scored rows are written once and read by every metric; only fitted
-    parameters, curves of grid points and intervals reach the driver.  ``date``
-    cuts test by calendar year, ``buckets`` (an array of names a row) by bucket.
+    Rows alike in features, label, year and buckets are scored once, as one with
+    their number, and every metric reads those; only the sums per group meet each
+    row.  Fitted parameters, curves of grid points and intervals reach the driver.
+    ``date`` cuts test by calendar year, ``buckets`` (an array of names a row) by bucket.
     """
     ladder = fit_ladder(train, val, y, k, features, fmt, group, order, c_grid, boosted, names)
-    n, keep = len(ladder), [group, y, "__year", "__buckets"]
+    n, table = len(ladder), T.AXIS_SOURCES if LADDER[1] in names else ()
+    alike = list(dict.fromkeys([*features, *table, y, "__year", "__buckets"]))
     none = F.array().cast("array<string>")
     marks = {"__year": F.array(F.year(date).cast("string")) if date else none,
              "__buckets": none if buckets is None else buckets}
-    val, test = (d.withColumns(marks) for d in (val, test))
-    sv, st = (stored(_predict(d, ladder, keep)) for d in (val, test))
-    sv, st, info = calibrated(sv, st, n, y, k, group)
+    parts = {s: d.withColumns(marks).select(group, *alike) for s, d in (("val", val), ("test", test))}
+    sv, st = (stored(d.groupBy(*alike).agg(F.count(F.lit(1)).alias("__w")), "alike") for d in parts.values())
+    sv, st = (stored(_predict(d, ladder, [*alike, "__w"])) for d in (sv, st))
+    sv, st, info = calibrated(sv, st, n, y, k, val.select(group).distinct().count())
     sv, st = stored(sv), stored(st)
     losses = {key: e for i in range(n) for key, e in _losses(i, y, k).items()}
     board, gl, reps = None, {}, {}
     for split, df in (("val", sv), ("test", st)):
-        gl[split] = stored(M.group_losses(df, [group], losses))
+        lost = join_on(parts[split], df.select(*alike, *[e.alias(key) for key, e in losses.items()]), alike)
+        gl[split] = stored(M.group_losses(lost, [group], {key: F.col(key) for key in losses}))
         reps[split] = stored(resample.replicate_sums(gl[split], [group], list(losses), n_boot=n_boot))
         ci = resample.intervals(gl[split], [group], list(losses), reps=reps[split])
         tagged = ci.select(F.split("metric", "_")[1].cast("int").alias("i"), F.lit(split).alias("split"),
                            F.split("metric", "_")[0].alias("metric"), F.col("point").alias("value"), "lo", "hi")
-        e = M.forecast_calibration(df, [f"c_{i}" for i in range(n)], y, k)
+        e = M.forecast_calibration(df, [f"c_{i}" for i in range(n)], y, k, w="__w")
         e = pin(e.withColumn("i", F.split("forecast", "_")[1].cast("int")))
         long = e.select("i", F.explode(F.array(*[F.struct(
             F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("ece", "max_ce")])).alias("r"))
@@ -115,7 +120,7 @@ def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, featu
             "i", F.lit(split).alias("split"), "r.metric", "r.value", none.alias("lo"), none.alias("hi")))
         board = rows if board is None else board.unionByName(rows)
     if k == 2:
-        alt = {f"{s}|{i}": df.agg(F.avg(_losses(i, y, k, "a")[f"nll_{i}"]).alias("v"))
+        alt = {f"{s}|{i}": df.agg(M.mean(_losses(i, y, k, "a")[f"nll_{i}"], "__w").alias("v"))
                for s, df in (("test", st),) for i in range(n)}
         for key, frame in alt.items():
             none = F.lit(None).cast("double")
@@ -130,9 +135,11 @@ def run_cell(train: DataFrame, val: DataFrame, test: DataFrame, *, k: int, featu
         F.when(F.col("metric").isin("nll", "brier"), M.skill(F.col("value"), F.col("__b0"))).alias("skill"))
     got = {(r["i"], r["split"], r["metric"]): r["value"] for r in board.collect()}
     settings = {m.name: m.tuned | info[i] for i, m in enumerate(ladder)}
-    return Cell(out, _decision(gl, reps, group, got, names), _ladder_check(sv, y, k, names), settings, sv, st,
-                _counts({"train": train, "val": sv, "test": st}, group), _cuts(st, names, y, k),
-                _model_of(M.forecast_reliability(st, [f"c_{i}" for i in range(n)], y, k), names))
+    kept = [group, y, "__year", "__buckets", *[c for c in sv.columns if c not in alike and c != "__w"]]
+    scored = [join_on(d, s.drop("__w"), alike).select(*kept) for d, s in zip(parts.values(), (sv, st))]
+    return Cell(out, _decision(gl, reps, group, got, names), _ladder_check(sv, y, k, names), settings, *scored,
+                _counts({"train": train, "val": val, "test": test}, group), _cuts(st, names, y, k),
+                _model_of(M.forecast_reliability(st, [f"c_{i}" for i in range(n)], y, k, w="__w"), names))
 
 
 def _counts(parts: dict[str, DataFrame], group: str) -> DataFrame:
@@ -152,8 +159,8 @@ def _model_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
 def _cuts(scored: DataFrame, names: Sequence[str], y: str, k: int) -> DataFrame:
     """Test rows by year and by bucket; buckets have a calibration error of their own."""
     cols = [f"c_{i}" for i in range(len(names))]
-    means = M.breakdown(scored, cols, y, k, {"year": F.col("__year"), "bucket": F.col("__buckets")})
-    errors = M.facet_calibration(scored, cols, y, k, F.col("__buckets")).withColumn("facet", F.lit("bucket"))
+    means = M.breakdown(scored, cols, y, k, {"year": F.col("__year"), "bucket": F.col("__buckets")}, w="__w")
+    errors = M.facet_calibration(scored, cols, y, k, F.col("__buckets"), w="__w").withColumn("facet", F.lit("bucket"))
     return _model_of(means.join(errors, ["forecast", "facet", "name"], "left"), names)
 
 
@@ -191,7 +198,7 @@ def _ladder_check(sv: DataFrame, y: str, k: int, names: Sequence[str]) -> DataFr
         if LADDER[rung] not in names:
             return F.lit(None).cast("double")
         i = list(names).index(LADDER[rung])
-        return F.avg(_losses(i, y, k, "p")[f"nll_{i}"])
+        return M.mean(_losses(i, y, k, "p")[f"nll_{i}"], "__w")
 
     s = sv.agg(*[nll(rung).alias(f"b{rung}") for rung in (0, 2, 3)])
     return s.withColumns(guards.ladder_inversion(F.col("b0"), F.col("b2"), F.col("b3")))

@@ -3,11 +3,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from foreledger.operators import calibrate as C
+from foreledger.operators import metrics
 from foreledger.operators import models as MO
 from foreledger.plans import increment
 
@@ -160,3 +162,31 @@ def test_the_gate_fits_the_arms_in_common_passes(spark, monkeypatch):
     gate = increment.identity_gate(*[rows.filter(f"event_id % 3 = {k}") for k in range(3)], k=2, entities=["user_id"],
                                    key=["event_id"], group="user_id", grid=(10.0, 50.0), n_boot=20)
     assert gate["verdict"].count() == 1 and asked == [2, 4]
+
+
+def test_a_cell_scores_alike_rows_once_with_their_number(spark, monkeypatch):
+    from foreledger.plans import leaderboard
+
+    rng, rows = random.Random(8), []
+    for k in range(240):
+        a, b = float(rng.randrange(4)), float(rng.randrange(3))
+        rows.append((f"m{k % 30}", a, b, k % 3 if rng.random() < 0.4 else int(b), f"202{k % 2}-01-01", "all" if k % 4 else None))
+    once = spark.createDataFrame(rows, "match_id string, a double, b double, y int, d string, part string")
+    often = once.crossJoin(spark.range(5).drop("id"))
+    scored, plain = [], leaderboard._predict
+    monkeypatch.setattr(leaderboard, "_predict", lambda df, *rest: scored.append(df.count()) or plain(df, *rest))
+    cells = [leaderboard.run_cell(
+        df, df, df, k=3, features=["a", "b"], fmt="t20", names=("B0_marginal", "B2_logistic"), c_grid=(1.0,), n_boot=60, date="d",
+        buckets=F.array_compact(F.array("part"))) for df in (once, often)]
+    assert scored[0] == scored[2] == scored[1] == scored[3] < 240
+    few, many = [c.cuts.toPandas().sort_values(["model", "facet", "name"]) for c in cells]
+    assert (many["n"].to_numpy() == 5 * few["n"].to_numpy()).all() and few["n"].max() < 240 <= few[few.facet == "year"]["n"].sum() / 2
+    back = cells[1].test
+    assert back.count() == 1200 and {"match_id", "y", "p_0", "c_1"} <= set(back.columns)
+    direct = back.select("*", F.explode("__year").alias("name")).groupBy("name").agg(F.avg(
+        metrics.nll_multi(F.col("c_1"), F.col("y"), 1e-12)).alias("nll")).toPandas().sort_values("name")
+    listed = many[(many.model == "B2_logistic") & (many.facet == "year")]
+    assert np.allclose(direct["nll"], listed["nll"], atol=1e-9)
+    board = cells[1].board.filter("model = 'B2_logistic' AND split = 'test' AND metric = 'nll'").first()
+    assert abs(board["value"] - back.agg(F.avg(metrics.nll_multi(F.col("c_1"), F.col("y"), 1e-12))).first()[0]) < 1e-9
+    assert board["lo"] <= board["value"] <= board["hi"]
